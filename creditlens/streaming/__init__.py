@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+Every report in this library is a batch question over the six credit tables;
+the questions define no event stream, watermark, late-data rule or keyed state.
+Nothing is built here so that the library holds only the reports' own work.
+A caller who lands new loans continuously simply re-runs a report on the
+refreshed tables (or inside ``foreachBatch`` of their own stream).
+"""
