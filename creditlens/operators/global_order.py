@@ -9,11 +9,13 @@ distributed sort does it:
    partitions by its id;
 2. ``sortWithinPartitions`` + ``monotonically_increasing_id``: the id encodes
    (partition index, position inside the partition);
-3. the tagged rows are checkpointed to the reliable checkpoint directory, so
-   every later pass sees exactly the same partitioning — and a lost executor
-   re-reads the checkpoint instead of re-sampling;
+3. the tagged rows are written once as a parquet table under the session's
+   reliable checkpoint directory (``spark.checkpoint.dir``), so every later
+   pass sees exactly the same tags, reads only the columns it needs, and a
+   lost executor re-reads the files instead of re-sampling the order;
 4. per-partition counts (and sums) — one small row per partition — get an
-   exclusive prefix over at most ``partitions`` rows and are broadcast back.
+   exclusive prefix over at most one row per range partition and are
+   broadcast back (bounded by the partition count, not by the data).
 
 rank = offset(partition) + position + 1, computed with no further shuffle.
 A running sum adds the partition's sum offset to a window partitioned by the
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditlens.session import ensure_checkpoint_dir
+from creditlens.session import materialize
 
 _MID = "_gl_mid"
 _PID = "_gl_pid"
@@ -38,19 +40,14 @@ _TSUM = "_gl_tsum"
 _POS_BITS = 33  # monotonically_increasing_id: partition index << 33 | position
 
 
-def _partitions(df: DataFrame, partitions: int | None) -> int:
-    if partitions:
-        return int(partitions)
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 def _tag(df: DataFrame, order: list[Column], partitions: int | None) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    n = _partitions(df, partitions)
-    tagged = (df.repartitionByRange(n, *order)
-              .sortWithinPartitions(*order)
-              .withColumn(_MID, F.monotonically_increasing_id()))
-    return tagged.checkpoint(eager=True)
+    # Without an explicit count the range exchange starts from
+    # spark.sql.shuffle.partitions and AQE merges *adjacent* ranges up to the
+    # advisory partition size, so the partition count follows the data size
+    # and partition order still equals key order.
+    ranged = df.repartitionByRange(int(partitions), *order) if partitions else df.repartitionByRange(*order)
+    tagged = ranged.sortWithinPartitions(*order).withColumn(_MID, F.monotonically_increasing_id())
+    return materialize(tagged, "global-order")
 
 
 def global_rank(df: DataFrame, order: list[Column], rank_col: str = "rn",
@@ -83,7 +80,8 @@ def global_rank(df: DataFrame, order: list[Column], rank_col: str = "rn",
         zero = F.lit(0).cast(stats.schema[_SUM].dataType)
         cols += [F.coalesce(F.sum(_SUM).over(before), zero).alias(_SOFF),
                  F.sum(_SUM).over(whole).alias(_TSUM)]
-    # at most one row per range partition: the broadcast is bounded by `partitions`
+    # at most one row per range partition (<= spark.sql.shuffle.partitions, or
+    # `partitions`): the broadcast side is bounded by configuration, not data
     offsets = stats.select(*cols)
 
     out = tagged.join(F.broadcast(offsets), _PID)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
@@ -55,3 +56,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             "with a reliable checkpoint and need a shared folder on a cluster")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="creditlens-ckpt-"))
     return sc.getCheckpointDir()
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once as parquet under the reliable checkpoint directory and
+    read it back: lineage is cut, the values are fixed (no re-evaluation of
+    non-deterministic tags), and later scans prune columns.
+
+    The folder is the session's ``spark.checkpoint.dir`` (shared storage on a
+    cluster); each call writes a fresh uniquely-named table.
+    """
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/creditlens-{label}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
