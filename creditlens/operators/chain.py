@@ -56,11 +56,14 @@ def loan_chain(t: Tables, agency: str = "columns", loans: DataFrame | None = Non
 def with_evidence(df: DataFrame, evidence: DataFrame, key: str | list[str], negate: bool = False) -> DataFrame:
     """Rows of ``df`` that have (``negate``: have no) matching ``key`` in ``evidence``.
 
-    A correlated EXISTS / NOT EXISTS written as a semi / anti join: the
-    evidence side is reduced to its key column before it is shuffled.
+    A correlated EXISTS / NOT EXISTS written as a semi / anti join.  The
+    evidence is reduced to its distinct keys first: a map-side partial
+    aggregate (a key repeated by a third of the rows collapses before the
+    shuffle), and its output is already hash-partitioned on the join key, so
+    the join adds no exchange on that side.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    return df.join(evidence.select(*keys), keys, "left_anti" if negate else "left_semi")
+    return df.join(evidence.select(*keys).distinct(), keys, "left_anti" if negate else "left_semi")
 
 
 def loans_with_owner(t: Tables, loans: DataFrame | None = None) -> DataFrame:
