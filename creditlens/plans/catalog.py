@@ -95,6 +95,7 @@ REPORTS: dict[str, tuple[Callable[..., DataFrame], dict]] = {
     "q12_as_asked": (finance.balance_vs_debt, dict(as_asked=True)),
     "q17_by_count": (audit.term_violations, dict(by="count")),
     "q23_as_asked": (ranking.golden_month, dict(year=P["q23_year"], as_asked=True)),
+    "q25_ordered": (risk.recovered_members, dict(ordered=True)),
     "q30_distinct": (audit.duplicate_instalments, dict(distinct=True)),
     "q39_full_years": (crm.mean_ticket_by_tenure, dict(full_years=True)),
     "q40_as_asked": (stats.distribution_summary, dict(as_asked=True)),

@@ -116,14 +116,26 @@ def time_to_default(t: Tables, loan_status: str = "Inadimplente", late: str = "A
     return loans.select("id_emprestimo", days_between("_first", "data_contratacao").alias("dias_ate_ruina"))
 
 
-def recovered_members(t: Tables, bad: str = "Inadimplente", good: str = "Ativo") -> DataFrame:
-    """Q25 — members with at least one `bad` and at least one `good` loan."""
+def recovered_members(t: Tables, bad: str = "Inadimplente", good: str = "Ativo",
+                      ordered: bool = False) -> DataFrame:
+    """Q25 — members with at least one `bad` and at least one `good` loan.
+
+    As written there is no time condition; ``ordered`` requires a `good` loan
+    contracted after the member's first `bad` one."""
+    status, d = F.col(LOAN_STATUS), F.col("data_contratacao")
     per_account = t.emprestimo.groupBy("id_conta").agg(
-        F.count_if(F.col(LOAN_STATUS) == bad).alias("_bad"),
-        F.count_if(F.col(LOAN_STATUS) == good).alias("_good"))
+        F.count_if(status == bad).alias("_bad"),
+        F.count_if(status == good).alias("_good"),
+        F.min(F.when(status == bad, d)).alias("_first_bad"),
+        F.max(F.when(status == good, d)).alias("_last_good"))
     df = loan_chain(t, "none", per_account)
-    out = df.groupBy("id_cooperado", "nome_completo").agg(F.sum("_bad").alias("_bad"), F.sum("_good").alias("_good"))
-    return out.where((F.col("_bad") > 0) & (F.col("_good") > 0)).select("nome_completo")
+    out = df.groupBy("id_cooperado", "nome_completo").agg(
+        F.sum("_bad").alias("_bad"), F.sum("_good").alias("_good"),
+        F.min("_first_bad").alias("_first_bad"), F.max("_last_good").alias("_last_good"))
+    cond = (F.col("_bad") > 0) & (F.col("_good") > 0)
+    if ordered:
+        cond = cond & (F.col("_last_good") > F.col("_first_bad"))
+    return out.where(cond).select("nome_completo")
 
 
 def collection_effort(t: Tables, late: str = "Atrasada") -> DataFrame:

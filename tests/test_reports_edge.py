@@ -232,6 +232,24 @@ def test_q25_only_settled_is_not_recovered(spark):
     assert rows(risk.recovered_members(t)) == [("Membro 2",)]
 
 
+def test_q25_ordered_option(spark):
+    t = tables(spark, cooperado=[co(1), co(2)], conta=[ct(10, 1), ct(20, 2)],
+               emprestimo=[em(1, 10, 1, data=D(2024, 5, 1), status="Inadimplente"),
+                           em(2, 10, 1, data=D(2024, 1, 1), status="Ativo"),
+                           em(3, 20, 1, data=D(2024, 1, 1), status="Inadimplente"),
+                           em(4, 20, 1, data=D(2024, 6, 1), status="Ativo")])
+    assert rows(risk.recovered_members(t)) == [("Membro 1",), ("Membro 2",)]
+    assert rows(risk.recovered_members(t, ordered=True)) == [("Membro 2",)]
+
+
+def test_q21_min_value_option(spark):
+    assoc = D(2024, 1, 1)
+    t = tables(spark, cooperado=[co(1, assoc=assoc), co(2, assoc=assoc)], conta=[ct(10, 1), ct(20, 2)],
+               emprestimo=[em(1, 10, 500000, data=D(2024, 1, 5)), em(2, 20, 1000, data=D(2024, 1, 5)),
+                           em(3, 20, 900000, data=D(2024, 3, 5))])
+    assert rows(ranking.flash_association(t, min_value=100000), "nome_completo") == [("Membro 1",)]
+
+
 def test_q28_collection_effort(spark):
     t = one_member(spark, loans=[em(1, 10, 100)],
                    instalments=[pa(1, 1, status="Atrasada"), pa(2, 1, num=2), pa(3, 1, num=3)])
