@@ -1,8 +1,9 @@
 """Distribution statistics: Q31 Q33 Q34 Q35 Q36 Q37 Q38 Q40.
 
-Order statistics (median, P90) come from the exact range-partitioned global
-rank (S02); no report sorts all loans inside one task and no percentile
-buffers all distinct values in one aggregation buffer.
+Order statistics (median, P90) come from the exact selection operator
+(``values_at_ranks``): a few one-row aggregates bracket the wanted positions
+and only the values inside the bracket are ordered.  No report sorts all
+loans inside one task, and no percentile buffers all distinct values.
 """
 
 from __future__ import annotations
@@ -12,16 +13,12 @@ from pyspark.sql import functions as F
 
 from creditlens.functions.columns import as_double, mean_of, pct, round2
 from creditlens.operators.chain import loan_chain
-from creditlens.operators.global_order import rows_at_ranks
+from creditlens.operators.selection import values_at_ranks
 from creditlens.sources.tables import Tables
 
 V = "valor_contratado"
 
 
-def _asc():
-    return [F.asc(V), F.asc("id_emprestimo")]
-
-
 def _values(t: Tables) -> DataFrame:
     return t.emprestimo.select("id_emprestimo", V)
 
@@ -38,7 +35,7 @@ def modal_rate(t: Tables) -> DataFrame:
 
 def lower_median(t: Tables) -> DataFrame:
     """Q33 — the loan value at position (N+1) div 2 in ascending order."""
-    rows = rows_at_ranks(_values(t), _asc(), lambda n: [F.floor((n + 1) / 2)], rank_col="_rn")
+    rows = values_at_ranks(t.emprestimo, V, lambda n: [(n + 1) // 2])
     return rows.select(F.col(V).alias("mediana"))
 
 
@@ -74,8 +71,7 @@ def p90_cut(t: Tables, k: int = 10) -> DataFrame:
 
     The last tile holds N div k rows, so its first row is at position
     N - N div k + 1; with N < k it is empty and the cut is NULL."""
-    rows = rows_at_ranks(_values(t), _asc(),
-                         lambda n: [F.when(F.floor(n / k) > 0, n - F.floor(n / k) + 1)], rank_col="_rn")
+    rows = values_at_ranks(t.emprestimo, V, lambda n: [n - n // k + 1] if n // k > 0 else [])
     return rows.agg(F.min(V).alias("p90"))
 
 
@@ -87,10 +83,11 @@ def distribution_summary(t: Tables, as_asked: bool = False) -> DataFrame:
     N = 1); ``as_asked`` averages positions (N+1) div 2 and (N+2) div 2."""
     media = t.emprestimo.agg(mean_of(V).alias("media"))
     if as_asked:
-        ranks = lambda n: [F.floor((n + 1) / 2), F.floor((n + 2) / 2)]
+        ranks = lambda n: [(n + 1) // 2, (n + 2) // 2]
     else:
-        ranks = lambda n: [F.floor(n / 2), F.floor(n / 2) + 1, F.floor((n + 1) / 2)]
-    mediana = rows_at_ranks(_values(t), _asc(), ranks, rank_col="_rn").agg(mean_of(V).alias("mediana"))
+        ranks = lambda n: [n // 2, n // 2 + 1, (n + 1) // 2]
+    # positions form a set (SQL ``rank IN (...)``): each distinct position counts once
+    mediana = values_at_ranks(t.emprestimo, V, ranks).agg(mean_of(V).alias("mediana"))
     moda = (t.emprestimo.groupBy(V).agg(F.count(F.lit(1)).alias("_n"))
             .orderBy(F.desc("_n"), F.asc(V)).limit(1).select(F.col(V).alias("moda")))
     return media.crossJoin(mediana).crossJoin(moda)

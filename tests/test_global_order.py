@@ -74,3 +74,16 @@ def test_tile_closed_form_small_cases(spark):
                 start += size
             expected = next(i + 1 for i, (a, b) in enumerate(bounds) if a <= r["rn"] <= b)
             assert r["t"] == expected, (r, k)
+
+
+@pytest.mark.parametrize("window_max_rows", [0, 200_000])
+def test_values_at_ranks_match_sorted_values(spark, window_max_rows):
+    from creditlens.operators.selection import values_at_ranks
+
+    df = _data(spark, n=20000)
+    vals = sorted((r["v"] for r in df.collect()), key=lambda x: (x is not None, x))
+    n = len(vals)
+    picks = lambda n: [1, 2, 500, 501, (n + 1) // 2, n // 2 + 1, n - n // 10 + 1, n, n + 5, 0]
+    got = {r["rank"]: r["v"] for r in values_at_ranks(df, "v", picks, window_max_rows=window_max_rows).collect()}
+    expected = {k: vals[k - 1] for k in picks(n) if 1 <= k <= n}
+    assert got == expected
