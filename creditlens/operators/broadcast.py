@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,9 +19,13 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
     broadcast only when that proves at most ``max_rows`` rows.  Otherwise it is
     released and the join stays a shuffle join (AQE can still re-plan it from
     measured sizes).  The big side is never shuffled for a broadcast join.
+    The cached small side is released when the returned DataFrame is garbage
+    collected (a later use would simply recompute it).
     """
     small = small.persist(StorageLevel.MEMORY_AND_DISK)
     if small.limit(max_rows + 1).count() <= max_rows:
-        return big.join(F.broadcast(small), on, how)
+        out = big.join(F.broadcast(small), on, how)
+        weakref.finalize(out, small.unpersist)
+        return out
     small.unpersist()
     return big.join(small, on, how)

@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditlens.functions.columns import as_double, mean_of, pct, round2
+from creditlens.functions.columns import as_double, mean_of, round2
 from creditlens.operators.chain import loan_chain
+from creditlens.operators.dispersion import dispersion
 from creditlens.operators.selection import values_at_ranks
 from creditlens.sources.tables import Tables
 
@@ -41,19 +42,18 @@ def lower_median(t: Tables) -> DataFrame:
 
 def variance(t: Tables) -> DataFrame:
     """Q34 — population variance of the loan values, rounded to 2."""
-    return t.emprestimo.agg(round2(F.var_pop(V)).alias("variancia"))
+    return dispersion(t.emprestimo, [], V).select(round2("var_pop").alias("variancia"))
 
 
 def stddev(t: Tables) -> DataFrame:
     """Q35 — population standard deviation of the loan values, rounded to 2."""
-    return t.emprestimo.agg(round2(F.stddev_pop(V)).alias("desvio_padrao"))
+    return dispersion(t.emprestimo, [], V).select(round2("stddev_pop").alias("desvio_padrao"))
 
 
 def cv_by_profile(t: Tables) -> DataFrame:
     """Q36 — coefficient of variation (%) of loan values per producer profile."""
-    df = loan_chain(t, "none")
-    out = df.groupBy("perfil_produtor").agg(F.stddev_pop(V).alias("_sd"), mean_of(V).alias("_m"))
-    return (out.select("perfil_produtor", round2(pct("_sd", "_m")).alias("coeficiente_variacao"))
+    out = dispersion(loan_chain(t, "none"), ["perfil_produtor"], V)
+    return (out.select("perfil_produtor", round2("cv_pct").alias("coeficiente_variacao"))
             .orderBy(F.desc("coeficiente_variacao")))
 
 
