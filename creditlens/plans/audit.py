@@ -22,9 +22,8 @@ def term_violations(t: Tables, by: str = "max") -> DataFrame:
         per = per_loan(t.parcela, F.count(F.lit(1)).alias("_m"))
     else:
         raise ValueError("by must be 'max' or 'count'")
-    per_modality = (t.emprestimo.select("id_emprestimo", "id_modalidade").join(per, "id_emprestimo")
-                    .groupBy("id_modalidade").agg(F.max("_m").alias("_m")))
-    df = per_modality.join(t.dim("modalidade"), "id_modalidade")
+    df = (t.emprestimo.select("id_emprestimo", "id_modalidade").join(per, "id_emprestimo")
+          .join(t.dim("modalidade"), "id_modalidade"))
     out = df.groupBy("nome_modalidade", "prazo_maximo_meses").agg(F.max("_m").alias("maximo_parcelas_praticado"))
     return out.where(F.col("maximo_parcelas_praticado") > F.col("prazo_maximo_meses"))
 

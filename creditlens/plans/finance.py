@@ -36,9 +36,8 @@ def cashflow_by_modality(t: Tables) -> DataFrame:
     """Q09 — per modality: Σ paid instalments and Σ pending + late instalments."""
     buckets = {"soma_status_pagas": ["Paga"], "parcelas_atrasadas_pendentes": ["Pendente", "Atrasada"]}
     loans_sums = conditional_totals(t.parcela, ["id_emprestimo"], "valor_parcela", INST_STATUS, buckets)
-    per_modality = (t.emprestimo.select("id_emprestimo", "id_modalidade").join(loans_sums, "id_emprestimo")
-                    .groupBy("id_modalidade").agg(*[F.sum(b).alias(b) for b in buckets]))
-    df = per_modality.join(t.dim("modalidade"), "id_modalidade")
+    df = (t.emprestimo.select("id_emprestimo", "id_modalidade").join(loans_sums, "id_emprestimo")
+          .join(t.dim("modalidade"), "id_modalidade"))
     return (df.groupBy("nome_modalidade").agg(*[F.sum(b).alias(b) for b in buckets])
             .orderBy(F.desc("soma_status_pagas")))
 

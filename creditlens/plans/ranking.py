@@ -85,10 +85,12 @@ def flash_association(t: Tables, max_days: int = 30, min_value=None) -> DataFram
 
     ``min_value`` (optional) keeps only members whose first-day loans include
     one of at least that value ("giant" loans in the question)."""
-    loans = t.emprestimo.join(t.conta.select("id_conta", "id_cooperado"), "id_conta")
-    # earliest date, and the largest value contracted on that date
-    first = (loans.groupBy("id_cooperado")
-             .agg(F.min(F.struct(F.col("data_contratacao").alias("d"), (-F.col(V)).alias("neg"))).alias("_f"))
+    # earliest date, and the largest value contracted on that date: first per
+    # account (partial aggregation), then per member across their accounts
+    first_key = F.struct(F.col("data_contratacao").alias("d"), (-F.col(V)).alias("neg"))
+    per_account = t.emprestimo.groupBy("id_conta").agg(F.min(first_key).alias("_f"))
+    first = (per_account.join(t.conta.select("id_conta", "id_cooperado"), "id_conta")
+             .groupBy("id_cooperado").agg(F.min("_f").alias("_f"))
              .select("id_cooperado", F.col("_f.d").alias("data_contratacao"),
                      (-F.col("_f.neg")).alias("_first_max")))
     df = first.join(members(t, "required"), "id_cooperado")

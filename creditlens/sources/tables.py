@@ -57,6 +57,14 @@ def read_tables(spark: SparkSession, path: str, fmt: str = "parquet") -> Tables:
     return Tables(**frames)
 
 
+def write_tables(t: Tables, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
+    """Store the six tables as ``{path}/{name}.{fmt}`` in the declared schemas."""
+    for n in TABLE_NAMES:
+        df = t.table(n)
+        df.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMAS[n].fields]) \
+          .write.mode(mode).format(fmt).save(f"{path}/{n}.{fmt}")
+
+
 def tables_from_rows(spark: SparkSession, **rows) -> Tables:
     """Build a bundle from Python rows (tests, hand-made fixtures).
 
