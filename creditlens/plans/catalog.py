@@ -98,7 +98,9 @@ REPORTS: dict[str, tuple[Callable[..., DataFrame], dict]] = {
     "q25_ordered": (risk.recovered_members, dict(ordered=True)),
     "q30_distinct": (audit.duplicate_instalments, dict(distinct=True)),
     "q39_full_years": (crm.mean_ticket_by_tenure, dict(full_years=True)),
+    "q39_correlation": (crm.tenure_value_correlation, {}),
     "q40_as_asked": (stats.distribution_summary, dict(as_asked=True)),
+    "q40_with_skewness": (stats.distribution_summary, dict(with_skewness=True)),
 }
 
 # declared-constraint audits (S07–S09), one per key / foreign key / value list

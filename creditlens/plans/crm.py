@@ -34,16 +34,27 @@ def ghost_members(t: Tables, statuses=("Ativa", "Inativa", "Bloqueada"), distinc
     return df.distinct() if distinct else df
 
 
+def _tenure_years(full_years: bool):
+    c, a = F.col("data_contratacao"), F.col("data_associacao")
+    anos = F.year(c) - F.year(a)
+    if full_years:
+        before_anniversary = (F.month(c) < F.month(a)) | ((F.month(c) == F.month(a)) & (F.dayofmonth(c) < F.dayofmonth(a)))
+        anos = anos - F.when(before_anniversary, 1).otherwise(0)
+    return anos.cast("bigint")
+
+
 def mean_ticket_by_tenure(t: Tables, full_years: bool = False) -> DataFrame:
     """Q39 — mean loan value by member tenure in years at contracting.
 
     As written tenure is the difference of calendar years; ``full_years``
     counts completed years (the anniversary must have been reached)."""
     df = loan_chain(t, "none")
-    c, a = F.col("data_contratacao"), F.col("data_associacao")
-    anos = F.year(c) - F.year(a)
-    if full_years:
-        before_anniversary = (F.month(c) < F.month(a)) | ((F.month(c) == F.month(a)) & (F.dayofmonth(c) < F.dayofmonth(a)))
-        anos = anos - F.when(before_anniversary, 1).otherwise(0)
-    anos = anos.cast("bigint")
-    return df.groupBy(anos.alias("anos")).agg(mean_of(V).alias("ticket_medio"))
+    return df.groupBy(_tenure_years(full_years).alias("anos")).agg(mean_of(V).alias("ticket_medio"))
+
+
+def tenure_value_correlation(t: Tables, full_years: bool = False) -> DataFrame:
+    """Q39 option — Pearson correlation between tenure (years) and loan value,
+    the measure the question's title names; one row, rounded to 6 decimals."""
+    df = loan_chain(t, "none")
+    r = F.corr(_tenure_years(full_years).cast("double"), F.col(V).cast("double"))
+    return df.agg(F.round(r, 6).alias("correlacao"))

@@ -75,13 +75,18 @@ def p90_cut(t: Tables, k: int = 10) -> DataFrame:
     return rows.agg(F.min(V).alias("p90"))
 
 
-def distribution_summary(t: Tables, as_asked: bool = False) -> DataFrame:
+def distribution_summary(t: Tables, as_asked: bool = False, with_skewness: bool = False) -> DataFrame:
     """Q40 — mean, median and mode (ties: lowest value) of the loan values.
 
     As written the median averages the values at positions {N div 2,
     N div 2 + 1, (N+1) div 2}, which is the true median only for even N (and
-    N = 1); ``as_asked`` averages positions (N+1) div 2 and (N+2) div 2."""
-    media = t.emprestimo.agg(mean_of(V).alias("media"))
+    N = 1); ``as_asked`` averages positions (N+1) div 2 and (N+2) div 2.
+    ``with_skewness`` adds the population skewness the question's title names
+    (rounded to 6 decimals)."""
+    aggs = [mean_of(V).alias("media")]
+    if with_skewness:
+        aggs.append(F.round(F.skewness(F.col(V).cast("double")), 6).alias("assimetria"))
+    media = t.emprestimo.agg(*aggs)
     if as_asked:
         ranks = lambda n: [(n + 1) // 2, (n + 2) // 2]
     else:

@@ -328,6 +328,17 @@ def test_q39_calendar_years(spark):
     assert rows(crm.mean_ticket_by_tenure(t, full_years=True)) == [(0, 100.0)]
 
 
+def test_q39_correlation_and_q40_skewness_options(spark):
+    t = tables(spark, cooperado=[co(1, assoc=D(2020, 6, 1)), co(2, assoc=D(2021, 6, 1)), co(3, assoc=D(2022, 6, 1))],
+               conta=[ct(10, 1), ct(20, 2), ct(30, 3)],
+               emprestimo=[em(1, 10, 300, data=D(2024, 1, 1)), em(2, 20, 200, data=D(2024, 1, 1)),
+                           em(3, 30, 100, data=D(2024, 1, 1))])
+    assert rows(crm.tenure_value_correlation(t))[0][0] == pytest.approx(1.0)
+    assert rows(stats.distribution_summary(t, with_skewness=True), "assimetria")[0][0] == pytest.approx(0.0, abs=1e-12)
+    skewed = one_member(spark, loans=[em(i, 10, v) for i, v in enumerate([1, 1, 1, 10], start=1)])
+    assert rows(stats.distribution_summary(skewed, with_skewness=True), "assimetria")[0][0] == 1.154701
+
+
 def test_member_with_unknown_agency(spark):
     t = tables(spark, cooperado=[co(1, agencia=None), co(2, agencia=1)], conta=[ct(10, 1), ct(20, 2)],
                emprestimo=[em(1, 10, 100, status="Inadimplente"), em(2, 10, 50, status="Ativo"),
