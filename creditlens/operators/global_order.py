@@ -9,10 +9,10 @@ distributed sort does it:
    partitions by its id;
 2. ``sortWithinPartitions`` + ``monotonically_increasing_id``: the id encodes
    (partition index, position inside the partition);
-3. the tagged rows are written once as a parquet table under the session's
-   reliable checkpoint directory (``spark.checkpoint.dir``), so every later
-   pass sees exactly the same tags, reads only the columns it needs, and a
-   lost executor re-reads the files instead of re-sampling the order;
+3. the tagged rows are checkpointed once to the session's reliable
+   checkpoint directory (``spark.checkpoint.dir``), so every later pass sees
+   exactly the same tags and a lost executor re-reads the files instead of
+   re-sampling the order (never ``localCheckpoint``);
 4. per-partition counts (and sums) — one small row per partition — get an
    exclusive prefix over at most one row per range partition and are
    broadcast back (bounded by the partition count, not by the data).

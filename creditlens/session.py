@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,16 +57,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once as parquet under the reliable checkpoint directory and
-    read it back: lineage is cut, the values are fixed (no re-evaluation of
-    non-deterministic tags), and later scans prune columns.
+def materialize(df: DataFrame, label: str = "") -> DataFrame:
+    """Cut lineage with a reliable ``checkpoint()`` to the session's
+    ``spark.checkpoint.dir`` (shared storage on a cluster).
 
-    The folder is the session's ``spark.checkpoint.dir`` (shared storage on a
-    cluster); each call writes a fresh uniquely-named table.
+    The rows are computed once and fixed: non-deterministic tags (such as
+    ``monotonically_increasing_id``) are never re-evaluated, and a lost
+    executor re-reads the files instead of recomputing the lineage.  With
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` (set by
+    ``build_session``) Spark deletes the files once no plan references them.
     """
-    spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/creditlens-{label}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
