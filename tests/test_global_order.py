@@ -87,3 +87,21 @@ def test_values_at_ranks_match_sorted_values(spark, window_max_rows):
     got = {r["rank"]: r["v"] for r in values_at_ranks(df, "v", picks, window_max_rows=window_max_rows).collect()}
     expected = {k: vals[k - 1] for k in picks(n) if 1 <= k <= n}
     assert got == expected
+
+
+def test_exact_moments_match_builtin_and_ignore_partitioning(spark):
+    from decimal import Decimal
+
+    from creditlens.operators.dispersion import exact_moments
+
+    vals = [Decimal(x) / 100 for x in range(10_000_000, 10_000_000 + 3000, 7)] + [Decimal("-12.34")]
+    df = spark.createDataFrame([(v,) for v in vals], "v decimal(15,2)")
+    ref = df.agg(F.var_pop("v").alias("var"), F.stddev_pop("v").alias("sd")).first()
+    outs = set()
+    for parts in (1, 7, 64):
+        got = exact_moments(df.repartition(parts), "v").first()
+        assert got["n"] == len(vals)
+        assert got["var_pop"] == pytest.approx(ref["var"], rel=1e-12)
+        assert got["stddev_pop"] == pytest.approx(ref["sd"], rel=1e-12)
+        outs.add((got["mean"], got["var_pop"], got["stddev_pop"]))
+    assert len(outs) == 1  # bit-identical whatever the partitioning
