@@ -13,7 +13,6 @@ from __future__ import annotations
 import json
 import os
 import platform
-import re
 import statistics
 import sys
 import time

@@ -2,8 +2,8 @@
 
 from creditlens.functions.columns import (
     as_double, days_between, mean_of, month_key, pct, ratio, report_types, round2,
-    sum_when, count_when, tile_from_rank, year_range,
+    tile_from_rank, year_range,
 )
 
 __all__ = ["as_double", "days_between", "mean_of", "month_key", "pct", "ratio",
-           "report_types", "round2", "sum_when", "count_when", "tile_from_rank", "year_range"]
+           "report_types", "round2", "tile_from_rank", "year_range"]

@@ -46,14 +46,6 @@ def mean_of(value) -> Column:
     return F.try_divide(F.sum(v).cast("double"), F.count(v).cast("double"))
 
 
-def sum_when(cond: Column, value, otherwise=0) -> Column:
-    """SUM(CASE WHEN cond THEN value ELSE otherwise END) — exact for decimals."""
-    return F.sum(F.when(cond, _c(value)).otherwise(F.lit(otherwise)))
-
-
-def count_when(cond: Column) -> Column:
-    """COUNT(CASE WHEN cond THEN 1 END)."""
-    return F.count_if(cond)
 
 
 def month_key(d) -> Column:
@@ -74,9 +66,6 @@ def year_range(d, year: int) -> Column:
     return (c >= F.lit(start)) & (c < F.lit(end))
 
 
-def date_range(d, start, end) -> Column:
-    c = _c(d)
-    return (c >= F.lit(start)) & (c < F.lit(end))
 
 
 def tile_from_rank(rank, total, k: int) -> Column:

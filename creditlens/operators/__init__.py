@@ -3,19 +3,19 @@
 from creditlens.operators.audit import audit_domain, audit_foreign_key, audit_primary_key
 from creditlens.operators.broadcast import join_small
 from creditlens.operators.chain import (account_owners, loan_chain, loans_with_owner, members,
-                                        per_loan, sum_by, with_evidence)
+                                        per_loan, with_evidence)
 from creditlens.operators.conditional import conditional_totals
 from creditlens.operators.deviation import deviation_from_group_mean, group_means
-from creditlens.operators.dispersion import dispersion
-from creditlens.operators.global_order import global_ntile, global_rank, rows_at_ranks
+from creditlens.operators.dispersion import dispersion, exact_moments
+from creditlens.operators.global_order import global_ntile, global_rank
 from creditlens.operators.period import period_change
 from creditlens.operators.ranking import top_n_per_group
 from creditlens.operators.selection import values_at_ranks
 
 __all__ = [
     "audit_domain", "audit_foreign_key", "audit_primary_key", "join_small", "account_owners",
-    "loan_chain", "loans_with_owner", "members", "per_loan", "sum_by", "with_evidence",
-    "conditional_totals", "deviation_from_group_mean", "group_means", "dispersion",
-    "global_ntile", "global_rank", "rows_at_ranks", "period_change", "top_n_per_group",
+    "loan_chain", "loans_with_owner", "members", "per_loan", "with_evidence",
+    "conditional_totals", "deviation_from_group_mean", "group_means", "dispersion", "exact_moments",
+    "global_ntile", "global_rank", "period_change", "top_n_per_group",
     "values_at_ranks",
 ]

@@ -10,7 +10,6 @@ loan first (one row per loan crosses the next shuffle).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from creditlens.sources.tables import Tables
 
@@ -78,8 +77,3 @@ def per_loan(parcela: DataFrame, *aggs) -> DataFrame:
     """Instalments aggregated to one row per loan (map-side partial aggregation)."""
     return parcela.groupBy("id_emprestimo").agg(*aggs)
 
-
-def sum_by(df: DataFrame, key: str | list[str], cols: list[str]) -> DataFrame:
-    """Re-aggregate additive per-loan columns to a coarser key."""
-    keys = [key] if isinstance(key, str) else list(key)
-    return df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in cols])

@@ -105,11 +105,3 @@ def global_ntile(df: DataFrame, order: list[Column], k: int, tile_col: str = "ti
     return (ranked.withColumn(tile_col, tile_from_rank("_gl_rn", "_gl_n", k))
             .drop("_gl_rn", "_gl_n"))
 
-
-def rows_at_ranks(df: DataFrame, order: list[Column], ranks, rank_col: str = "rn",
-                  partitions: int | None = None) -> DataFrame:
-    """Rows whose global rank is in ``ranks(N)`` — a function of the total N
-    returning a list of rank Columns — e.g. a median or a percentile cut."""
-    ranked = global_rank(df, order, rank_col=rank_col, total_col="_gl_n", partitions=partitions)
-    wanted = ranks(F.col("_gl_n"))
-    return ranked.where(F.col(rank_col).isin(*wanted)).drop("_gl_n")

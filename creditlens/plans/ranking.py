@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditlens.functions.columns import days_between, month_key, pct, tile_from_rank, year_range
-from creditlens.operators.chain import account_owners, loan_chain, members
+from creditlens.operators.chain import loan_chain, members
 from creditlens.operators.global_order import global_rank
 from creditlens.operators.ranking import top_n_per_group
 from creditlens.sources.tables import Tables

@@ -103,7 +103,7 @@ def main():
     print(f"| **total** | **{total:.2f}** | | | | **{dtotal:.2f}** |")
 
     # naive single-task windows vs the scalable forms
-    from creditlens.plans import ranking, risk
+    from creditlens.plans import ranking
     t = load(spark, sf_dir)
     totals = ranking.member_totals(t)
     naive14 = lambda: totals.select("id_cooperado", "nome_completo", "total",
