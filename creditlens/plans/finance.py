@@ -79,29 +79,30 @@ def avg_payment_delay(t: Tables, paid: str = "Paga") -> DataFrame:
     return out.select("perfil_produtor", round2(media).alias("media")).orderBy(F.desc("media"))
 
 
-def moving_average(t: Tables, id_modalidade: int = 4, width: int = 3) -> DataFrame:
+def moving_average(t: Tables, id_modalidade: int = 4, width: int = 3, bucket_rows: int = 1_000_000) -> DataFrame:
     """Q18 — loans of one modality in (date, id) order with the mean of the
     current and `width`-1 preceding loans.
 
-    Scalable form: exact global positions (range partitioned, no single-task
-    window), then every loan contributes its value to its own position and
-    the next `width`-1 ones; a group-by on the target position sums them.
+    Scalable form: exact global positions (S02, range partitioned), then the
+    positions are cut into buckets of `bucket_rows`; the last `width`-1 rows of
+    each bucket are also sent to the next bucket as halo rows, so a window
+    partitioned by bucket sees every frame whole.  One shuffle of ~1x the rows,
+    bounded task size, no single-task window.
     """
+    if width < 1 or width - 1 > bucket_rows:
+        raise ValueError("need width >= 1 and width - 1 <= bucket_rows (the halo must cover a frame)")
     loans = t.emprestimo.where(F.col("id_modalidade") == id_modalidade).select(
         "id_emprestimo", "data_contratacao", V)
     ranked = global_rank(loans, [F.asc("data_contratacao"), F.asc("id_emprestimo")], rank_col="_rn")
-    shifts = F.array(*[F.lit(j) for j in range(width)])
-    spread = ranked.select("data_contratacao", V, "_rn", F.explode(shifts).alias("_j"))
-    spread = spread.withColumn("_target", F.col("_rn") + F.col("_j"))
-    own = F.col("_j") == 0
-    agg = spread.groupBy("_target").agg(
-        F.max(F.when(own, F.col("data_contratacao"))).alias("data_contratacao"),
-        F.max(F.when(own, F.col(V))).alias(V),
-        F.sum(V).alias("_s"), F.count(F.lit(1)).alias("_c"),
-        F.max(F.when(own, F.lit(1)).otherwise(F.lit(0))).alias("_exists"))
-    media = F.col("_s").cast("double") / F.col("_c").cast("double")
-    return (agg.where(F.col("_exists") == 1)
-            .select("data_contratacao", V, media.alias("media_movel")))
+    bucket = F.floor((F.col("_rn") - 1) / bucket_rows).cast("bigint")
+    own = ranked.withColumn("_b", bucket).withColumn("_own", F.lit(True))
+    halo = (ranked.where((F.col("_rn") - 1) % bucket_rows >= bucket_rows - (width - 1))
+            .withColumn("_b", bucket + 1).withColumn("_own", F.lit(False)))
+    frame = Window.partitionBy("_b").orderBy("_rn").rowsBetween(-(width - 1), Window.currentRow)
+    both = own.unionByName(halo)
+    media = F.sum(V).over(frame).cast("double") / F.count(F.lit(1)).over(frame).cast("double")
+    return (both.select("data_contratacao", V, "_own", media.alias("media_movel"))
+            .where(F.col("_own")).drop("_own"))
 
 
 def instalment_pivot(t: Tables) -> DataFrame:

@@ -48,6 +48,7 @@ def test_q14_tiles_are_balanced(t):
     lambda t: ranking.member_tiers(t),
     lambda t: ranking.running_total_by_agency(t, id_agencia=1),
     lambda t: finance.moving_average(t, id_modalidade=4),
+    lambda t: finance.moving_average(t, id_modalidade=4, bucket_rows=7),
     lambda t: stats.distribution_summary(t),
 ])
 def test_independent_of_shuffle_partitions(spark, t, fn):

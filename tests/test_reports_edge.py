@@ -182,6 +182,12 @@ def test_q18_short_frame(spark):
     t = one_member(spark, loans=loans, modalidade=[md(1), md(4)])
     got = rows(finance.moving_average(t, id_modalidade=4), "data_contratacao", "media_movel")
     assert [g[1] for g in got] == pytest.approx([10.0, 15.0, 30.0, 110 / 3])
+    # tiny buckets: every frame crosses a bucket boundary through the halo rows
+    for b in (2, 3, 4):
+        got = rows(finance.moving_average(t, id_modalidade=4, bucket_rows=b), "data_contratacao", "media_movel")
+        assert [g[1] for g in got] == pytest.approx([10.0, 15.0, 30.0, 110 / 3])
+    got = rows(finance.moving_average(t, id_modalidade=4, width=1, bucket_rows=1), "data_contratacao", "media_movel")
+    assert [g[1] for g in got] == pytest.approx([10.0, 20.0, 60.0, 30.0])
 
 
 def test_q19_vip_defaulters(spark):
