@@ -57,6 +57,7 @@ def hidden_risk(t: Tables, loan_status: str = "Ativo", late: str = "Atrasada") -
     return df.select("nome_completo", "nome_agencia", V).distinct()
 
 
+# The risk classes of Q10 (0, 1, 2 or more late instalments).
 RISK_LOW, RISK_MID, RISK_HIGH = "Risco Baixo", "Risco Médio", "Risco Alto"
 
 
