@@ -20,6 +20,14 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 
+def _sf_value(sf_dir: str):
+    tag = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    try:
+        return float(tag)
+    except ValueError:
+        return tag
+
+
 def _force(df):
     df.write.format("noop").mode("overwrite").save()
 
@@ -63,7 +71,7 @@ def main():
         "unit": "sec",
         "queries": timings,
         "rows": rows,
-        "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", ""),
+        "sf": _sf_value(sf_dir),
         "runs": runs,
         "cpus": cpus,
         "shuffle_partitions": parts,
