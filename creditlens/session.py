@@ -41,7 +41,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     never overridden.  Only a local-mode session without one (tests, the
     bench) gets a private scratch folder.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no SparkContext; the server owns the setting
+        conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+        if not conf_dir:
+            raise RuntimeError("spark.checkpoint.dir must be set on the Spark Connect server")
+        return conf_dir
     current = sc.getCheckpointDir()
     if current:
         return current

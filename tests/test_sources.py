@@ -31,3 +31,10 @@ def test_reports_agree_on_stored_tables(spark, stored, name):
     a = sorted(tuple(r) for r in report_types(fn(from_star_schema(spark, SF), **params)).collect())
     b = sorted(tuple(r) for r in report_types(fn(read_tables(spark, stored), **params)).collect())
     assert a == b and len(a) > 0
+
+
+def test_checkpoint_dir_is_read_from_the_session(spark):
+    from creditlens.session import ensure_checkpoint_dir
+
+    d = ensure_checkpoint_dir(spark)
+    assert d and d == spark.sparkContext.getCheckpointDir()
