@@ -87,6 +87,23 @@ def test_q08_zero_balance_and_strict(spark):
     assert crm.good_payers(t, strict=True).count() == 0
 
 
+def test_q09_cashflow_by_modality(spark):
+    t = tables(spark, cooperado=[co(1)], conta=[ct(10, 1)], modalidade=[md(1), md(2)],
+               emprestimo=[em(1, 10, 100, modalidade=1), em(2, 10, 100, modalidade=2)],
+               parcela=[pa(1, 1, valor=10, status="Paga"), pa(2, 1, num=2, valor=5, status="Atrasada"),
+                        pa(3, 2, valor=7, status="Pendente"), pa(4, 2, num=2, valor=1, status="Pendente"),
+                        pa(5, 99, valor=1000, status="Paga")])  # orphan instalment: no loan, not counted
+    assert rows(finance.cashflow_by_modality(t)) == [
+        ("Modalidade 1", money(10), money(5)), ("Modalidade 2", money(0), money(8))]
+
+
+def test_q27_daily_running_total(spark):
+    t = one_member(spark, loans=[em(1, 10, 10, data=D(2024, 1, 2)), em(2, 10, 5, data=D(2024, 1, 2)),
+                                 em(3, 10, 20, data=D(2024, 3, 1)), em(4, 10, 99, data=D(2023, 12, 31))])
+    assert rows(finance.daily_running_total(t, year=2024), "data_contratacao", "total", "soma_acumulada") == [
+        (D(2024, 1, 2), money(15), money(15)), (D(2024, 3, 1), money(20), money(35))]
+
+
 def test_q10_and_q22_loan_without_instalments(spark):
     t = tables(spark, cooperado=[co(1), co(2)], conta=[ct(10, 1), ct(20, 2)],
                emprestimo=[em(1, 10, 100), em(2, 20, 100)],
