@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from creditlens.functions.columns import as_double, mean_of, round2
 from creditlens.operators.chain import loan_chain
-from creditlens.operators.dispersion import exact_moments
+from creditlens.operators.dispersion import dispersion, exact_moments
 from creditlens.operators.selection import values_at_ranks
 from creditlens.sources.tables import Tables
 
@@ -41,28 +41,28 @@ def lower_median(t: Tables) -> DataFrame:
 
 
 def variance(t: Tables) -> DataFrame:
-    """Q34 — population variance of the loan values, rounded to 2 (exact moments)."""
-    return exact_moments(t.emprestimo, V).select(round2("var_pop").alias("variancia"))
+    """Q34 — population variance of the loan values, rounded to 2."""
+    return dispersion(t.emprestimo, [], V).select(round2("var_pop").alias("variancia"))
 
 
 def stddev(t: Tables) -> DataFrame:
-    """Q35 — population standard deviation of the loan values, rounded to 2 (exact moments)."""
-    return exact_moments(t.emprestimo, V).select(round2("stddev_pop").alias("desvio_padrao"))
+    """Q35 — population standard deviation of the loan values, rounded to 2."""
+    return dispersion(t.emprestimo, [], V).select(round2("stddev_pop").alias("desvio_padrao"))
 
 
 def cv_by_profile(t: Tables) -> DataFrame:
-    """Q36 — coefficient of variation (%) of loan values per producer profile (exact moments)."""
-    out = exact_moments(loan_chain(t, "none"), V, ["perfil_produtor"])
-    cv = F.try_divide(F.col("stddev_pop"), F.col("mean")) * F.lit(100.0)
-    return (out.select("perfil_produtor", round2(cv).alias("coeficiente_variacao"))
+    """Q36 — coefficient of variation (%) of loan values per producer profile."""
+    out = dispersion(loan_chain(t, "none"), ["perfil_produtor"], V)
+    return (out.select("perfil_produtor", round2("cv_pct").alias("coeficiente_variacao"))
             .orderBy(F.desc("coeficiente_variacao")))
 
 
 def zscore_outliers(t: Tables, z: float = 2.0) -> DataFrame:
     """Q37 — loans whose z-score (population std-dev) exceeds `z`.
 
-    Mean and std-dev come from ``exact_moments``: exact sums, so the scores do
-    not depend on how the rows were partitioned."""
+    The scores are unrounded, so mean and std-dev come from ``exact_moments``:
+    exact sums, and scores that do not depend on how the rows were partitioned.
+    (Q34–Q36 round to 2 decimals and use the one-pass ``dispersion``.)"""
     stats = exact_moments(t.emprestimo, V).select(F.col("mean").alias("_m"), F.col("stddev_pop").alias("_sd"))
     # a global aggregate is exactly one row: broadcasting it is bounded
     df = _values(t).crossJoin(F.broadcast(stats))
