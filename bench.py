@@ -42,7 +42,8 @@ def main():
     from creditlens.session import build_session
     from creditlens.plans.catalog import REPORTS, run
 
-    spark = build_session(f"local[{cpus}]", parts, app_name="creditlens-bench")
+    extra = json.loads(os.environ.get("BENCH_CONF", "{}"))  # optional extra Spark settings
+    spark = build_session(f"local[{cpus}]", parts, app_name="creditlens-bench", extra=extra)
     # one entry per question: the as-written report (options are separate keys)
     questions = {f"q{i:02d}" for i in range(1, 41)}
     keys, seen = [], set()
