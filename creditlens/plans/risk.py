@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from creditlens.functions.columns import as_double, days_between, pct, ratio, round2
 from creditlens.operators.chain import account_owners, loan_chain, members, per_loan, with_evidence
-from creditlens.operators.deviation import deviation_from_group_mean
+from creditlens.operators.deviation import deviation_from_group_mean, means_from_partials
 from creditlens.sources.tables import Tables
 
 V = "valor_contratado"
@@ -17,10 +17,19 @@ INST_STATUS = "status_parcela"
 
 def ticket_vs_modality_mean(t: Tables, status: str = "Ativo", with_mean: bool = False) -> DataFrame:
     """Q02 — loans in `status` vs the historical mean (all statuses, rounded to
-    2) of their modality name: % difference."""
-    population = loan_chain(t, "none", modality=True)
-    rows = population.where(F.col(LOAN_STATUS) == status)
-    df = deviation_from_group_mean(rows, population, ["nome_modalidade"], V, "media_historica", round_mean=2)
+    2) of their modality name: % difference.
+
+    The mean is built from per-(account, modality) partial sums of the loans
+    whose account and member exist, so its pass shuffles one row per account
+    and modality, not one per loan."""
+    partials = (t.emprestimo.groupBy("id_conta", "id_modalidade")
+                .agg(F.sum(V).alias("_s"), F.count(V).alias("_n")))
+    owned = partials.join(account_owners(t, "none").select("id_conta"), "id_conta")
+    means = means_from_partials(owned.join(t.dim("modalidade"), "id_modalidade"),
+                                ["nome_modalidade"], "_s", "_n", "media_historica")
+    rows = loan_chain(t, "none", t.emprestimo.where(F.col(LOAN_STATUS) == status), modality=True)
+    df = deviation_from_group_mean(rows, None, ["nome_modalidade"], V, "media_historica", round_mean=2,
+                                   means=means)
     diff = round2((ratio(V, "media_historica") - F.lit(1.0)) * F.lit(100.0))
     cols = ["nome_completo", "nome_modalidade", F.col(V).alias("contrato_atual")]
     if with_mean:
@@ -41,9 +50,12 @@ def default_rate_by_profile(t: Tables, bad: str = "Inadimplente") -> DataFrame:
 
 
 def outliers_vs_profile_mean(t: Tables, factor: float = 2.0) -> DataFrame:
-    """Q04 — loans above `factor` × the mean loan of the member's profile."""
-    population = loan_chain(t, "required")
-    df = deviation_from_group_mean(population, population, ["perfil_produtor"], V, "media_perfil")
+    """Q04 — loans above `factor` × the mean loan of the member's profile
+    (the mean is built from per-account partial sums)."""
+    partials = t.emprestimo.groupBy("id_conta").agg(F.sum(V).alias("_s"), F.count(V).alias("_n"))
+    means = means_from_partials(loan_chain(t, "required", partials), ["perfil_produtor"], "_s", "_n", "media_perfil")
+    rows = loan_chain(t, "required")
+    df = deviation_from_group_mean(rows, None, ["perfil_produtor"], V, "media_perfil", means=means)
     df = df.where(as_double(V) > F.col("media_perfil") * F.lit(float(factor)))
     return df.select("nome_completo", "perfil_produtor", V, "media_perfil")
 
