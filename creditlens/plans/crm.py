@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditlens.functions.columns import mean_of
 from creditlens.operators.chain import account_owners, loan_chain, with_evidence
 from creditlens.sources.tables import Tables
 
@@ -26,7 +25,8 @@ def good_payers(t: Tables, strict: bool = False, account_status: str = "Ativa",
 def ghost_members(t: Tables, statuses=("Ativa", "Inativa", "Bloqueada"), distinct: bool = False) -> DataFrame:
     """Q11 — members owning an account (in `statuses`) who never borrowed on any
     of their accounts.  One row per account as written; ``distinct`` collapses."""
-    borrowers = t.emprestimo.select("id_conta").join(t.conta.select("id_conta", "id_cooperado"), "id_conta")
+    # accounts with a loan, deduplicated map-side before they meet the accounts table
+    borrowers = t.emprestimo.select("id_conta").distinct().join(t.conta.select("id_conta", "id_cooperado"), "id_conta")
     accounts = t.conta.where(F.col("status_conta").isin(*statuses))
     owners = account_owners(t, "columns", accounts)
     df = with_evidence(owners, borrowers, "id_cooperado", negate=True)
@@ -47,9 +47,18 @@ def mean_ticket_by_tenure(t: Tables, full_years: bool = False) -> DataFrame:
     """Q39 — mean loan value by member tenure in years at contracting.
 
     As written tenure is the difference of calendar years; ``full_years``
-    counts completed years (the anniversary must have been reached)."""
-    df = loan_chain(t, "none")
-    return df.groupBy(_tenure_years(full_years).alias("anos")).agg(mean_of(V).alias("ticket_medio"))
+    counts completed years (the anniversary must have been reached).  Loans are
+    first summed per account and contract year (per contract date for
+    ``full_years``), so the member join shuffles partial sums, not loans."""
+    if full_years:
+        when = F.col("data_contratacao")
+    else:
+        when = F.make_date(F.year("data_contratacao"), F.lit(1), F.lit(1))  # only the year matters
+    partials = (t.emprestimo.groupBy("id_conta", when.alias("data_contratacao"))
+                .agg(F.sum(V).alias("_s"), F.count(V).alias("_n")))
+    df = loan_chain(t, "none", partials)
+    out = df.groupBy(_tenure_years(full_years).alias("anos")).agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
+    return out.select("anos", F.try_divide(F.col("_s").cast("double"), F.col("_n").cast("double")).alias("ticket_medio"))
 
 
 def tenure_value_correlation(t: Tables, full_years: bool = False) -> DataFrame:

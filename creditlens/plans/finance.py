@@ -21,8 +21,11 @@ def mom_growth(t: Tables, year: int = 2023, fill_calendar: bool = False) -> Data
 
     As written the previous month is the previous month *with loans*;
     ``fill_calendar`` lists all twelve months (missing ones with volume 0)."""
-    loans = loans_with_owner(t, t.emprestimo.where(year_range("data_contratacao", year)))
-    totals = loans.groupBy(month_key("data_contratacao").alias("mes")).agg(F.sum(V).alias("total_atual"))
+    # per (account, month) partial sums first: the owner check shuffles one row per account-month
+    per_account = (t.emprestimo.where(year_range("data_contratacao", year))
+                   .groupBy("id_conta", month_key("data_contratacao").alias("mes"))
+                   .agg(F.sum(V).alias("_v")))
+    totals = loans_with_owner(t, per_account).groupBy("mes").agg(F.sum("_v").alias("total_atual"))
     if fill_calendar:
         spark = t.spark
         months = spark.range(1, 13).select(
@@ -120,7 +123,8 @@ def daily_running_total(t: Tables, year: int = 2024) -> DataFrame:
     """Q27 — daily volume in `year` with its cumulative sum since 1 January.
 
     The window orders at most 366 pre-aggregated rows."""
-    loans = loan_chain(t, "required", t.emprestimo.where(year_range("data_contratacao", year)))
-    daily = loans.groupBy("data_contratacao").agg(F.sum(V).alias("total"))
+    per_account = (t.emprestimo.where(year_range("data_contratacao", year))
+                   .groupBy("id_conta", "data_contratacao").agg(F.sum(V).alias("_v")))
+    daily = loan_chain(t, "required", per_account).groupBy("data_contratacao").agg(F.sum("_v").alias("total"))
     w = Window.orderBy("data_contratacao").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return daily.select("total", "data_contratacao", F.sum("total").over(w).alias("soma_acumulada"))

@@ -105,10 +105,10 @@ def golden_month(t: Tables, year: int = 2024, as_asked: bool = False) -> DataFra
     """Q23 — each agency's month of `year` with the largest volume (ties: earliest month).
 
     As written the ranking groups agencies by *name*; ``as_asked`` ranks per agency id."""
-    loans = t.emprestimo.where(year_range("data_contratacao", year))
-    df = loan_chain(t, "columns", loans)
-    totals = df.groupBy("id_agencia", "nome_agencia", month_key("data_contratacao").alias("mes")) \
-        .agg(F.sum(V).alias("total"))
+    per_account = (t.emprestimo.where(year_range("data_contratacao", year))
+                   .groupBy("id_conta", month_key("data_contratacao").alias("mes")).agg(F.sum(V).alias("_v")))
+    df = loan_chain(t, "columns", per_account)
+    totals = df.groupBy("id_agencia", "nome_agencia", "mes").agg(F.sum("_v").alias("total"))
     part = "id_agencia" if as_asked else "nome_agencia"
     best = top_n_per_group(totals, [part], [F.desc("total"), F.asc("mes")], 1, "row_number", "_r")
     return best.select("nome_agencia", "mes", "total")
