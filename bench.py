@@ -4,8 +4,9 @@ Runs every headline report (q01..q40) on ``$BENCH_SF_DIR`` (default
 /root/testdata/sf0.1) with ``local[$BENCH_CPUS]``: one warm-up plus
 ``$BENCH_RUNS`` timed runs each, forced with the ``noop`` sink, and prints ONE
 JSON line: {"metric", "value" (sum of per-query medians), "unit", "queries",
-"sf", ...}.  With ``BENCH_DUCKDB=1`` it also times each oracle statement in
-DuckDB on the same files (reported under "duckdb_queries").
+"sf", ...}.  It also times each oracle statement in DuckDB on the same files
+("duckdb_queries", "duckdb_total"; ``BENCH_DUCKDB=0`` skips that).
+``BENCH_CONF`` may hold a JSON object of extra Spark settings.
 """
 
 from __future__ import annotations
@@ -81,7 +82,7 @@ def main():
     }
     spark.stop()
 
-    if os.environ.get("BENCH_DUCKDB") == "1":
+    if os.environ.get("BENCH_DUCKDB", "1") == "1":
         import duckdb
 
         from creditlens.plans.oracle import ORACLE_SQL
