@@ -105,3 +105,17 @@ def test_exact_moments_match_builtin_and_ignore_partitioning(spark):
         assert got["stddev_pop"] == pytest.approx(ref["sd"], rel=1e-12)
         outs.add((got["mean"], got["var_pop"], got["stddev_pop"]))
     assert len(outs) == 1  # bit-identical whatever the partitioning
+
+
+def test_values_at_ranks_falls_back_when_the_bracket_is_wrong(spark, monkeypatch):
+    import creditlens.operators.selection as sel
+
+    df = _data(spark, n=3000)
+    vals = sorted((r["v"] for r in df.collect()), key=lambda x: (x is not None, x))
+    n = len(vals)
+    # a sketch that always answers the minimum: the exact-count proof fails
+    monkeypatch.setattr(sel.F, "percentile_approx",
+                        lambda col, pct, acc: F.array(*[F.min(col)] * 8))
+    picks = lambda n: [(n + 1) // 2, n - n // 10 + 1]
+    got = {r["rank"]: r["v"] for r in sel.values_at_ranks(df, "v", picks, window_max_rows=10).collect()}
+    assert got == {k: vals[k - 1] for k in picks(n)}
