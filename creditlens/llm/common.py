@@ -57,3 +57,27 @@ class Scratch:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def located(docs: DataFrame, scratch: Scratch, *columns: Column) -> DataFrame:
+    """The given columns with ``file`` and ``row``: the file and row number that hold each row.
+
+    The pair identifies a row even if its id is null or repeated, and stays
+    the same on every scan.  A frame that is not a plain file scan is written
+    to the scratch folder first.
+    """
+    try:
+        meta = docs.metadataColumn("_metadata")
+        return docs.select(*columns, meta["file_path"].alias("file"), meta["row_index"].alias("row"))
+    except Exception as e:
+        if "UNRESOLVED" not in str(e) and "_metadata" not in str(e):
+            raise
+    return located(scratch.write(docs, "copy"), scratch, *columns)
+
+
+def join_rows(docs: DataFrame, decisions: DataFrame, how: str = "inner") -> DataFrame:
+    """``docs`` (a file scan) joined with ``decisions`` by their (file, row)."""
+    meta = docs.metadataColumn("_metadata")
+    at = docs.withColumns({"__file": meta["file_path"], "__row": meta["row_index"]})
+    keyed = decisions.withColumnsRenamed({"file": "__file", "row": "__row"})
+    return at.join(keyed, ["__file", "__row"], how).drop("__file", "__row")

@@ -1,8 +1,10 @@
 """Registered queries of the training-data operators and their DuckDB SQL, where SQL can express them."""
 
-from creditlens.llm import exact_dedup
+from creditlens.llm import exact_dedup, mixing, quality_rules
 
 QUERIES = {
+    "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_mixing": mixing.op6_mixing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 

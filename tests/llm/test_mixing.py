@@ -1,0 +1,84 @@
+import heapq
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from creditlens.llm import mixing as op
+
+
+def one_by_one(votes, seats, caps):
+    got = [0] * len(votes)
+    queue = [(-v, i) for i, v in enumerate(votes) if v > 0 and caps[i] > 0]
+    heapq.heapify(queue)
+    while seats and queue:
+        _, i = heapq.heappop(queue)
+        got[i], seats = got[i] + 1, seats - 1
+        if got[i] < caps[i]:
+            heapq.heappush(queue, (-votes[i] / (2 * got[i] + 1), i))
+    return got
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 9)), max_size=8), st.integers(0, 60))
+def test_seats_go_by_highest_quotients(rows, seats):
+    votes, caps = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], int)
+    assert op.sainte_lague(votes, seats, caps).tolist() == one_by_one(votes.tolist(), seats, caps.tolist())
+
+
+def test_targets_are_reshared_by_weight():
+    got = op.targets(np.array([100, 1000, 100, 0]), np.array([5.0, 2, 1, 5]), 1.5, 2)
+    assert got.tolist() == [200, 1400, 200, 0]
+    got = op.targets(np.array([1000, 1000, 1000]), np.array([5.0, 2, 1]), 1.5, 2)
+    assert got.tolist() == [2000, 2500 * 2 / 3, 2500 / 3]
+
+
+def check(rows, docs, block):
+    """rows of mix() against the contract, block by block."""
+    size = {d.doc_id: len(re.findall(op.WORD, d.text or "")) for d in docs}
+    by, total = Counter(), Counter()
+    for d in docs:
+        total[d.source] += size[d.doc_id]
+    names = sorted(total, key=lambda s: (s is None, s or ""))
+    want = op.targets(np.array([total[s] for s in names]), np.array([(5.0, 2, 1)[i % 3] for i in range(len(names))]), 1.5, 2)
+    target = dict(zip(names, want))
+    source = {d.doc_id: d.source for d in docs}
+    for r in rows:
+        assert r.size == size[r.doc_id] and r.source_size == total[source[r.doc_id]]
+        assert abs(r.target - target[source[r.doc_id]]) < 1e-6 * max(1, r.target)
+        assert 0 <= r.taken <= 2 * r.size
+        by[source[r.doc_id]] += r.taken
+    for s in names:
+        assert abs(by[s] - target[s]) <= block * 1.5, (s, by[s], target[s])
+
+
+def test_whole_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    rows = op.op6_mixing(spark, sf_dir).collect()
+    assert len(rows) == len(docs)
+    check(rows, docs, 256)
+    assert sorted(rows) == sorted(op.op6_mixing(spark, sf_dir).collect())
+
+
+def test_many_shards_and_texts(docs_of):
+    docs = docs_of([(i, " ".join(f"d{i}w{k}" for k in range(i % 40)), "en", ("a", "b", "c", None)[i % 4]) for i in range(400)]
+                   + [(1000, None, "en", "a"), (1001, "", "en", "z")])
+    rows = op.mix(docs, block=8, shard_words=300).collect()
+    check(rows, docs.collect(), 8 * 12)
+    plan = {r.doc_id: r for r in rows}
+    texts = op.mix_texts(docs, block=8, shard_words=300).collect()
+    assert {t.doc_id for t in texts} == {r.doc_id for r in rows if r.taken}
+    for t in texts:
+        words = t.text.split()
+        assert len(words) == plan[t.doc_id].taken and t.n_chars == len(t.text)
+        assert max(Counter(words).values()) <= 2
+
+
+def test_empty_repeated_and_clashing(docs_of):
+    docs = docs_of([(1, "a b c", "en", "s"), (1, "a b c", "en", "s"), (None, "x", None, None)])
+    rows = op.mix(docs.selectExpr("*", "1 AS size", "2 AS target", "3 AS m", "'q' AS of"), block=1).collect()
+    assert len(rows) == 3 and all(r.taken <= 2 * r.size for r in rows)
+    assert op.mix(docs.where("doc_id = 7")).count() == 0
+    assert [r.taken for r in op.mix(docs_of([(1, None), (2, "")])).collect()] == [0, 0]
