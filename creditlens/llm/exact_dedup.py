@@ -19,11 +19,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditlens.llm.common import SPACE_CLASS, Scratch, table, text_or_empty
+from creditlens.llm.common import SPACE_CLASS, Scratch, join_rows, located, table, text_or_empty
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-BOUNDED = "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage"
+#: Many small stores: memory bounded over all of them, no disk space set aside in advance.
+STORE = {
+    PROVIDER: ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 LAST = 2**63 - 1  # a null id sorts last
 
 STAGED = "id long, digest string, loc long, file string, row long"
@@ -34,19 +39,6 @@ def normalised(text_col: str = "text"):
     return F.regexp_replace(text_or_empty(text_col), SPACE_CLASS, " ")
 
 
-def _located(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, file, row): each row with the file and row number that hold its content."""
-    try:
-        meta = docs.metadataColumn("_metadata")
-        return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
-                           meta["file_path"].alias("file"), meta["row_index"].alias("row"))
-    except Exception as e:  # not a file scan: give the rows a file of their own
-        if "UNRESOLVED" not in str(e) and "_metadata" not in str(e):
-            raise
-    copy = scratch.write(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "copy")
-    return _located(copy, scratch, "id", "text")
-
-
 def run_state(spark: SparkSession, staged_dir: str, state_dir: str, files_per_trigger: int = 1000) -> DataFrame:
     """Stream all staged files not seen before into the keyed state; returns the state.
 
@@ -57,9 +49,9 @@ def run_state(spark: SparkSession, staged_dir: str, state_dir: str, files_per_tr
     order = F.coalesce("id", F.lit(LAST))
     keyed = staged.groupBy("digest").agg(F.min("id").alias("keep_id"), F.min_by("loc", order).alias("keep_loc"),
                                          F.count(F.lit(1)).alias("n"))
-    before = {k: spark.conf.get(k, None) for k in (PROVIDER, BOUNDED)}
-    spark.conf.set(PROVIDER, ROCKSDB)
-    spark.conf.set(BOUNDED, "true")
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         (keyed.writeStream.format("noop").outputMode("update").option("checkpointLocation", state_dir)
          .trigger(availableNow=True).start().awaitTermination())
@@ -84,7 +76,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact-dedup")
-    rows = _located(docs, scratch, id_col, text_col).withColumn("norm", normalised())
+    rows = located(docs, scratch, F.col(id_col).cast("long").alias("id"), normalised(text_col).alias("norm"))
     rows = rows.withColumn("sha", F.sha2("norm", 256)).withColumn("digest", F.substring("sha", 1, key_hex))
     staged = scratch.write(rows.select("id", "digest", F.monotonically_increasing_id().alias("loc"), "file", "row",
                                        *(["sha"] if key_hex < 64 else [])), "staged")
@@ -114,10 +106,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` (a file scan) that stay, with all their columns."""
     kept = exact_dedup(docs, id_col, text_col).where("kept")
-    meta = docs.metadataColumn("_metadata")
-    at = docs.select("*", meta["file_path"].alias("__file"), meta["row_index"].alias("__row"))
-    return at.join(kept.select(F.col("file").alias("__file"), F.col("row").alias("__row")), ["__file", "__row"],
-                   "left_semi").drop("__file", "__row")
+    return join_rows(docs, kept.select("file", "row"), "left_semi")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
