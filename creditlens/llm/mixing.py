@@ -103,7 +103,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
                            .withColumn("m", F.expr(f"(words + {block - 1}) div {block}")), "shards")
 
     def seats_of_sources(frames):
-        f = pd.concat(list(frames), ignore_index=True)
+        frames = [f for f in frames if len(f)]
+        if not frames:
+            return
+        f = pd.concat(frames, ignore_index=True)
         order = sorted(range(len(f)), key=lambda i: (pd.isna(f["of"][i]), f["of"][i] if not pd.isna(f["of"][i]) else ""))
         f = f.iloc[order].reset_index(drop=True)
         w = np.array([float(weights[i % len(weights)]) for i in range(len(f))])
