@@ -1,11 +1,12 @@
 """Registered queries of the training-data operators and their DuckDB SQL, where SQL can express them."""
 
-from creditlens.llm import exact_dedup, mixing, packing, quality_rules
+from creditlens.llm import exact_dedup, mixing, near_dedup, packing, quality_rules
 
 QUERIES = {
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_mixing": mixing.op6_mixing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_packing": packing.op10_packing,
 }
 
