@@ -1,8 +1,9 @@
 """Registered queries of the training-data operators and their DuckDB SQL, where SQL can express them."""
 
-from creditlens.llm import exact_dedup, mixing, near_dedup, packing, quality_rules
+from creditlens.llm import exact_dedup, lm_scoring, mixing, near_dedup, packing, quality_rules
 
 QUERIES = {
+    "op4_lm_scoring": lm_scoring.op4_lm_scoring,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_mixing": mixing.op6_mixing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
