@@ -1,16 +1,28 @@
 """Registered queries of the training-data operators and their DuckDB SQL, where SQL can express them."""
 
-from creditlens.llm import exact_dedup, lm_scoring, mixing, near_dedup, packing, quality_rules
+from creditlens.llm import (
+    exact_dedup,
+    lm_scoring,
+    mixing,
+    near_dedup,
+    packing,
+    quality_classifier,
+    quality_rules,
+    tool_calls,
+)
 
 QUERIES = {
+    "op3_quality_classifier": quality_classifier.op3_quality_classifier,
     "op4_lm_scoring": lm_scoring.op4_lm_scoring,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_mixing": mixing.op6_mixing,
+    "op7_tool_calls": tool_calls.op7_tool_calls,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_packing": packing.op10_packing,
 }
 
 ORACLES = {
+    "op7_tool_calls": tool_calls.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
 }
