@@ -36,28 +36,29 @@ def star_edges(buckets: DataFrame) -> DataFrame:
     return buckets.join(hubs, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct()
 
 
-def star_tasks(edges: DataFrame) -> DataFrame:
+def star_tasks(edges: DataFrame, block: int | None = None) -> DataFrame:
     """(task, blk, c, id) to compare each a with its b: a hub and at most about BLOCK members a task."""
-    fans = edges.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n"))
+    fans = edges.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / (block or BLOCK)).alias("n"))
     dealt = edges.join(fans, "a").withColumn("task", F.xxhash64("a", F.expr("pmod(xxhash64(b), n)")))
     hubs = dealt.select("task", F.lit(0).alias("blk"), F.col("a").alias("c"), F.col("a").alias("id")).distinct()
     return hubs.unionByName(dealt.select("task", F.lit(1).alias("blk"), F.col("b").alias("c"), F.col("b").alias("id")))
 
 
-def cross_tasks(buckets: DataFrame, found: DataFrame) -> DataFrame:
+def cross_tasks(buckets: DataFrame, found: DataFrame, block: int | None = None) -> DataFrame:
     """(task, blk, c, id) to compare bucket members that ``found`` (id, component) leaves apart.
 
     A bucket within one component costs nothing.  Otherwise the members
     outside its largest component (the strangers) form blocks, and so do the
     others; every block of strangers meets every block.
     """
+    block = block or BLOCK
     member = buckets.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     parts = member.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
     mixed = (parts.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("n"),
                                       F.max("n").alias("n_main"), F.count(F.lit(1)).alias("cs")).where("cs > 1"))
-    mixed = mixed.select("key", "main", (F.col("n") <= BLOCK).alias("whole"),
-                         F.ceil((F.col("n") - F.col("n_main")) / BLOCK).alias("odd"),
-                         F.ceil(F.col("n_main") / BLOCK).alias("even"))
+    mixed = mixed.select("key", "main", (F.col("n") <= block).alias("whole"),
+                         F.ceil((F.col("n") - F.col("n_main")) / block).alias("odd"),
+                         F.ceil(F.col("n_main") / block).alias("even"))
     placed = member.join(mixed, "key").withColumn("blk", F.expr(
         "CASE WHEN whole THEN 0 WHEN c <> main THEN pmod(xxhash64(id), odd) ELSE odd + pmod(xxhash64(id), even) END"))
     # block i of strangers meets all blocks; a later block is met by the strangers' blocks only

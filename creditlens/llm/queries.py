@@ -2,16 +2,20 @@
 
 from creditlens.llm import (
     exact_dedup,
+    line_dedup,
     lm_scoring,
     mixing,
     near_dedup,
     packing,
+    pii,
     quality_classifier,
     quality_rules,
     tool_calls,
 )
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_pii_surrogates": pii.op2_pii_surrogates,
     "op3_quality_classifier": quality_classifier.op3_quality_classifier,
     "op4_lm_scoring": lm_scoring.op4_lm_scoring,
     "op5_quality_rules": quality_rules.op5_quality_rules,
