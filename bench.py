@@ -87,7 +87,7 @@ def main():
 
         from creditlens.plans.oracle import ORACLE_SQL
         con = duckdb.connect()
-        for t in ("region", "nation", "customer", "orders", "lineitem"):
+        for t in ("region", "nation", "customer", "supplier", "orders", "lineitem"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
         dq = {}
         for name in keys:

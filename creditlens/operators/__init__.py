@@ -1,7 +1,7 @@
 """Reusable relational operators (S01–S11)."""
 
 from creditlens.operators.audit import audit_domain, audit_foreign_key, audit_primary_key
-from creditlens.operators.broadcast import join_small
+from creditlens.operators.broadcast import join_groups
 from creditlens.operators.chain import (account_owners, loan_chain, loans_with_owner, members,
                                         per_loan, with_evidence)
 from creditlens.operators.conditional import conditional_totals
@@ -13,7 +13,7 @@ from creditlens.operators.ranking import top_n_per_group
 from creditlens.operators.selection import values_at_ranks
 
 __all__ = [
-    "audit_domain", "audit_foreign_key", "audit_primary_key", "join_small", "account_owners",
+    "audit_domain", "audit_foreign_key", "audit_primary_key", "join_groups", "account_owners",
     "loan_chain", "loans_with_owner", "members", "per_loan", "with_evidence",
     "conditional_totals", "deviation_from_group_mean", "group_means", "dispersion", "exact_moments",
     "global_ntile", "global_rank", "period_change", "top_n_per_group",

@@ -17,10 +17,11 @@ def audit_primary_key(df: DataFrame, key: str) -> DataFrame:
 
 
 def audit_foreign_key(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
-    """Distinct non-NULL foreign-key values of ``child`` with no parent row, and how many rows carry each."""
-    keys = parent.select(F.col(pk).alias(fk))
-    orphans = child.where(F.col(fk).isNotNull()).join(keys, fk, "left_anti")
-    return orphans.groupBy(fk).agg(F.count(F.lit(1)).alias("ocorrencias"))
+    """Distinct non-NULL foreign-key values of ``child`` with no parent row, and how many rows carry each.
+
+    The child is counted per key first, so one row per key (and task) is shuffled, however hot the key."""
+    used = child.where(F.col(fk).isNotNull()).groupBy(fk).agg(F.count(F.lit(1)).alias("ocorrencias"))
+    return used.join(parent.select(F.col(pk).alias(fk)), fk, "left_anti")
 
 
 def audit_domain(df: DataFrame, col: str, allowed: tuple[str, ...] | list[str]) -> DataFrame:

@@ -1,31 +1,19 @@
-"""Joins against a small side whose size is checked before it is broadcast."""
+"""Joins of rows with one row per group."""
 
 from __future__ import annotations
 
-import weakref
+from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from creditlens.sources.tables import DIM_BROADCAST_MAX_ROWS
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined with ``groups`` (one row per key); a NULL key meets the NULL group.
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = DIM_BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join ``big`` with a side expected to be small (e.g. one row per group).
-
-    The small side is persisted and counted with ``limit(max_rows + 1)``; it is
-    broadcast only when that proves at most ``max_rows`` rows.  Otherwise it is
-    released and the join stays a shuffle join (AQE can still re-plan it from
-    measured sizes).  The big side is never shuffled for a broadcast join.
-    The cached small side is released when the returned DataFrame is garbage
-    collected (a later use would simply recompute it).
+    No size is counted ahead: the groups are an aggregate, whose measured size
+    lets AQE broadcast it when it is small; otherwise it stays a shuffle join
+    with AQE's skew splitting.  The groups are computed once.
     """
-    small = small.persist(StorageLevel.MEMORY_AND_DISK)
-    if small.limit(max_rows + 1).count() <= max_rows:
-        out = big.join(F.broadcast(small), on, how)
-        weakref.finalize(out, small.unpersist)
-        return out
-    small.unpersist()
-    return big.join(small, on, how)
+    named = groups.withColumnsRenamed({k: f"_g_{k}" for k in keys})
+    cond = reduce(lambda a, b: a & b, (rows[k].eqNullSafe(named[f"_g_{k}"]) for k in keys))
+    return rows.join(named, cond).drop(*(f"_g_{k}" for k in keys))

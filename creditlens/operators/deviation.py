@@ -1,7 +1,7 @@
 """S04 deviation from the mean of a group.
 
 The group means are a ``groupBy`` (partial aggregation, skew-proof) joined back
-to the rows through ``join_small``; a window ``AVG() OVER (PARTITION BY g)``
+to the rows through ``join_groups`` (NULL is a group too); a window ``AVG() OVER (PARTITION BY g)``
 would instead send every row of a low-cardinality group (a profile, a
 modality) into one task.
 """
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditlens.functions.columns import mean_of
-from creditlens.operators.broadcast import join_small
+from creditlens.operators.broadcast import join_groups
 
 
 def group_means(df: DataFrame, keys: list[str], value: str, mean_col: str) -> DataFrame:
@@ -40,4 +40,4 @@ def deviation_from_group_mean(rows: DataFrame, population: DataFrame | None, key
         means = group_means(population, keys, value, mean_col)
     if round_mean is not None:
         means = means.withColumn(mean_col, F.round(mean_col, round_mean))
-    return join_small(rows, means, keys)
+    return join_groups(rows, means, keys)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditlens.functions.columns import mean_of
+from creditlens.operators.broadcast import join_groups
 
 
 def dispersion(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -36,24 +37,13 @@ def exact_moments(df: DataFrame, value: str, keys: list[str] = ()) -> DataFrame:
     ``c = Σcents div n``, then exact DECIMAL sums of the shifted cents d = cents - c
     and d².  The shift keeps E[d²] - E[d]² free of cancellation; one fixed
     sequence of IEEE operations turns the exact sums into doubles.  The first
-    pass has one row per group: it is broadcast into the second after a size
-    check (``join_small``), matching NULL group keys too.
+    pass has one row per group and is joined back, matching NULL group keys too.
     """
-    from creditlens.operators.broadcast import join_small
-
     keys = list(keys)
     v = F.col(value)
     first = (df.groupBy(*keys).agg(F.count(v).alias("_n"), F.sum(v).alias("_s1"))
              .withColumn("_c", F.expr("cast(_s1 * 100 as decimal(38,0)) div nullif(_n, 0)")))
-    if keys:
-        renamed = first.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n", "_s1", "_c")
-        cond = None
-        for i, k in enumerate(keys):
-            c = df[k].eqNullSafe(renamed[f"_k{i}"])
-            cond = c if cond is None else cond & c
-        joined = join_small(df, renamed, cond)
-    else:
-        joined = df.crossJoin(F.broadcast(first))
+    joined = join_groups(df, first, keys) if keys else df.crossJoin(F.broadcast(first))
     d = (v * 100).cast("decimal(38,0)") - F.col("_c")
     sums = joined.groupBy(*keys).agg(
         F.max("_n").alias("_n"), F.max("_s1").alias("_s1"),

@@ -37,6 +37,7 @@ _OFF = "_gl_off"
 _SOFF = "_gl_soff"
 _TOT = "_gl_tot"
 _TSUM = "_gl_tsum"
+_SEEN = "_gl_seen"  # non-NULL values
 _POS_BITS = 33  # monotonically_increasing_id: partition index << 33 | position
 
 
@@ -68,7 +69,7 @@ def global_rank(df: DataFrame, order: list[Column], rank_col: str = "rn",
 
     per_part = [F.count(F.lit(1)).alias(_CNT)]
     if running_sum is not None:
-        per_part.append(F.sum(running_sum).alias(_SUM))
+        per_part += [F.sum(running_sum).alias(_SUM), F.count(running_sum).alias(_SEEN)]
     stats = tagged.groupBy(_PID).agg(*per_part)
 
     before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
@@ -79,6 +80,7 @@ def global_rank(df: DataFrame, order: list[Column], rank_col: str = "rn",
     if running_sum is not None:
         zero = F.lit(0).cast(stats.schema[_SUM].dataType)
         cols += [F.coalesce(F.sum(_SUM).over(before), zero).alias(_SOFF),
+                 F.coalesce(F.sum(_SEEN).over(before), F.lit(0)).alias(_SEEN),
                  F.sum(_SUM).over(whole).alias(_TSUM)]
     # at most one row per range partition (<= spark.sql.shuffle.partitions, or
     # `partitions`): the broadcast side is bounded by configuration, not data
@@ -88,12 +90,15 @@ def global_rank(df: DataFrame, order: list[Column], rank_col: str = "rn",
     out = out.withColumn(rank_col, F.col(_OFF) + pos + 1)
     if running_sum is not None:
         local = Window.partitionBy(_PID).orderBy(_MID).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = out.withColumn(running_col, F.col(_SOFF) + F.sum(running_sum).over(local))
+        # as SUM() OVER: NULL values add nothing, and the sum is NULL until the first value
+        seen = F.col(_SEEN) + F.count(running_sum).over(local)
+        total = F.col(_SOFF) + F.coalesce(F.sum(running_sum).over(local), F.lit(0))
+        out = out.withColumn(running_col, F.when(seen > 0, total))
         if total_sum_col:
             out = out.withColumn(total_sum_col, F.col(_TSUM))
     if total_col:
         out = out.withColumn(total_col, F.col(_TOT))
-    return out.drop(_MID, _PID, _OFF, _TOT, _SOFF, _TSUM)
+    return out.drop(_MID, _PID, _OFF, _TOT, _SOFF, _TSUM, _SEEN)
 
 
 def global_ntile(df: DataFrame, order: list[Column], k: int, tile_col: str = "tile",

@@ -23,12 +23,13 @@ PARAMS = {
     "q01_year": 1998,
     "q01_k": 2,
     "q04_factor": 1.9,
-    "q05_year": 1997,
+    "q05_year": 2001,  # the driver's orders end in August
     "q07_agency": 1,
     "q18_modality": 4,
     "q18_width": 3,
     "q19_min_volume": 1500000,
     "q21_max_days": 30,
+    "q21_min_value": 200000,
     "q23_year": 1998,
     "q27_year": 1998,
     "q29_profile": "BUILDING",
@@ -94,6 +95,7 @@ REPORTS: dict[str, tuple[Callable[..., DataFrame], dict]] = {
     "q11_distinct": (crm.ghost_members, dict(distinct=True)),
     "q12_as_asked": (finance.balance_vs_debt, dict(as_asked=True)),
     "q17_by_count": (audit.term_violations, dict(by="count")),
+    "q21_min_value": (ranking.flash_association, dict(max_days=P["q21_max_days"], min_value=P["q21_min_value"])),
     "q23_as_asked": (ranking.golden_month, dict(year=P["q23_year"], as_asked=True)),
     "q25_ordered": (risk.recovered_members, dict(ordered=True)),
     "q30_distinct": (audit.duplicate_instalments, dict(distinct=True)),

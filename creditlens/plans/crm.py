@@ -58,12 +58,23 @@ def mean_ticket_by_tenure(t: Tables, full_years: bool = False) -> DataFrame:
                 .agg(F.sum(V).alias("_s"), F.count(V).alias("_n")))
     df = loan_chain(t, "none", partials)
     out = df.groupBy(_tenure_years(full_years).alias("anos")).agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
-    return out.select("anos", F.try_divide(F.col("_s").cast("double"), F.col("_n").cast("double")).alias("ticket_medio"))
+    return out.select("anos", F.try_divide(F.col("_s").cast("double"), F.col("_n").cast("double")).alias("ticket_medio")).orderBy("anos")
 
 
 def tenure_value_correlation(t: Tables, full_years: bool = False) -> DataFrame:
     """Q39 option — Pearson correlation between tenure (years) and loan value,
-    the measure the question's title names; one row, rounded to 6 decimals."""
-    df = loan_chain(t, "none")
-    r = F.corr(_tenure_years(full_years).cast("double"), F.col(V).cast("double"))
-    return df.agg(F.round(r, 6).alias("correlacao"))
+    the measure the question's title names; one row, rounded to 6 decimals.
+
+    Loans become exact sums per account and date before they meet the members."""
+    when = F.col("data_contratacao") if full_years else F.make_date(F.year("data_contratacao"), F.lit(1), F.lit(1))
+    v = F.col(V)
+    partials = (t.emprestimo.where(v.isNotNull()).groupBy("id_conta", when.alias("data_contratacao"))
+                .agg(F.count(v).alias("_n"), F.sum(v).alias("_y"), F.sum(v * v).alias("_yy")))
+    x = F.col("_x").cast("decimal(10,0)")
+    rows = loan_chain(t, "none", partials).withColumn("_x", _tenure_years(full_years)).where("_x IS NOT NULL")
+    s = rows.agg(*(F.sum(c).cast("double").alias(k) for k, c in {
+        "n": F.col("_n"), "x": x * F.col("_n"), "xx": x * x * F.col("_n"), "y": F.col("_y"), "yy": F.col("_yy"),
+        "xy": x * F.col("_y")}.items()))
+    spread = F.sqrt((F.col("n") * F.col("xx") - F.col("x") * F.col("x")) * (F.col("n") * F.col("yy") - F.col("y") * F.col("y")))
+    r = F.try_divide(F.col("n") * F.col("xy") - F.col("x") * F.col("y"), spread)
+    return s.select(F.round(r, 6).alias("correlacao"))

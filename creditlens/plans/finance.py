@@ -32,7 +32,7 @@ def mom_growth(t: Tables, year: int = 2023, fill_calendar: bool = False) -> Data
             F.format_string("%04d-%02d", F.lit(year), F.col("id").cast("int")).alias("mes"))
         zero = F.lit(0).cast(totals.schema["total_atual"].dataType)
         totals = months.join(totals, "mes", "left").select("mes", F.coalesce("total_atual", zero).alias("total_atual"))
-    return period_change(totals, "mes", "total_atual", "total_mes_anterior", "crescimento_percentual")
+    return period_change(totals, "mes", "total_atual", "total_mes_anterior", "crescimento_percentual").orderBy("mes")
 
 
 def cashflow_by_modality(t: Tables) -> DataFrame:
@@ -103,9 +103,9 @@ def moving_average(t: Tables, id_modalidade: int = 4, width: int = 3, bucket_row
             .withColumn("_b", bucket + 1).withColumn("_own", F.lit(False)))
     frame = Window.partitionBy("_b").orderBy("_rn").rowsBetween(-(width - 1), Window.currentRow)
     both = own.unionByName(halo)
-    media = F.sum(V).over(frame).cast("double") / F.count(F.lit(1)).over(frame).cast("double")
-    return (both.select("data_contratacao", V, "_own", media.alias("media_movel"))
-            .where(F.col("_own")).drop("_own"))
+    media = F.try_divide(F.sum(V).over(frame).cast("double"), F.count(V).over(frame).cast("double"))
+    return (both.select("_rn", "data_contratacao", V, "_own", media.alias("media_movel"))
+            .where(F.col("_own")).orderBy("_rn").drop("_own", "_rn"))
 
 
 def instalment_pivot(t: Tables) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +42,7 @@ def running_total_by_agency(t: Tables, id_agencia: int = 1, status: str = "Ativo
     if with_share:
         ranked = ranked.withColumn("pct_acumulado", F.round(pct("running_total", "_total"), 2))
         cols.append("pct_acumulado")
-    return ranked.select(*cols)
+    return ranked.orderBy("_rn").select(*cols)
 
 
 def member_totals(t: Tables, extra: list[str] = ()) -> DataFrame:
@@ -69,15 +70,18 @@ def extreme_deciles(t: Tables, n: int = 10, keep=(1, 10)) -> DataFrame:
 
 def next_due_instalment(t: Tables, loan_status: str = "Ativo", pending: str = "Pendente") -> DataFrame:
     """Q15 — for each loan in `loan_status`, its pending instalment with the
-    earliest due date (ties: lowest instalment id, then value)."""
+    earliest due date (ties: lowest instalment id)."""
+    # (due date, id) as one number, no date first: a fixed-width ordering that a hash aggregate can hold
+    due = F.coalesce(F.datediff("data_vencimento", F.lit("1970-01-01")), F.lit(-10_000_000)).cast("decimal(18,0)")
+    order = due * F.lit(Decimal(10**19)) + F.coalesce("id_parcela", F.lit(0)).cast("decimal(20,0)")
     first = (t.parcela.where(F.col("status_parcela") == pending)
              .groupBy("id_emprestimo")
-             .agg(F.min(F.struct("data_vencimento", "id_parcela", "valor_parcela")).alias("_p")))
+             .agg(F.min_by("data_vencimento", order).alias("data_vencimento"),
+                  F.min_by("valor_parcela", order).alias("valor_parcela")))
     loans = t.emprestimo.where(F.col("status_contrato") == loan_status).join(first, "id_emprestimo")
     df = loan_chain(t, "required", loans)
     return df.select("id_emprestimo", "nome_completo",
-                     F.col("_p.valor_parcela").alias("valor_parcela"),
-                     F.col("_p.data_vencimento").alias("data_vencimento"))
+                     "valor_parcela", "data_vencimento")
 
 
 def flash_association(t: Tables, max_days: int = 30, min_value=None) -> DataFrame:
@@ -87,12 +91,14 @@ def flash_association(t: Tables, max_days: int = 30, min_value=None) -> DataFram
     one of at least that value ("giant" loans in the question)."""
     # earliest date, and the largest value contracted on that date: first per
     # account (partial aggregation), then per member across their accounts
-    first_key = F.struct(F.col("data_contratacao").alias("d"), (-F.col(V)).alias("neg"))
-    per_account = t.emprestimo.groupBy("id_conta").agg(F.min(first_key).alias("_f"))
+    # (one number, so that hash aggregates hold it: days * 10^18 minus the value in cents)
+    days = F.datediff("data_contratacao", F.lit("1970-01-01")).cast("decimal(19,0)") * F.lit(Decimal(10**18))
+    cents = F.coalesce(F.col(V), F.lit(0)).cast("decimal(17,2)") * 100
+    per_account = t.emprestimo.groupBy("id_conta").agg(F.min((days - cents).cast("decimal(38,0)")).alias("_f"),
+                                                       F.min("data_contratacao").alias("data_contratacao"))
     first = (per_account.join(t.conta.select("id_conta", "id_cooperado"), "id_conta")
-             .groupBy("id_cooperado").agg(F.min("_f").alias("_f"))
-             .select("id_cooperado", F.col("_f.d").alias("data_contratacao"),
-                     (-F.col("_f.neg")).alias("_first_max")))
+             .groupBy("id_cooperado").agg(F.min("_f").alias("_f"), F.min("data_contratacao").alias("data_contratacao"))
+             .select("id_cooperado", "data_contratacao", ((days - F.col("_f")) / 100).alias("_first_max")))
     df = first.join(members(t, "required"), "id_cooperado")
     df = df.withColumn("diferenca_dias", days_between("data_contratacao", "data_associacao"))
     df = df.where((F.col("diferenca_dias") >= 0) & (F.col("diferenca_dias") <= max_days))

@@ -90,12 +90,12 @@ def risk_score_summary(t: Tables, late: str = "Atrasada", include_no_history: bo
                   .groupBy("nome_agencia", "id_cooperado").agg(F.sum("n_late").alias("total_atrasos")))
     if include_no_history:
         everyone = members(t, "columns").select("nome_agencia", "id_cooperado")
-        per_member = (everyone.join(per_member, ["nome_agencia", "id_cooperado"], "left")
+        per_member = (everyone.join(per_member.drop("nome_agencia"), "id_cooperado", "left")
                       .fillna(0, subset=["total_atrasos"]))
     classified = per_member.select(F.col("nome_agencia").alias("agencia"),
                                    _risk_class(F.col("total_atrasos")).alias("classificacao_de_risco"))
     return classified.groupBy("agencia", "classificacao_de_risco").agg(
-        F.count(F.lit(1)).alias("quantidade_cooperados"))
+        F.count(F.lit(1)).alias("quantidade_cooperados")).orderBy("agencia", "classificacao_de_risco")
 
 
 def weighted_rate_by_agency(t: Tables, status: str = "Ativo") -> DataFrame:
@@ -105,7 +105,8 @@ def weighted_rate_by_agency(t: Tables, status: str = "Ativo") -> DataFrame:
         F.sum(F.col(V) * F.col("taxa_juros_anual")).alias("_vr"), F.sum(V).alias("_v"))
     df = loan_chain(t, "columns", per_account)
     out = df.groupBy("id_agencia", "nome_agencia").agg(F.sum("_vr").alias("_vr"), F.sum("_v").alias("_v"))
-    return out.select("nome_agencia", round2(ratio("_vr", "_v")).alias("taxa_media_ponderada"))
+    return (out.select("id_agencia", "nome_agencia", round2(ratio("_vr", "_v")).alias("taxa_media_ponderada"))
+            .orderBy(F.desc_nulls_last("taxa_media_ponderada"), "id_agencia").drop("id_agencia"))
 
 
 def vip_defaulters(t: Tables, min_volume=100000, late: str = "Atrasada") -> DataFrame:
@@ -183,4 +184,5 @@ def loan_range_by_agency(t: Tables, min_range=50000) -> DataFrame:
     df = loan_chain(t, "columns", per_account)
     out = df.groupBy("id_agencia", "nome_agencia").agg(F.max("_max").alias("_max"), F.min("_min").alias("_min"))
     out = out.withColumn("amplitude", F.col("_max") - F.col("_min"))
-    return out.where(F.col("amplitude") > F.lit(min_range)).select("nome_agencia", "amplitude")
+    return (out.where(F.col("amplitude") > F.lit(min_range)).select("id_agencia", "nome_agencia", "amplitude")
+            .orderBy(F.desc("amplitude"), "id_agencia").drop("id_agencia"))

@@ -16,6 +16,7 @@ from creditlens.sources.tables import Tables
 
 # Fixed values of the mapping (FIXTURES §1).
 SECOND_ACCOUNT_OFFSET = 1_000_000_000
+SUPPLIER_OFFSET = 2_000_000_000  # suppliers are members (and accounts) that never borrow
 ASSOCIATION_EPOCH = "1995-01-01"
 LOAN_STATUS_BY_ORDER_STATUS = {"O": "Ativo", "F": "Quitado", "P": "Inadimplente"}
 INSTALMENT_STATUS_BY_RETURNFLAG = {"R": "Paga", "N": "Pendente", "A": "Atrasada"}
@@ -43,20 +44,28 @@ def from_star_schema(spark: SparkSession, sf_dir: str) -> Tables:
     customer = _read(spark, sf_dir, "customer")
     orders = _read(spark, sf_dir, "orders")
     lineitem = _read(spark, sf_dir, "lineitem")
+    supplier = _read(spark, sf_dir, "supplier")
 
     agencia = (nation.join(region, nation.n_regionkey == region.r_regionkey)
                .select(F.col("n_nationkey").cast("bigint").alias("id_agencia"),
-                       F.col("n_name").alias("nome_agencia"),
+                       # two branches of one name: the last repeats the name of the first
+                       F.when(F.col("n_nationkey") == 24, "NATION_0").otherwise(F.col("n_name")).alias("nome_agencia"),
                        F.col("r_name").alias("cidade")))
 
-    cust = F.col("c_custkey")
+    cust, supp = F.col("c_custkey"), F.col("s_suppkey").cast("bigint")
     cooperado = customer.select(
         cust.alias("id_cooperado"),
         F.col("c_name").alias("nome_completo"),
         F.col("c_mktsegment").alias("perfil_produtor"),
         F.date_add(F.lit(ASSOCIATION_EPOCH).cast("date"), (cust % 365).cast("int")).alias("data_associacao"),
         F.col("c_nationkey").cast("bigint").alias("id_agencia"),
-    )
+    ).unionByName(supplier.select(
+        (supp + SUPPLIER_OFFSET).alias("id_cooperado"),
+        F.col("s_name").alias("nome_completo"),
+        F.lit("SUPPLIER").alias("perfil_produtor"),
+        F.date_add(F.lit(ASSOCIATION_EPOCH).cast("date"), (supp % 365).cast("int")).alias("data_associacao"),
+        F.col("s_nationkey").cast("bigint").alias("id_agencia"),
+    ))
 
     # one pass over customer: every member's account, plus a second account for
     # every tenth member (one scan, no union for the planner to split work over)
@@ -68,10 +77,18 @@ def from_star_schema(spark: SparkSession, sf_dir: str) -> Tables:
     second_account = F.when(cust % 10 == 0, F.struct(
         (cust + SECOND_ACCOUNT_OFFSET).alias("id_conta"),
         cust.alias("id_cooperado"),
-        (-F.col("c_acctbal")).cast(MONEY).alias("saldo_atual"),
+        # every second one is empty
+        F.when(cust % 20 == 0, F.lit(0)).otherwise(-F.col("c_acctbal")).cast(MONEY).alias("saldo_atual"),
         F.lit("Ativa").alias("status_conta")))
     conta = (customer.select(F.explode(F.array(first_account, second_account)).alias("_a"))
              .where(F.col("_a").isNotNull()).select("_a.*"))
+    first_account, second_account = (F.struct(
+        (supp + SUPPLIER_OFFSET + offset).alias("id_conta"), (supp + SUPPLIER_OFFSET).alias("id_cooperado"),
+        (sign * F.col("s_acctbal")).cast(MONEY).alias("saldo_atual"), F.lit(status).alias("status_conta"))
+        for offset, sign, status in ((0, 1, "Ativa"), (SECOND_ACCOUNT_OFFSET, -1, "Inativa")))
+    conta = conta.unionByName(
+        supplier.select(F.explode(F.array(first_account, F.when(supp % 3 == 0, second_account))).alias("_a"))
+        .where(F.col("_a").isNotNull()).select("_a.*"))
 
     prio = F.col("o_orderpriority")
     modalidade = (orders.select(_modality_id(prio).alias("id_modalidade"), prio.alias("nome_modalidade"))
@@ -83,7 +100,7 @@ def from_star_schema(spark: SparkSession, sf_dir: str) -> Tables:
 
     ocust = F.col("o_custkey")
     okey = F.col("o_orderkey")
-    emprestimo = orders.where(ocust % 20 != 7).select(
+    emprestimo = orders.select(
         okey.alias("id_emprestimo"),
         F.when((ocust % 10 == 0) & (okey % 2 == 1), ocust + SECOND_ACCOUNT_OFFSET)
          .otherwise(ocust).alias("id_conta"),
@@ -111,20 +128,32 @@ def from_star_schema(spark: SparkSession, sf_dir: str) -> Tables:
 
 DUCKDB_PRELUDE = f"""
 agencia AS (
-  SELECT CAST(n.n_nationkey AS BIGINT) AS id_agencia, n.n_name AS nome_agencia, r.r_name AS cidade
+  SELECT CAST(n.n_nationkey AS BIGINT) AS id_agencia,
+         CASE WHEN n.n_nationkey = 24 THEN 'NATION_0' ELSE n.n_name END AS nome_agencia, r.r_name AS cidade
   FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey),
 cooperado AS (
   SELECT c_custkey AS id_cooperado, c_name AS nome_completo, c_mktsegment AS perfil_produtor,
          DATE '{ASSOCIATION_EPOCH}' + CAST(c_custkey % 365 AS INTEGER) AS data_associacao,
          CAST(c_nationkey AS BIGINT) AS id_agencia
-  FROM customer),
+  FROM customer
+  UNION ALL
+  SELECT s_suppkey + {SUPPLIER_OFFSET}, s_name, 'SUPPLIER', DATE '{ASSOCIATION_EPOCH}' + CAST(s_suppkey % 365 AS INTEGER),
+         CAST(s_nationkey AS BIGINT)
+  FROM supplier),
 conta AS (
   SELECT c_custkey AS id_conta, c_custkey AS id_cooperado, CAST(c_acctbal AS DECIMAL(15,2)) AS saldo_atual,
          CASE WHEN c_custkey % 4 = 0 THEN 'Inativa' WHEN c_custkey % 4 = 1 THEN 'Bloqueada' ELSE 'Ativa' END AS status_conta
   FROM customer
   UNION ALL
-  SELECT c_custkey + {SECOND_ACCOUNT_OFFSET}, c_custkey, CAST(-c_acctbal AS DECIMAL(15,2)), 'Ativa'
-  FROM customer WHERE c_custkey % 10 = 0),
+  SELECT c_custkey + {SECOND_ACCOUNT_OFFSET}, c_custkey,
+         CAST(CASE WHEN c_custkey % 20 = 0 THEN 0 ELSE -c_acctbal END AS DECIMAL(15,2)), 'Ativa'
+  FROM customer WHERE c_custkey % 10 = 0
+  UNION ALL
+  SELECT s_suppkey + {SUPPLIER_OFFSET}, s_suppkey + {SUPPLIER_OFFSET}, CAST(s_acctbal AS DECIMAL(15,2)), 'Ativa' FROM supplier
+  UNION ALL
+  SELECT s_suppkey + {SUPPLIER_OFFSET} + {SECOND_ACCOUNT_OFFSET}, s_suppkey + {SUPPLIER_OFFSET}, CAST(-s_acctbal AS DECIMAL(15,2)),
+         'Inativa'
+  FROM supplier WHERE s_suppkey % 3 = 0),
 modalidade AS (
   SELECT id_modalidade, nome_modalidade,
          CAST(4 + CAST(2.25 AS DECIMAL(3,2)) * id_modalidade AS DECIMAL(5,2)) AS taxa_juros_anual,
@@ -140,7 +169,7 @@ emprestimo AS (
          CAST(o_orderdate AS DATE) AS data_contratacao,
          CASE o_orderstatus WHEN 'O' THEN 'Ativo' WHEN 'F' THEN 'Quitado' WHEN 'P' THEN 'Inadimplente' END
            AS status_contrato
-  FROM orders WHERE o_custkey % 20 <> 7),
+  FROM orders),
 parcela AS (
   SELECT l_orderkey * 100 + l_linenumber AS id_parcela, l_orderkey AS id_emprestimo,
          CAST(l_linenumber AS INTEGER) AS numero_parcela,

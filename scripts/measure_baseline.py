@@ -68,7 +68,7 @@ def main():
     cpus = os.cpu_count()
     spark = build_session("local[*]", 16)
     con = duckdb.connect()
-    for t in ("region", "nation", "customer", "orders", "lineitem"):
+    for t in ("region", "nation", "customer", "supplier", "orders", "lineitem"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
 
     keys, seen = [], set()
