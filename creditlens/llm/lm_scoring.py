@@ -46,10 +46,15 @@ class Block:
         parts, self.lengths = [], []
         for text in texts:
             words = fold_words(text)
-            parts.append([0, *(numbers.setdefault(w, len(numbers) + 2) for w in words), 1])
+            for w in set(words).difference(numbers):
+                numbers[w] = len(numbers) + 2
+            row = np.empty(len(words) + 2, np.int64)
+            row[0], row[-1] = 0, 1
+            row[1:-1] = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+            parts.append(row)
             self.lengths.append(len(words) + 1)
         sizes = np.array(self.lengths, np.int64) + 1  # with the start mark
-        self.tokens = np.concatenate([np.array(p, np.int64) for p in parts]) if parts else np.empty(0, np.int64)
+        self.tokens = np.concatenate(parts) if parts else np.empty(0, np.int64)
         self.doc = np.repeat(np.arange(len(texts)), sizes)
         first = np.repeat(np.cumsum(sizes) - sizes, sizes)
         depth = np.arange(len(self.tokens)) - first  # tokens before this one, the start mark included
@@ -243,7 +248,7 @@ def _scorer(order: int, n: int, v: int, beta: float):
 
 
 def lm_score(docs: DataFrame, held_out: Column, order: int = 2, beta: float = 50.0,
-             block_bytes: int = 8_000_000) -> DataFrame:
+             block_bytes: int = 3_000_000) -> DataFrame:
     """Score all texts with a model of the rows where ``held_out`` is false.
 
     One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens,
