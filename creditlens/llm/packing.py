@@ -22,6 +22,7 @@ place in its file; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -33,30 +34,61 @@ from pyspark.sql import functions as F
 from creditlens.llm.common import Scratch, located, table
 
 WINDOW = 2048
-CACHED_WORDS = 300_000
+CACHED_WORDS = 700_000
+
+
+#: Words of Latin letters with marks behind: one lower-cased piece of letters, one of marks.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
 
 class WordEncoder:
     """Token ids of texts, encoded word by word.
 
     Holds for tokenizers whose pieces never cross ASCII white space and that
-    drop it (as word_bpe_49k.json).  The ids of frequent words are cached; the
-    cache is bounded.
+    drop it (as word_bpe_49k.json).  Plain words skip the tokenizer's
+    normaliser and splitter and give their pieces to its model at once; that
+    is used only if both ways agree on probes of every letter and mark.  The
+    ids of words and pieces are remembered up to a bound.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.words: dict[bytes, bytes] = {}
-
-    def learn(self, words: list[bytes]) -> None:
-        for k in range(0, len(words), 50_000):
-            part = words[k:k + 50_000]
-            coded = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            self.words.update((w, np.array(e.ids, self.type).tobytes()) for w, e in zip(part, coded))
+        self.pieces: dict[str, bytes] = {}
+        letters = [chr(c) for c in range(0x41, 0x100) if PLAIN.fullmatch(chr(c))]
+        marks = [chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum()]
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.mapped = {ord(x): level.pre_tokenize_str(x)[0][0] for x in letters if not x.isascii()}
+        probes = [x * n + y for x in letters for n in (1, 3) for y in ("", "ab", "Z!")] + ["Ab" + m + "," for m in marks]
+        self.skip = True
+        self.skip = all(self._plain(w) == self._whole(w) for w in probes)
+
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.type).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            found = self.tokenizer.model.tokenize(piece.translate(self.mapped))
+            ids = self.pieces[piece] = np.array([t.id for t in found], self.type).tobytes()
+        return ids
+
+    def _plain(self, word: str) -> bytes | None:
+        parts = PLAIN.fullmatch(word)
+        if parts is None:
+            return None
+        letters, marks = parts.groups()
+        return self._piece(letters.lower()) + (self._piece(marks) if marks else b"")
+
+    def encode(self, word: bytes) -> bytes:
+        text = word.decode()
+        ids = self._plain(text) if self.skip else None
+        return self._whole(text) if ids is None else ids
 
     def ids(self, texts: list[bytes | None], end_id: int) -> list[bytes]:
         end, out = np.array([end_id], self.type).tobytes(), []
@@ -67,7 +99,9 @@ class WordEncoder:
                 if len(self.words) > CACHED_WORDS:
                     self.words.clear()
                     missing = set(words)
-                self.learn(sorted(missing))
+                if len(self.pieces) > CACHED_WORDS:
+                    self.pieces.clear()
+                self.words.update((w, self.encode(w)) for w in missing)
             out.append(b"".join(map(self.words.__getitem__, words)) + end)
         return out
 

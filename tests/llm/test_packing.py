@@ -111,3 +111,13 @@ def test_odd_rows(docs_of, whole):
     assert op.pack(docs.where("doc_id = 9"), PATH).count() == 0
     twice = docs_of([(1, "a b"), (1, "a b"), (None, "c")])
     assert sorted((str(r.doc_id), r.length) for r in op.pack(twice, PATH).collect()) == [("1", 3), ("1", 3), ("None", 2)]
+
+
+def test_plain_words_skip_the_splitter_and_agree(whole, sf_dir):
+    import pyarrow.parquet as pq
+
+    code = op.encoder(PATH)
+    assert code.skip
+    texts = pq.read_table(f"{sf_dir}/documents.parquet", columns=["text"])["text"].to_pylist()
+    for text, ids in zip(texts, code.ids([t.encode() for t in texts], 1)):
+        assert np.frombuffer(ids, "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids + [1]
