@@ -5,9 +5,10 @@ column in ascending order (NULLs first, as in SQL), e.g. a median or a
 percentile cut.  Instead of range-sorting all rows it runs three one-row
 aggregates and then orders only a narrow candidate window:
 
-1. N (all rows) and the non-NULL count;
+1. N (all rows) and the non-NULL count, and in the same pass
 2. ``percentile_approx`` brackets [lo, hi] around each target position
-   (rank error <= N/accuracy, bracket = target ± 2N/accuracy);
+   (rank error <= N/accuracy, bracket = target ± 2N/accuracy) where the caller
+   knows ``around`` which fraction it lies (else one more pass);
 3. exact counts of values < lo and <= hi prove that the target position
    falls inside the bracket (otherwise the bracket is dropped: exact fallback);
 4. the values inside the bracket are grouped (a value repeated by a third of
@@ -34,7 +35,8 @@ WINDOW_MAX_ROWS = 200_000
 
 
 def values_at_ranks(df: DataFrame, value: str, ranks: Callable[[int], list[int]],
-                    accuracy: int = SELECTION_ACCURACY, window_max_rows: int = WINDOW_MAX_ROWS) -> DataFrame:
+                    accuracy: int = SELECTION_ACCURACY, window_max_rows: int = WINDOW_MAX_ROWS,
+                   around: float | None = None) -> DataFrame:
     """Rows (``rank`` BIGINT, ``value``) for each distinct k in ``ranks(N)`` with 1 <= k <= N."""
     spark = df.sparkSession
     v = F.col(value)
@@ -42,7 +44,10 @@ def values_at_ranks(df: DataFrame, value: str, ranks: Callable[[int], list[int]]
     out_schema = T.StructType([T.StructField("rank", T.LongType(), False),
                                T.StructField(value, vtype, True)])
 
-    n_all, n_nn = df.agg(F.count(F.lit(1)), F.count(v)).first()
+    first = [F.count(F.lit(1)), F.count(v)]
+    if around is not None:
+        first.append(F.percentile_approx(v, F.array(*(F.lit(x) for x in _bracket(around, accuracy))), accuracy))
+    n_all, n_nn, *sketch = df.agg(*first).first()
     wanted = sorted({int(k) for k in ranks(int(n_all)) if 1 <= int(k) <= n_all})
     n_null = n_all - n_nn
     null_ranks = [k for k in wanted if k <= n_null]
@@ -53,7 +58,8 @@ def values_at_ranks(df: DataFrame, value: str, ranks: Callable[[int], list[int]]
         parts.append(spark.createDataFrame([(k, None) for k in null_ranks], out_schema))
     if targets:
         parts.append(_select_non_null(df.where(v.isNotNull()).select(value), value, n_nn, targets,
-                                      accuracy, window_max_rows).select("rank", value))
+                                      accuracy, window_max_rows,
+                                      sketch[0] if sketch and n_null == 0 else None).select("rank", value))
     if not parts:
         return spark.createDataFrame([], out_schema)
     res = parts[0]
@@ -62,16 +68,17 @@ def values_at_ranks(df: DataFrame, value: str, ranks: Callable[[int], list[int]]
     return res
 
 
+def _bracket(fraction: float, accuracy: int) -> list[float]:
+    return [max(0.0, fraction - 2.0 / accuracy), min(1.0, fraction + 2.0 / accuracy)]
+
+
 def _select_non_null(df: DataFrame, value: str, n: int, targets: list[tuple[int, int]],
-                     accuracy: int, window_max_rows: int) -> DataFrame:
+                     accuracy: int, window_max_rows: int, approx: list | None = None) -> DataFrame:
     spark = df.sparkSession
     v = F.col(value)
-    delta = 2.0 / accuracy
-    fracs = []
-    for _, pos in targets:
-        f = pos / n
-        fracs += [max(0.0, f - delta), min(1.0, f + delta)]
-    approx = df.agg(F.percentile_approx(v, F.array(*[F.lit(x) for x in fracs]), accuracy)).first()[0]
+    if approx is None:
+        fracs = [x for _, pos in targets for x in _bracket(pos / n, accuracy)]
+        approx = df.agg(F.percentile_approx(v, F.array(*[F.lit(x) for x in fracs]), accuracy)).first()[0]
     lo = min(approx[0::2])
     hi = max(approx[1::2])
     below, upto = df.agg(F.count_if(v < F.lit(lo)), F.count_if(v <= F.lit(hi))).first()

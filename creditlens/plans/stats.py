@@ -36,7 +36,7 @@ def modal_rate(t: Tables) -> DataFrame:
 
 def lower_median(t: Tables) -> DataFrame:
     """Q33 — the loan value at position (N+1) div 2 in ascending order."""
-    rows = values_at_ranks(t.emprestimo, V, lambda n: [(n + 1) // 2])
+    rows = values_at_ranks(t.emprestimo, V, lambda n: [(n + 1) // 2], around=0.5)
     return rows.select(F.col(V).alias("mediana"))
 
 
@@ -84,7 +84,8 @@ def p90_cut(t: Tables, k: int = 10) -> DataFrame:
 
     The last tile holds N div k rows, so its first row is at position
     N - N div k + 1; with N < k it is empty and the cut is NULL."""
-    rows = values_at_ranks(t.emprestimo, V, lambda n: [n - n // k + 1] if n // k > 0 else [])
+    rows = values_at_ranks(t.emprestimo, V, lambda n: [n - n // k + 1] if n // k > 0 else [],
+                          around=1.0 - 1.0 / k)
     return rows.agg(F.min(V).alias("p90"))
 
 
@@ -105,7 +106,7 @@ def distribution_summary(t: Tables, as_asked: bool = False, with_skewness: bool
     else:
         ranks = lambda n: [n // 2, n // 2 + 1, (n + 1) // 2]
     # positions form a set (SQL ``rank IN (...)``): each distinct position counts once
-    mediana = values_at_ranks(t.emprestimo, V, ranks).agg(mean_of(V).alias("mediana"))
+    mediana = values_at_ranks(t.emprestimo, V, ranks, around=0.5).agg(mean_of(V).alias("mediana"))
     moda = (t.emprestimo.groupBy(V).agg(F.count(F.lit(1)).alias("_n"))
             .orderBy(F.desc("_n"), F.asc(V)).limit(1).select(F.col(V).alias("moda")))
     return media.crossJoin(mediana).crossJoin(moda)

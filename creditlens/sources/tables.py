@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,8 @@ from creditlens.sources.schema import SCHEMAS, TABLE_NAMES
 # this many rows; beyond it the join stays a shuffle join (AQE may still
 # convert it at run time from the measured size).
 DIM_BROADCAST_MAX_ROWS = 200_000
+DIM_BROADCAST_MAX_BYTES = 64 << 20  # of their rows as JSON
+SIZE_VERDICT_SECONDS = 600  # a table may grow under the same path
 
 
 @dataclass
@@ -34,15 +37,20 @@ class Tables:
         return getattr(self, name)
 
     def is_small(self, name: str) -> bool:
-        """True when the table provably holds at most ``broadcast_max_rows`` rows.
+        """True when the table provably holds at most ``broadcast_max_rows`` rows
+        and ``DIM_BROADCAST_MAX_BYTES`` bytes.
 
-        ``limit(k+1).count()`` stops as soon as k+1 rows are seen, so the check
-        is cheap even on a large table; the verdict is cached per bundle.
+        Only k+1 rows are looked at; a derived table (the credit products) is
+        computed for it.  The verdict holds for ten minutes.
         """
-        if name not in self._small:
+        verdict, since = self._small.get(name, (False, None))
+        if since is None or time.monotonic() - since > SIZE_VERDICT_SECONDS:
             k = self.broadcast_max_rows
-            self._small[name] = self.table(name).limit(k + 1).count() <= k
-        return self._small[name]
+            rows, size = (self.table(name).limit(k + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("b"))
+                          .agg(F.count(F.lit(1)), F.sum("b")).first())
+            verdict = rows <= k and (size or 0) <= DIM_BROADCAST_MAX_BYTES
+            self._small[name] = (verdict, time.monotonic())
+        return verdict
 
     def dim(self, name: str) -> DataFrame:
         """The table, broadcast-hinted only when its size bound is proven."""
