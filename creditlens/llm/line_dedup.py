@@ -2,10 +2,11 @@
 
 Lines (white space collapsed) are grouped exactly first.  Each distinct line
 is cut into overlapping character shingles; each shingle is hashed once, and
-the signature holds, for each of its components, the smallest hash after a
-fixed XOR (a permutation of the hash values).  The signatures are one hash
-aggregation over exploded shingles; the distinct lines lie in a bucketed
-table, so that aggregation moves no row.  Bands of the signature are buckets.
+the hash deals it to one of the bands.  A band's signature holds the smallest
+hashes of its shingles after fixed XORs (permutations of the hash values).
+The signatures are one hash aggregation over exploded shingles; the distinct
+lines lie in a bucketed table, so that aggregation moves no row.  Equal bands
+are buckets.
 Star edges to each bucket's most central line, then blocks of lines that the
 confirmed stars left apart, are confirmed by the exact Jaccard similarity of
 whole shingle sets, and distributed union-find gives the components.  Of every
@@ -34,7 +35,7 @@ from creditlens.llm.graph import cross_tasks, distinct_buckets, linked, star_tas
 SHINGLE, BANDS, ROWS = 8, 10, 4
 BLOCK = 64
 _DRAW = random.Random(1997)
-MASKS = [_DRAW.getrandbits(64) - 2**63 for _ in range(BANDS * ROWS)]
+MASKS = [_DRAW.getrandbits(64) - 2**63 for _ in range(ROWS)]
 
 
 def _shingles(line: str):
@@ -84,9 +85,12 @@ def line_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     units, starts = _shingles("line")
     hashed = (distinct.select("d1", "d2", units.alias("u"), F.explode(starts).alias("i"))
               .select("d1", "d2", _hash(F.col("u"), F.col("i")).alias("h")))
-    least = hashed.groupBy("d1", "d2").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(MASKS)))
-    bands = F.array(*(F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
-    signed = scratch.write(least.select("d1", "d2", F.monotonically_increasing_id().alias("id"), bands.alias("keys")), "signed")
+    # a shingle counts in one band, so it costs ROWS comparisons; a band without shingles is no bucket
+    least = hashed.groupBy("d1", "d2", F.expr(f"pmod(h, {BANDS}L)").alias("band")).agg(
+        *(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(MASKS)))
+    bands = least.select("d1", "d2", F.xxhash64("band", *(f"m{k}" for k in range(ROWS))).alias("key"))
+    signed = scratch.write(bands.groupBy("d1", "d2").agg(F.collect_list("key").alias("keys"))
+                           .withColumn("id", F.monotonically_increasing_id()), "signed")
     buckets = scratch.write(distinct_buckets(signed.select("id", F.explode("keys").alias("key"))), "buckets")
     wanted = signed.join(buckets.select("id").distinct(), "id", "left_semi").select("id", "d1", "d2")
     set_of = F.array_distinct(F.transform(starts, lambda i: _hash(units, i)))
