@@ -228,7 +228,7 @@ def near_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     first = placed.groupBy("component").agg(
         F.min("doc_id").alias("component_id"),
         F.min(F.struct(F.coalesce("doc_id", last).alias("doc_id"), F.col("id").alias("id"))).alias("first"))
-    out = placed.join(first, "component").select(
+    out = placed.join(scratch.write(first, "first"), "component").select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("first.id")).alias("kept"), "file", "row")
     return scratch.finish(out)
 
