@@ -38,11 +38,9 @@ _DRAW = random.Random(1997)
 MASKS = [_DRAW.getrandbits(64) - 2**63 for _ in range(ROWS)]
 
 
-def _shingles(line: str):
-    """Start numbers of a line's shingles, and the hash of the one at ``i``; UTF-16 units give constant-time cuts."""
-    units = F.encode(line, "UTF-16BE")
-    starts = F.sequence(F.lit(0), F.greatest(F.expr(f"length(encode({line}, 'UTF-16BE')) div 2") - SHINGLE, F.lit(0)))
-    return units, starts
+def _starts(units):
+    """Start numbers of the shingles of a line given as UTF-16 units, which allow constant-time cuts."""
+    return F.sequence(F.lit(0), F.greatest(F.floor(F.length(units) / 2).cast("int") - SHINGLE, F.lit(0)))
 
 
 def _hash(units, i):
@@ -82,8 +80,9 @@ def line_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     (lines.select(*keys, "line").groupBy("d1", "d2").agg(F.first("line").alias("line"), F.count(F.lit(1)).alias("n"))
      .write.option("path", scratch.dir("lines")).option("compression", "zstd").bucketBy(parts, "d1", "d2").saveAsTable(name))
     distinct = spark.table(name)
-    units, starts = _shingles("line")
-    hashed = (distinct.select("d1", "d2", units.alias("u"), F.explode(starts).alias("i"))
+    # the units are a column of their own below the explode: encoded once a line, not once a shingle
+    units = distinct.select("d1", "d2", F.encode("line", "UTF-16BE").alias("u"))
+    hashed = (units.select("d1", "d2", "u", F.explode(_starts(F.col("u"))).alias("i"))
               .select("d1", "d2", _hash(F.col("u"), F.col("i")).alias("h")))
     # a shingle counts in one band, so it costs ROWS comparisons; a band without shingles is no bucket
     least = hashed.groupBy("d1", "d2", F.expr(f"pmod(h, {BANDS}L)").alias("band")).agg(
@@ -93,7 +92,8 @@ def line_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
                            .withColumn("id", F.monotonically_increasing_id()), "signed")
     buckets = scratch.write(distinct_buckets(signed.select("id", F.explode("keys").alias("key"))), "buckets")
     wanted = signed.join(buckets.select("id").distinct(), "id", "left_semi").select("id", "d1", "d2")
-    set_of = F.array_distinct(F.transform(starts, lambda i: _hash(units, i)))
+    set_of = F.transform(F.array(F.encode("line", "UTF-16BE")), lambda u: F.array_distinct(
+        F.transform(_starts(u), lambda i: _hash(u, i))))[0]  # the outer lambda holds the units
     sets = scratch.write(distinct.join(wanted, ["d1", "d2"]).select("id", set_of.alias("set")), "sets")
     found, _ = linked(buckets, lambda edges: confirmed(star_tasks(edges, BLOCK), sets, percent),
                       lambda b, first: confirmed(cross_tasks(b, first, BLOCK), sets, percent), scratch)
