@@ -4,7 +4,9 @@ Entities are found by patterns: e-mail addresses, phone numbers, payment cards
 (valid check digit), social security numbers, IPv4 addresses, access keys and
 assigned secrets, and names behind a title.  Each distinct entity gets a
 surrogate drawn from a keyed SHA-512 stream: same kind, same length and
-format, valid check digit, a name of the same gender and script.  Entities
+format, valid check digit, a name of the same gender and script; a secret
+whose format has no or too few others is drawn in letters of its script, of
+the same length and then longer.  Entities
 written differently but equal once normalised (a phone with or without
 separators) share their surrogate, everywhere in the corpus.  Surrogates are
 checked against each other and against the real entities: of entities that
@@ -51,6 +53,9 @@ SYLLABLES = {
     "cyrillic": (["ба", "де", "фи", "га", "хо", "жу", "ка", "ле", "ми", "но", "пе", "ра", "са", "ти", "во", "за"], {"m": "н", "f": "а"}),
     "greek": (["βα", "δε", "φι", "γα", "χο", "ζυ", "κα", "λε", "μι", "νο", "πε", "ρα", "σα", "τι", "βο", "ζα"], {"m": "ς", "f": "α"}),
 }
+#: What secrets are drawn from.
+CYRILLIC, GREEK = "абвгдежзийклмнопрстуфхцчшщыэюя", "αβγδεζηθικλμνξοπρστυφχψω"
+ALNUM = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 
 
 def _digits(c: Column) -> Column:
@@ -102,7 +107,13 @@ def surrogate(key: str, attempt: int) -> Column:
             if hexadecimal:
                 return pick("0123456789abcdef", i)
             return (F.when(c.rlike("[0-9]"), pick("0123456789", i)).when(c.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz", i))
-                    .when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", i)).otherwise(c))
+                    .when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", i)).otherwise(other(c, i)))
+
+        def other(c, i):  # letters and digits beyond ASCII
+            return (F.when(c.rlike(r"\p{IsCyrillic}"), F.when(c.rlike(r"\p{Lu}"), pick(CYRILLIC.upper(), i)).otherwise(pick(CYRILLIC, i)))
+                    .when(c.rlike(r"\p{IsGreek}"), F.when(c.rlike(r"\p{Lu}"), pick(GREEK.upper(), i)).otherwise(pick(GREEK, i)))
+                    .when(c.rlike(r"\p{N}"), pick("0123456789", i)).when(c.rlike(r"\p{Lu}"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", i))
+                    .when(c.rlike(r"[\p{L}\p{M}]"), pick("abcdefghijklmnopqrstuvwxyz", i)).otherwise(c))
 
         return F.array_join(F.transform(F.split(text, ""), one), "")
 
@@ -117,7 +128,14 @@ def surrogate(key: str, attempt: int) -> Column:
     domain = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), F.substring_index(norm, "@", -1)), 256)
     more = shaped(F.lit("abcdefgh")) if attempt >= 4 else F.lit("")  # short local parts run out of names
     email = F.concat(shaped(F.substring_index(norm, "@", 1)), more, F.lit("@h"), F.substring(domain, 1, 10), F.lit(".example.com"))
-    secret = F.when(norm.rlike("^[0-9a-f]+$"), shaped(norm, True)).otherwise(shaped(norm))
+
+    def free(letters: str) -> Column:  # any of the letters at every place: first of the same length, then longer
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(norm) + 4 * max(0, attempt - 7)), lambda i: pick(letters, i)), "")
+
+    anew = F.when(norm.rlike(r"\p{IsCyrillic}"), free(CYRILLIC)).when(norm.rlike(r"\p{IsGreek}"), free(GREEK)).otherwise(free(ALNUM))
+    secret = anew
+    if attempt < 4:  # a secret of marks alone has no other of its shape, and a shape may have few
+        secret = (F.when(norm.rlike("^[0-9a-f]+$"), shaped(norm, True)).when(norm.rlike(r"[\p{L}\p{N}]"), shaped(norm)).otherwise(anew))
     gender, script = F.element_at(F.split(norm, ":"), 1), F.element_at(F.split(norm, ":"), 2)
 
     def name_in(syllables: list[str], ends: dict[str, str]) -> Column:

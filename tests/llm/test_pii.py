@@ -57,6 +57,25 @@ def test_surrogates_are_distinct_in_a_crowded_space(spark):
     assert len(made) == len(rows) and not made & set(rows)
 
 
+def test_secrets_of_marks_other_scripts_and_exhausted_formats(docs_of):
+    old = ["********", "......", "секрет", "пароль1", "密码密码密码", *(f"-----{i}" for i in range(10))]
+    docs = docs_of([(i, f"x password: {s} y") for i, s in enumerate(old)] + [(99, "Token: ********")])
+    rows = {r.doc_id: r.text for r in op.replace_entities(docs, "k").collect()}
+    new = [re.fullmatch(r"x password: (\S+) y", rows[i]).group(1) for i in range(len(old))]
+    assert len(set(new)) == len(new) and not set(new) & set(old) and rows[99] == f"Token: {new[0]}"
+    assert [len(s) for s in new] == [len(s) for s in old] and re.fullmatch("[а-я]{6}", new[2])
+    assert re.fullmatch("[а-я]{6}[0-9]", new[3]) and new[3][:6] != "пароль" and not set(new[4]) & set(old[4])
+
+
+def test_a_full_space_of_secrets_grows(spark):
+    rows = [("assigned", f"{i}") for i in range(10)] + [("assigned", c) for c in op.ALNUM[:52]]
+    scratch = Scratch(spark, "test")
+    got = op.assign(spark.createDataFrame(rows, "kind string, norm string"), "k", scratch).collect()
+    scratch.remove()
+    made = {r.surrogate for r in got}
+    assert len(made) == len(got) == len(rows) and not made & {norm for _, norm in rows}
+
+
 def test_whole_table_leaves_clean_texts_alone(spark, sf_dir):
     before = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = op.op2_pii_surrogates(spark, sf_dir).collect()
