@@ -1,18 +1,20 @@
 """Operator 10 - mixture-controlled packing by deficit round-robin.
 
 Documents become token ids once (a stored table).  A hash deals them to
-partitions, so each partition holds a slice of every source's queue.  Inside a
-partition the queues are served by deficit round-robin: a round gives each
-source a quantum of ``window`` times its target share, and a document is
-served in the first round whose accumulated deficit covers it.  That round
-follows from the running length of the queue, so the order is a sort, not a
-loop.  What a source was owed or had taken too much at a partition's start
-comes from prefix sums over (partition, source) totals, and so does the
-partition's place in the whole stream: deficits and windows carry over the
-partitions' borders, and only the very last window can be short.  The stream
-is cut every ``window`` tokens.
-
-Targets are the sources' shares of all tokens, as every token is packed.
+partitions; a source's queue is its documents partition by partition.  The
+queues are served by tokens, not by whole documents: every window takes of each
+source its target share of the window, and what rounding left over or took too
+much is carried to the next window.  Token x of a queue is due at
+(x + 0.5) / target, so how many tokens of each queue lie before a window has a
+closed form, and prefix sums over (partition, source) totals give each document
+its place in its queue: a partition finds windows and offsets of its own
+documents without the others, and only the very last window can be short.
+Documents are cut where their source's part of a window ends.
+
+Targets are given by source, or are the sources' shares of all tokens.  Every
+token is packed: with given targets a source that has run out leaves its part to
+the others, in proportion to their targets.  The totals of the sources, a number
+each, are held by the driver and every task.
 
 Defined results: a null text is empty and has the end id alone; a null source
 is a queue of its own; repeated rows are packed each; ties follow the row's
@@ -135,7 +137,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
 
 def served_order(queue: np.ndarray, lengths: np.ndarray, credit: np.ndarray, quantum: np.ndarray) -> np.ndarray:
-    """Deficit round-robin order of documents given queue by queue, each in its own order.
+    """Deficit round-robin order of whole documents given queue by queue; pack() serves tokens instead.
 
     queue: the queue of each document; credit and quantum by queue.  A
     document goes in the first round in which credit + rounds * quantum covers
@@ -151,9 +153,69 @@ def served_order(queue: np.ndarray, lengths: np.ndarray, credit: np.ndarray, qua
     return np.lexsort((np.arange(len(queue)), queue, rounds))
 
 
+def filled(totals: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(due, places): the times at which queues run out, and how long the stream is by then."""
+    ends = totals / targets
+    order = np.argsort(ends, kind="stable")
+    others = np.maximum(targets.sum() - np.cumsum(targets[order]), 0)
+    places = np.cumsum(totals[order]) + ends[order] * others
+    places[-1:] = totals.sum()
+    return np.concatenate([[0.0], ends[order]]), np.concatenate([[0.0], np.maximum.accumulate(places)])
+
+
+def served_before(places: np.ndarray, totals: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """How many tokens of each queue lie before the given places of the stream: a row per place.
+
+    The stream holds all tokens by the time they are due; of equal times the
+    queue in front goes first.
+    """
+    due, ends = filled(totals, targets)
+    x = np.clip(np.floor(np.interp(places, ends, due)[:, None] * targets + 0.5), 0, totals).astype(np.int64)
+    while True:  # rounding leaves a row at most half as many tokens off as there are queues
+        over = x.sum(axis=1) - places
+        many, few = np.flatnonzero(over > 0), np.flatnonzero(over < 0)
+        if not len(many) and not len(few):
+            return x
+        last = np.where(x[many] > 0, (x[many] - 0.5) / targets, -np.inf)
+        x[many, len(totals) - 1 - last[:, ::-1].argmax(axis=1)] -= 1
+        x[few, np.where(x[few] < totals, (x[few] + 0.5) / targets, np.inf).argmin(axis=1)] += 1
+
+
+def cuts(queue: np.ndarray, lengths: np.ndarray, had: np.ndarray, totals: np.ndarray, targets: np.ndarray,
+         window: int) -> list[tuple[np.ndarray, ...]]:
+    """(document, start, length, window, offset) of the pieces of documents given queue by queue.
+
+    ``had`` tells how many tokens of each queue lie before these documents.
+    """
+    due, ends = filled(totals, targets)
+    total, slack, spans = int(totals.sum()), len(totals) + 1, []
+    for q in np.unique(queue).tolist():
+        docs = np.flatnonzero(queue == q)
+        starts = had[q] + np.cumsum(lengths[docs]) - lengths[docs]
+        end = int(starts[-1] + lengths[docs[-1]])
+        first, last = np.interp([starts[0] / targets[q], end / targets[q]], due, ends)
+        spans.append((q, docs, starts, end, max(0, int((first - slack) // window)), int((last + slack) // window) + 1))
+    if not spans:
+        return []
+    rows = np.unique(np.concatenate([np.arange(a, b + 1) for *_, a, b in spans]))
+    x = served_before(np.minimum(rows * window, total), totals, targets)
+    out = []
+    for q, docs, starts, end, a, b in spans:
+        at = np.searchsorted(rows, a)
+        before = x[at:at + b - a + 1]
+        bounds, taken = before[:, q], np.diff(before[:, :q].sum(axis=1))  # taken: what queues in front have of each window
+        cut = np.union1d(starts, bounds[(bounds > starts[0]) & (bounds < end)])
+        doc, k = np.searchsorted(starts, cut, "right") - 1, np.searchsorted(bounds, cut, "right") - 1
+        out.append((docs[doc], cut - starts[doc], np.diff(cut, append=end), a + k, taken[k] + cut - bounds[k]))
+    return out
+
+
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 1,
-         partition_tokens: int = 2_000_000) -> DataFrame:
-    """One row per piece: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+         partition_tokens: int = 2_000_000, targets: dict[str | None, float] | None = None) -> DataFrame:
+    """One row per piece: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    ``targets`` gives each source its part of a window (any positive numbers).
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     rows = located(docs, scratch, F.col("doc_id").cast("long").alias("doc_id"),
@@ -165,35 +227,31 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 1,
     queue = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # a null source differs from every name
     dealt = tokens.withColumns({"part": F.expr(f"pmod(draw, {parts}L)"), "queue": queue})
 
-    # totals per (partition, source); what lies before each partition, by source and over all
-    sums = dealt.groupBy("part", "queue").agg(F.sum("n").alias("n"))
-    sums = scratch.write(sums, "sums")
-    shares = sums.groupBy("queue").agg((F.sum("n") / F.lit(float(max(total, 1)))).alias("share"))
-    stream = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    places = (sums.groupBy("part").agg(F.sum("n").alias("n"))
-              .select("part", F.coalesce(F.sum("n").over(stream), F.lit(0)).alias("place")))
+    # totals per (partition, source), and what of each source lies before a partition
+    sums = scratch.write(dealt.groupBy("part", "queue").agg(F.sum("n").alias("n")), "sums")
+    by_queue = sorted((r["queue"], r["n"]) for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect())
+    number = {name: i for i, (name, _) in enumerate(by_queue)}
+    totals = np.array([n for _, n in by_queue], np.int64)
+    weights = totals.astype(float)
+    if targets is not None:
+        given = {"" if source is None else "=" + source: float(share) for source, share in targets.items()}
+        weights = np.array([given.get(name, 0.0) for name in number])
+        if not (np.isfinite(weights) & (weights > 0)).all():
+            raise ValueError("every source needs a positive target")
     own = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (sums.select("part", "queue", F.coalesce(F.sum("n").over(own), F.lit(0)).alias("had"))
-             .join(places, "part").join(shares, "queue")
-             .select("part", "queue", "place", (F.col("share") * F.col("place") - F.col("had")).alias("credit"),
-                     (F.col("share") * window).alias("quantum")))
+    carry = sums.select("part", "queue", F.coalesce(F.sum("n").over(own), F.lit(0)).alias("had"))
 
     def fill(d: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        c = c.sort_values("queue", ignore_index=True)
-        d = d.assign(q=np.searchsorted(c["queue"].to_numpy(str), d["queue"].to_numpy(str)))
-        d = d.sort_values(["q", "draw", "row", "doc_id"], ignore_index=True)
-        n = d["n"].to_numpy()
-        order = served_order(d["q"].to_numpy(), n, c["credit"].to_numpy(), c["quantum"].to_numpy())
-        at, out = int(c["place"].iloc[0]), []
+        had = np.zeros(len(totals), np.int64)
+        had[c["queue"].map(number).to_numpy()] = c["had"].to_numpy()
+        d = d.assign(q=d["queue"].map(number)).sort_values(["q", "draw", "row", "doc_id"], ignore_index=True)
+        n, out = d["n"].to_numpy(), []
         doc_ids, sources, ids = (d[x].tolist() for x in ("doc_id", "source", "ids"))
-        for i in order.tolist():
-            all_ids = np.frombuffer(ids[i], "<u2" if len(ids[i]) == 2 * n[i] else "<u4").astype("<u4")
-            start, size = 0, int(n[i])
-            while start < size:
-                length = min(window - at % window, size - start)
-                out.append((doc_ids[i], sources[i], start, length, zlib.crc32(all_ids[start:start + length].tobytes()), size,
-                            at // window, at % window))
-                start, at = start + length, at + length
+        for pieces in cuts(d["q"].to_numpy(), n, had, totals, weights, window):
+            for i, start, length, k, offset in zip(*(x.tolist() for x in pieces)):
+                size = int(n[i])
+                part = np.frombuffer(ids[i], "<u2" if len(ids[i]) == 2 * size else "<u4")[start:start + length].astype("<u4")
+                out.append((doc_ids[i], sources[i], start, length, zlib.crc32(part.tobytes()), size, k, offset))
         return pd.DataFrame(out, columns=["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
                                           "offset"]).astype({"doc_id": "Int64"})
 

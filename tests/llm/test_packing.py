@@ -105,6 +105,38 @@ def test_windows_keep_the_mixture(spark, docs_of):
     assert worst < 2 * 2048
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 300), st.floats(0.01, 5)), min_size=1, max_size=6), st.integers(1, 60))
+def test_served_before_is_the_order_of_due_tokens(queues, window):
+    totals, weights = np.array([n for n, _ in queues]), np.array([w for _, w in queues])
+    due = np.concatenate([(np.arange(n) + 0.5) / w for n, w in queues])
+    stream = np.repeat(np.arange(len(queues)), totals)[np.argsort(due, kind="stable")]
+    places = np.minimum(np.arange(0, totals.sum() + window, window), totals.sum())
+    want = [np.bincount(stream[:p], minlength=len(queues)).tolist() for p in places]
+    assert op.served_before(places, totals, weights).tolist() == want
+
+
+@pytest.mark.parametrize("targets", [None, {"a": 5, "b": 3, None: 2}])
+def test_every_window_has_the_target_proportions(docs_of, whole, targets):
+    docs = docs_of([(i, "the cat " * (14_000 if i == 7 else 20 + i % 60), "en", ["a", "a", "b", None][i % 4]) for i in range(2000)])
+    rows = op.pack(docs, PATH, partition_tokens=30_000, targets=targets).collect()
+    check(rows, docs.collect(), whole, 2048)
+    sums, seqs = defaultdict(int), defaultdict(lambda: defaultdict(int))
+    for r in rows:
+        sums[r.source] += r.length
+        seqs[r.sequence_id][r.source] += r.length
+    shares = targets or sums
+    until = min(sums[s] * sum(shares.values()) / shares[s] for s in sums)  # then a source has run out
+    for k in range(int(until // 2048) - 1):
+        for s in sums:
+            assert abs(seqs[k][s] - 2048 * shares[s] / sum(shares.values())) <= 3, (k, s)
+
+
+def test_every_source_needs_a_target(docs_of):
+    with pytest.raises(ValueError):
+        op.pack(docs_of([(1, "x", "en", "a"), (2, "y", "en", "b")]), PATH, targets={"a": 1.0})
+
+
 def test_odd_rows(docs_of, whole):
     docs = docs_of([(1, None), (2, ""), (3, "a " * 30_000, "en", "s"), (4, "x", None, "s")])
     check(op.pack(docs.selectExpr("*", "1 AS n", "2 AS part", "3 AS queue", "4 AS ids"), PATH).collect(), docs.collect(), whole, 2048)
