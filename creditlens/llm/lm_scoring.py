@@ -3,7 +3,11 @@
 The model is an n-gram model with Dirichlet smoothing,
 p(w | u) = (c(uw) + beta p(w | u')) / (c(u) + beta) where u' drops u's first
 token, over a Witten-Bell unigram model c(w) / (N + V) whose share V / (N + V)
-goes to unknown words.  As an automaton: every context seen in training is a
+goes to unknown words.  ``score`` takes all unknown words for one word, which
+has that whole share, and so is the probability of the text with its unknown
+words masked.  ``text_score`` is that of the text itself: V + 1 unseen words
+have equal parts of the share, 1 / (V + 1) each.  No arc leads over an unknown
+word, so the two differ by log(V + 1) for each.  As an automaton: every context seen in training is a
 state; every seen n-gram is an arc from its context's state, weighted with its
 log-probability; a state's failure arc leads to the context without its first
 token and is weighted with log(beta / (c(u) + beta)).  A document is scored in
@@ -218,7 +222,7 @@ class Automaton:
 
 
 SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
-          "score double")
+          "score double, text_score double")
 
 
 def _scorer(order: int, n: int, v: int, beta: float):
@@ -239,10 +243,12 @@ def _scorer(order: int, n: int, v: int, beta: float):
         for length in block.lengths:
             scores.append(machine.score(block.tokens[at + 1:at + 1 + length].tolist()))
             at += length + 1
+        unknown = np.array(block.lengths, np.int64) - known
         return pa.table({
             "doc_id": t.column("doc_id"), "held_out": t.column("held_out"), "n_tokens": pa.array(block.lengths, pa.int64()),
             "n_known": pa.array(known), "train_tokens": pa.array([n] * docs, pa.int64()),
-            "base_score": pa.array(np.bincount(block.doc, weights=base, minlength=docs)), "score": pa.array(scores, pa.float64())})
+            "base_score": pa.array(np.bincount(block.doc, weights=base, minlength=docs)), "score": pa.array(scores, pa.float64()),
+            "text_score": pa.array(np.array(scores, float) - unknown * np.log10(v + 1.0), pa.float64())})
 
     return score
 
@@ -252,7 +258,9 @@ def lm_score(docs: DataFrame, held_out: Column, order: int = 2, beta: float = 50
     """Score all texts with a model of the rows where ``held_out`` is false.
 
     One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens,
-    base_score (add-one unigram model), score (the automaton's log10 probability).
+    base_score (add-one unigram model), score (the automaton's log10 probability, all unknown words being one),
+    text_score (the same of the text itself, each unknown word having a part of
+    the unknown share).
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm-scoring")

@@ -90,3 +90,26 @@ def test_probabilities_sum_to_one():
     words = ["a", "b", "c", "</s>", "<unk>"]
     for context in ((), ("a",), ("<s>", "a"), ("c", "a"), ("b",)):
         assert sum(model.p((*context, w)) for w in words) == pytest.approx(1.0)
+
+
+def test_random_words_score_below_a_clean_text(docs_of):
+    text = "the cat sat on the mat and the dog sat on the cat"
+    n = len(text.split())
+    docs = docs_of([(i, text + f" w{i}") for i in range(40)] + [(100, text), (101, " ".join(f"zq{k}" for k in range(n)))])
+    rows = {r.doc_id: r for r in op.lm_score(docs, F.col("doc_id") >= 100).collect()}
+    clean, noise = rows[100], rows[101]
+    assert clean.n_known == n + 1 and noise.n_known == 1
+    assert noise.text_score < noise.base_score + 1 and noise.text_score < clean.text_score
+    assert clean.text_score == clean.score
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_words_and_unseen_words_sum_to_one(docs_of, order):
+    words = ["a", "b", "c", "</s>"]
+    docs = docs_of([(0, "a b"), (1, "a c a"), *((2 + i, f"a {w}") for i, w in enumerate([*words[:3], "u0"])), (9, "a")])
+    rows = {r.doc_id: r for r in op.lm_score(docs, F.col("doc_id") >= 2, order=order, beta=2.0).collect()}
+    model = Reference([tokens("a b"), tokens("a c a")], order, 2.0)
+    before, after = math.log10(model.p(("<s>", "a")[-order:])), math.log10(model.p(("</s>",)))
+    unseen = 10 ** (rows[5].text_score - before - after)
+    known = [model.p(("<s>", "a", w)[-order:]) for w in words]
+    assert model.v == len(words) and sum(known) + (model.v + 1) * unseen == pytest.approx(1.0)
