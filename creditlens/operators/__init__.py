@@ -10,12 +10,13 @@ from creditlens.operators.dispersion import dispersion, exact_moments
 from creditlens.operators.global_order import global_ntile, global_rank
 from creditlens.operators.period import period_change
 from creditlens.operators.ranking import top_n_per_group
+from creditlens.operators.segments import moving_mean, positions
 from creditlens.operators.selection import values_at_ranks
 
 __all__ = [
     "audit_domain", "audit_foreign_key", "audit_primary_key", "join_groups", "account_owners",
     "loan_chain", "loans_with_owner", "members", "per_loan", "with_evidence",
     "conditional_totals", "deviation_from_group_mean", "group_means", "dispersion", "exact_moments",
-    "global_ntile", "global_rank", "period_change", "top_n_per_group",
+    "global_ntile", "global_rank", "moving_mean", "period_change", "positions", "top_n_per_group",
     "values_at_ranks",
 ]

@@ -90,11 +90,13 @@ REPORTS: dict[str, tuple[Callable[..., DataFrame], dict]] = {
     "q02_with_mean": (risk.ticket_vs_modality_mean, dict(with_mean=True)),
     "q05_fill_calendar": (finance.mom_growth, dict(year=P["q05_year"], fill_calendar=True)),
     "q07_with_share": (ranking.running_total_by_agency, dict(id_agencia=P["q07_agency"], with_share=True)),
+    "q07_all_agencies": (ranking.running_total_by_agency, dict(id_agencia=None, with_share=True)),
     "q08_strict": (crm.good_payers, dict(strict=True)),
     "q10_include_no_history": (risk.risk_score_summary, dict(include_no_history=True)),
     "q11_distinct": (crm.ghost_members, dict(distinct=True)),
     "q12_as_asked": (finance.balance_vs_debt, dict(as_asked=True)),
     "q17_by_count": (audit.term_violations, dict(by="count")),
+    "q18_all_modalities": (finance.moving_average, dict(id_modalidade=None, width=P["q18_width"])),
     "q21_min_value": (ranking.flash_association, dict(max_days=P["q21_max_days"], min_value=P["q21_min_value"])),
     "q23_as_asked": (ranking.golden_month, dict(year=P["q23_year"], as_asked=True)),
     "q25_ordered": (risk.recovered_members, dict(ordered=True)),

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from creditlens.functions.columns import days_between, month_key, round2, year_range
 from creditlens.operators.chain import account_owners, loan_chain, loans_with_owner, per_loan
 from creditlens.operators.conditional import conditional_totals
-from creditlens.operators.global_order import global_rank
 from creditlens.operators.period import period_change
+from creditlens.operators.segments import moving_mean
 from creditlens.sources.tables import Tables
 
 V = "valor_contratado"
@@ -82,30 +82,23 @@ def avg_payment_delay(t: Tables, paid: str = "Paga") -> DataFrame:
     return out.select("perfil_produtor", round2(media).alias("media")).orderBy(F.desc("media"))
 
 
-def moving_average(t: Tables, id_modalidade: int = 4, width: int = 3, bucket_rows: int = 1_000_000) -> DataFrame:
+def moving_average(t: Tables, id_modalidade: int | None = 4, width: int = 3, bucket_rows: int = 1_000_000) -> DataFrame:
     """Q18 — loans of one modality in (date, id) order with the mean of the
     current and `width`-1 preceding loans.
 
-    Scalable form: exact global positions (S02, range partitioned), then the
-    positions are cut into buckets of `bucket_rows`; the last `width`-1 rows of
-    each bucket are also sent to the next bucket as halo rows, so a window
-    partitioned by bucket sees every frame whole.  One shuffle of ~1x the rows,
-    bounded task size, no single-task window.
+    ``id_modalidade=None`` does so within every modality at once, with the
+    modality's id and the loan's place in it.  Positions are exact (S02 within
+    groups) and the frames are computed bucket by bucket, so a modality that
+    holds a third of the loans is spread over tasks.
     """
-    if width < 1 or width - 1 > bucket_rows:
-        raise ValueError("need width >= 1 and width - 1 <= bucket_rows (the halo must cover a frame)")
-    loans = t.emprestimo.where(F.col("id_modalidade") == id_modalidade).select(
-        "id_emprestimo", "data_contratacao", V)
-    ranked = global_rank(loans, [F.asc("data_contratacao"), F.asc("id_emprestimo")], rank_col="_rn")
-    bucket = F.floor((F.col("_rn") - 1) / bucket_rows).cast("bigint")
-    own = ranked.withColumn("_b", bucket).withColumn("_own", F.lit(True))
-    halo = (ranked.where((F.col("_rn") - 1) % bucket_rows >= bucket_rows - (width - 1))
-            .withColumn("_b", bucket + 1).withColumn("_own", F.lit(False)))
-    frame = Window.partitionBy("_b").orderBy("_rn").rowsBetween(-(width - 1), Window.currentRow)
-    both = own.unionByName(halo)
-    media = F.try_divide(F.sum(V).over(frame).cast("double"), F.count(V).over(frame).cast("double"))
-    return (both.select("_rn", "data_contratacao", V, "_own", media.alias("media_movel"))
-            .where(F.col("_own")).orderBy("_rn").drop("_own", "_rn"))
+    loans = t.emprestimo
+    if id_modalidade is not None:
+        loans = loans.where(F.col("id_modalidade") == id_modalidade)
+    loans = loans.select("id_modalidade", "id_emprestimo", "data_contratacao", V)
+    df = moving_mean(loans, ["id_modalidade"], ["data_contratacao", "id_emprestimo"], V, width, "media_movel",
+                     rank_col="posicao", bucket_rows=bucket_rows, store=False)
+    cols = ["data_contratacao", V, "media_movel"] + ([] if id_modalidade is not None else ["id_modalidade", "posicao"])
+    return df.orderBy("id_modalidade", "posicao").select(*cols)
 
 
 def instalment_pivot(t: Tables) -> DataFrame:

@@ -12,6 +12,7 @@ from creditlens.functions.columns import days_between, month_key, pct, tile_from
 from creditlens.operators.chain import loan_chain, members
 from creditlens.operators.global_order import global_rank
 from creditlens.operators.ranking import top_n_per_group
+from creditlens.operators.segments import positions
 from creditlens.sources.tables import Tables
 
 V = "valor_contratado"
@@ -28,21 +29,27 @@ def top_loans_per_agency(t: Tables, start=dt.date(2024, 1, 1), end=dt.date(2025,
     return ranked.select("nome_agencia", "nome_completo", V, F.col("posicao").cast("bigint").alias("posicao"))
 
 
-def running_total_by_agency(t: Tables, id_agencia: int = 1, status: str = "Ativo",
+def running_total_by_agency(t: Tables, id_agencia: int | None = 1, status: str = "Ativo",
                             with_share: bool = False) -> DataFrame:
     """Q07 — the agency's loans in `status`, by value descending, with the
-    running total (and, with ``with_share``, the cumulative % of the total)."""
+    running total (and, with ``with_share``, the cumulative % of the total).
+
+    ``id_agencia=None`` gives every agency its own running total, with the
+    agency's id and the loan's place in it."""
     loans = t.emprestimo.where(F.col("status_contrato") == status)
-    df = (loan_chain(t, "columns", loans).where(F.col("id_agencia") == id_agencia)
-          .select("id_emprestimo", "nome_completo", "nome_agencia", V))
-    ranked = global_rank(df, [F.desc(V), F.asc("id_emprestimo")], rank_col="_rn",
-                         running_sum=V, running_col="running_total",
-                         total_sum_col="_total" if with_share else None)
+    chain = loan_chain(t, "columns", loans)
+    if id_agencia is not None:
+        chain = chain.where(F.col("id_agencia") == id_agencia)
+    df = chain.select("id_agencia", "id_emprestimo", "nome_completo", "nome_agencia", V)
+    ranked = positions(df, ["id_agencia"], [f"-{V}", "id_emprestimo"], rank_col="posicao",
+                       running_sum=V, running_col="running_total", total_sum_col="_total" if with_share else None)
     cols = ["id_emprestimo", "nome_completo", "nome_agencia", V, "running_total"]
     if with_share:
         ranked = ranked.withColumn("pct_acumulado", F.round(pct("running_total", "_total"), 2))
         cols.append("pct_acumulado")
-    return ranked.orderBy("_rn").select(*cols)
+    if id_agencia is None:
+        cols += ["id_agencia", "posicao"]
+    return ranked.orderBy("id_agencia", "posicao").select(*cols)
 
 
 def member_totals(t: Tables, extra: list[str] = ()) -> DataFrame:
