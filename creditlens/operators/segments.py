@@ -68,8 +68,9 @@ def with_slice(rows: DataFrame, bounds: DataFrame, along: list[tuple[str, bool]]
     steps = F.array(*(F.lit(1 << i) for i in reversed(range(k.bit_length())))) if k else F.array().cast("array<int>")
     found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
         (at + step <= k) & _not_before(along, F.get(F.col(_BOUNDS), at + step - 1)), at + step).otherwise(at))
-    # one row, as large as the number of slices
-    return rows.crossJoin(F.broadcast(bounds)).withColumn(_SLICE, found).drop(_BOUNDS)
+    # one row, as large as the number of slices; the array of one keeps the search out of the optimizer's constraints,
+    # whose rewriting over a union fails on a lambda that refers to a column dropped here
+    return rows.crossJoin(F.broadcast(bounds)).withColumn(_SLICE, F.explode(F.array(found))).drop(_BOUNDS)
 
 
 def positions(df: DataFrame, keys: list[str], order: list[str], rank_col: str = "rn", total_col: str | None = None,
