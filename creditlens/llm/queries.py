@@ -4,6 +4,7 @@ from creditlens.llm import (
     exact_dedup,
     line_dedup,
     lm_scoring,
+    merkle,
     mixing,
     near_dedup,
     packing,
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_packing": packing.op10_packing,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
 }
 
 ORACLES = {
     "op7_tool_calls": tool_calls.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
 }
