@@ -11,6 +11,7 @@ from creditlens.llm import (
     pii,
     quality_classifier,
     quality_rules,
+    resampling,
     tool_calls,
 )
 
@@ -26,10 +27,12 @@ QUERIES = {
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_packing": packing.op10_packing,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_importance_resampling": resampling.op12_importance_resampling,
 }
 
 ORACLES = {
     "op7_tool_calls": tool_calls.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
     "op11_merkle_manifest": merkle.ORACLE,
+    "op12_importance_resampling": resampling.ORACLE,
 }
