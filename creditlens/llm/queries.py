@@ -12,6 +12,7 @@ from creditlens.llm import (
     quality_classifier,
     quality_rules,
     resampling,
+    substring_dedup,
     tool_calls,
 )
 
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_packing": packing.op10_packing,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op12_importance_resampling": resampling.op12_importance_resampling,
+    "op13_substring_dedup": substring_dedup.op13_substring_dedup,
 }
 
 ORACLES = {
