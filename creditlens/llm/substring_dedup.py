@@ -321,8 +321,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         asked = rows.select("block", "text").mapInArrow(_ask_anchors(window, anchor, bits), SUSPECT)
         recurring = scratch.write(asked.groupBy("shard").applyInArrow(_recurring_anchors, REPLY), "anchors")
         by_block = rows.groupBy("block")
-        phrases = by_block.cogroup(recurring.groupBy("block")).applyInArrow(_ask_phrases(window, anchor, bits), PHRASE)
-        confirmed = scratch.write(phrases.groupBy("shard").applyInArrow(_confirmed_phrases, CONFIRMED), "phrases")
+        suspects = by_block.cogroup(recurring.groupBy("block")).applyInArrow(_ask_phrases(window, anchor, bits), PHRASE)
+        confirmed = scratch.write(suspects.groupBy("shard").applyInArrow(_confirmed_phrases, CONFIRMED), "phrases")
         out = by_block.cogroup(confirmed.groupBy("block")).applyInArrow(
             _remover(window, phrases, with_text), OUT + (", kept string" if with_text else ""))
         return scratch.finish(out)
