@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditlens.operators.chain import account_owners, loan_chain, with_evidence
+from creditlens.operators.moments import central, merged_with, power_sums
 from creditlens.sources.tables import Tables
 
 V = "valor_contratado"
@@ -65,16 +66,10 @@ def tenure_value_correlation(t: Tables, full_years: bool = False) -> DataFrame:
     """Q39 option — Pearson correlation between tenure (years) and loan value,
     the measure the question's title names; one row, rounded to 6 decimals.
 
-    Loans become exact sums per account and date before they meet the members."""
+    Loans become exact power sums per account and date before they meet the
+    members; the sums merge and are centred without loss (``operators.moments``)."""
     when = F.col("data_contratacao") if full_years else F.make_date(F.year("data_contratacao"), F.lit(1), F.lit(1))
-    v = F.col(V)
-    partials = (t.emprestimo.where(v.isNotNull()).groupBy("id_conta", when.alias("data_contratacao"))
-                .agg(F.count(v).alias("_n"), F.sum(v).alias("_y"), F.sum(v * v).alias("_yy")))
-    x = F.col("_x").cast("decimal(10,0)")
-    rows = loan_chain(t, "none", partials).withColumn("_x", _tenure_years(full_years)).where("_x IS NOT NULL")
-    s = rows.agg(*(F.sum(c).cast("double").alias(k) for k, c in {
-        "n": F.col("_n"), "x": x * F.col("_n"), "xx": x * x * F.col("_n"), "y": F.col("_y"), "yy": F.col("_yy"),
-        "xy": x * F.col("_y")}.items()))
-    spread = F.sqrt((F.col("n") * F.col("xx") - F.col("x") * F.col("x")) * (F.col("n") * F.col("yy") - F.col("y") * F.col("y")))
-    r = F.try_divide(F.col("n") * F.col("xy") - F.col("x") * F.col("y"), spread)
-    return s.select(F.round(r, 6).alias("correlacao"))
+    partials = (t.emprestimo.where(F.col(V).isNotNull())
+                .groupBy("id_conta", when.alias("data_contratacao")).agg(*power_sums(V)))
+    rows = loan_chain(t, "none", partials).withColumn("_anos", _tenure_years(full_years)).where("_anos IS NOT NULL")
+    return central(rows.agg(*merged_with(F.col("_anos")))).select(F.round("corr", 6).alias("correlacao"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from creditlens.functions.columns import as_double, mean_of, round2
 from creditlens.operators.chain import loan_chain
 from creditlens.operators.dispersion import dispersion, exact_moments
+from creditlens.operators.moments import central, merged, power_sums
 from creditlens.operators.selection import values_at_ranks
 from creditlens.sources.tables import Tables
 
@@ -53,16 +54,12 @@ def stddev(t: Tables) -> DataFrame:
 def cv_by_profile(t: Tables) -> DataFrame:
     """Q36 — coefficient of variation (%) of loan values per producer profile.
 
-    Loans become exact sums per account (count, sum, sum of squares) before
-    they meet the members."""
-    v = F.col(V)
-    per_account = t.emprestimo.groupBy("id_conta").agg(F.count(v).alias("_n"), F.sum(v).alias("_s"), F.sum(v * v).alias("_q"))
-    sums = (loan_chain(t, "none", per_account).groupBy("perfil_produtor")
-            .agg(*(F.sum(c).cast("double").alias(c) for c in ("_n", "_s", "_q"))))
-    mean = F.try_divide("_s", "_n")
-    deviation = F.sqrt(F.greatest(F.try_divide("_q", "_n") - mean * mean, F.lit(0.0)))
-    return (sums.select("perfil_produtor", round2(F.try_divide(deviation, mean) * 100.0).alias("coeficiente_variacao"))
-            .orderBy(F.desc("coeficiente_variacao"), "perfil_produtor"))
+    Loans become exact power sums per account, which merge per profile
+    without loss (``operators.moments``)."""
+    per_account = t.emprestimo.groupBy("id_conta").agg(*power_sums(V))
+    sums = loan_chain(t, "none", per_account).groupBy("perfil_produtor").agg(*merged())
+    cv = round2(F.try_divide("stddev_pop", "mean") * 100.0).alias("coeficiente_variacao")
+    return central(sums).select("perfil_produtor", cv).orderBy(F.desc("coeficiente_variacao"), "perfil_produtor")
 
 
 def zscore_outliers(t: Tables, z: float = 2.0) -> DataFrame:
