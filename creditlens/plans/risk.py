@@ -29,7 +29,7 @@ def ticket_vs_modality_mean(t: Tables, status: str = "Ativo", with_mean: bool =
                                 ["nome_modalidade"], "_s", "_n", "media_historica")
     rows = loan_chain(t, "none", t.emprestimo.where(F.col(LOAN_STATUS) == status), modality=True)
     df = deviation_from_group_mean(rows, None, ["nome_modalidade"], V, "media_historica", round_mean=2,
-                                   means=means)
+                                   means=means, few=t.is_small("modalidade"))
     diff = round2((ratio(V, "media_historica") - F.lit(1.0)) * F.lit(100.0))
     cols = ["nome_completo", "nome_modalidade", F.col(V).alias("contrato_atual")]
     if with_mean:
@@ -55,7 +55,8 @@ def outliers_vs_profile_mean(t: Tables, factor: float = 2.0) -> DataFrame:
     partials = t.emprestimo.groupBy("id_conta").agg(F.sum(V).alias("_s"), F.count(V).alias("_n"))
     means = means_from_partials(loan_chain(t, "required", partials), ["perfil_produtor"], "_s", "_n", "media_perfil")
     rows = loan_chain(t, "required")
-    df = deviation_from_group_mean(rows, None, ["perfil_produtor"], V, "media_perfil", means=means)
+    df = deviation_from_group_mean(rows, None, ["perfil_produtor"], V, "media_perfil", means=means,
+                                   few=t.few("cooperado", "perfil_produtor"))
     df = df.where(as_double(V) > F.col("media_perfil") * F.lit(float(factor)))
     return df.select("nome_completo", "perfil_produtor", V, "media_perfil")
 

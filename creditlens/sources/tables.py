@@ -52,6 +52,16 @@ class Tables:
             self._small[name] = (verdict, time.monotonic())
         return verdict
 
+    def few(self, name: str, column: str) -> bool:
+        """True when ``column`` of the table provably has few distinct values (``few_groups``); holds for ten minutes."""
+        from creditlens.operators.broadcast import few_groups
+
+        verdict, since = self._small.get((name, column), (False, None))
+        if since is None or time.monotonic() - since > SIZE_VERDICT_SECONDS:
+            verdict = few_groups(self.table(name), [column])
+            self._small[(name, column)] = (verdict, time.monotonic())
+        return verdict
+
     def dim(self, name: str) -> DataFrame:
         """The table, broadcast-hinted only when its size bound is proven."""
         df = self.table(name)

@@ -1,0 +1,84 @@
+"""S04: rows meet their group's mean without a shuffle of the rows, or over salted copies of the groups."""
+
+import contextlib
+import io
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from creditlens.operators.broadcast import few_groups, join_groups
+from creditlens.operators.deviation import deviation_from_group_mean
+from creditlens.plans.catalog import run
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan(df):
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        df.explain()
+    return text.getvalue()
+
+
+@pytest.fixture
+def no_size_estimates(spark):
+    """As at 100 TB: no static estimate is below the broadcast threshold; the adaptive one stays at its default."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before, adaptive = spark.conf.get(key), spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None)
+    spark.conf.set(key, "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10485760")
+    yield
+    spark.conf.set(key, before)
+    if adaptive is None:
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    else:
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", adaptive)
+
+
+@pytest.mark.parametrize("name,key", [("q02_ticket_vs_modality_mean", "nome_modalidade"), ("q02_with_mean", "nome_modalidade"),
+                                      ("q04_outliers_vs_profile_mean", "perfil_produtor")])
+def test_no_exchange_of_loans_on_the_group(spark, no_size_estimates, name, key):
+    text = plan(run(name, spark, SF))
+    lines = text.splitlines()
+    moved = [i for i, l in enumerate(lines) if re.search(rf"Exchange hashpartitioning\((coalesce\()?{key}", l)]
+    # what is exchanged on the group is the partial sums of the means, nothing else
+    assert len(moved) == 1 and "HashAggregate" in lines[moved[0] + 1] and "partial_sum" in lines[moved[0] + 1]
+    assert "BroadcastHashJoin" in text
+
+
+def data(spark, n=3000):
+    return spark.range(n).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 5 == 0, F.lit(None))
+                                 .otherwise((F.col("id") % 70).cast("string")).alias("g"),
+                                 (F.col("id") % 101).cast("decimal(15,2)").alias("v"))
+
+
+@pytest.mark.parametrize("few", [True, False, None])
+def test_all_ways_agree(spark, few):
+    df = data(spark)
+    got = deviation_from_group_mean(df, df, ["g"], "v", "m", few=few)
+    want = {r.g: r.m for r in df.groupBy("g").agg(F.avg(F.col("v").cast("double")).alias("m")).collect()}
+    rows = got.collect()
+    assert got.columns == ["id", "g", "v", "m"] and len(rows) == 3000
+    assert all(abs(r.m - want[r.g]) < 1e-9 for r in rows)
+
+
+def test_salted_groups_spread_a_hot_group(spark):
+    df = data(spark)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = join_groups(df, df.groupBy("g").agg(F.count("*").alias("n")), ["g"], few=False, salts=32)
+        tasks = joined.where("g = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+        assert len(tasks) >= 4 and joined.where("n IS NULL").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_the_proof_stops_at_the_limit(spark):
+    df = data(spark)
+    groups = df.select("g").distinct().count()
+    assert few_groups(df, ["g"], groups) and not few_groups(df, ["g"], groups - 1)
+    assert few_groups(df.where("id < 0"), ["g"], 0)
