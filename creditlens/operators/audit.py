@@ -9,10 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from creditlens.operators.repeated_keys import suspects
+
 
 def audit_primary_key(df: DataFrame, key: str) -> DataFrame:
-    """Key values that are NULL or occur more than once, with their count."""
-    return (df.groupBy(key).agg(F.count(F.lit(1)).alias("ocorrencias"))
+    """Key values that are NULL or occur more than once, with their count.
+
+    Only rows whose key may be repeated are grouped (``operators.repeated_keys``)."""
+    return (suspects(df, [key]).groupBy(key).agg(F.count(F.lit(1)).alias("ocorrencias"))
             .where(F.col(key).isNull() | (F.col("ocorrencias") > 1)))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from creditlens.operators.audit import audit_domain, audit_foreign_key, audit_primary_key
 from creditlens.operators.chain import loan_chain, per_loan, with_evidence
+from creditlens.operators.repeated_keys import duplicates
 from creditlens.sources.schema import DOMAINS, FOREIGN_KEYS, PRIMARY_KEYS
 from creditlens.sources.tables import Tables
 
@@ -42,9 +43,9 @@ def contract_instalment_mismatch(t: Tables) -> DataFrame:
 def duplicate_instalments(t: Tables, distinct: bool = False) -> DataFrame:
     """Q30 — loans with two or more instalments carrying the same number.
 
-    As written a loan is listed once per duplicated number; ``distinct`` once."""
-    dup = (t.parcela.groupBy("id_emprestimo", "numero_parcela").agg(F.count(F.lit(1)).alias("_n"))
-           .where(F.col("_n") > 1))
+    As written a loan is listed once per duplicated number; ``distinct`` once.
+    Instalments whose number is proven single are never shuffled."""
+    dup = duplicates(t.parcela, ["id_emprestimo", "numero_parcela"], "_n")
     df = with_evidence(dup, t.emprestimo, "id_emprestimo").select("id_emprestimo")
     return df.distinct() if distinct else df
 
