@@ -13,13 +13,14 @@ also starts in a row with a smaller doc_id.
    bits of hash and the smallest id of the block's rows that hold them.  Their
    shards return, for every phrase found in rows of different ids, its
    smallest id.
-3. *Automata.*  Every block compiles its confirmed phrases into Aho-Corasick
-   automata (pyahocorasick) of at most ``PHRASES`` phrases, words being single
-   characters, and streams all its documents through them.  A match yields
-   the smallest id that holds the phrase, and every occurrence that belongs to
-   a larger id is cut.
-
-A block only ever meets phrases of its own texts, so no task holds the
+3. *Automata.*  The passages of a block are the maximal runs of its confirmed
+   phrases.  Every block compiles its distinct passages into Aho-Corasick
+   automata (pyahocorasick) of about ``PASSAGE_WORDS`` words each, a word being
+   two characters, and streams all its documents through them.  A match yields
+   for each phrase of the passage the smallest id that holds it, and phrases
+   that belong to a larger id are cut.
+
+A block only ever meets passages of its own texts, so no task holds the
 phrases of the corpus, and the work grows with the input.  A phrase held by a
 third of all rows costs each block that has it one hash.
 
@@ -38,21 +39,40 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditlens.llm.common import Scratch, located, table
-from creditlens.llm.near_dedup import _HASHES, mixed
+from creditlens.llm.near_dedup import mixed
 
 WINDOW, ANCHOR = 13, 7
-BLOCK_ROWS, PHRASES = 512, 50_000
+BLOCK_ROWS, PASSAGE_WORDS = 512, 200_000
 SHARD_BYTES = 16_000_000  # of text per range of hashes
 GOLDEN, OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 NO_ID = np.iinfo(np.int64).max
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+class Words:
+    """The words of some texts in one row: their numbers, 64-bit hashes, and the text each belongs to."""
+
+    def __init__(self, texts: list[bytes | None]):
+        self.lists = [(t or b"").split() for t in texts]
+        self.sizes = np.fromiter(map(len, self.lists), np.int64, len(self.lists))
+        self.first = np.cumsum(self.sizes) - self.sizes
+        words = [w for x in self.lists for w in x]
+        numbers = dict.fromkeys(words)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))
+        for i, w in enumerate(numbers):
+            numbers[w] = i
+        self.tokens = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+        self.hashes = hashes[self.tokens]
+
+    def starts(self, window: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the phrases of ``window`` words start that lie within one text, and those texts."""
+        n = np.maximum(self.sizes - window + 1, 0)
+        text = np.repeat(np.arange(len(n)), n)
+        return np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n) + self.first[text], text
 
 
 def run_hashes(h: np.ndarray, size: int, starts: np.ndarray | None = None, factor: np.uint64 = GOLDEN) -> np.ndarray:
@@ -61,12 +81,13 @@ def run_hashes(h: np.ndarray, size: int, starts: np.ndarray | None = None, facto
     out = np.full(n if starts is None else len(starts), size, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(size):
-            out = mixed(out * factor + (h[k:n + k] if starts is None else h[starts + k]))
-    return out
+            out *= factor
+            out += h[k:n + k] if starts is None else h[starts + k]
+    return mixed(out)
 
 
 def anchors(h: np.ndarray, window: int, anchor: int) -> np.ndarray:
-    """The anchor of each phrase."""
+    """The anchor of the phrase that starts at each word."""
     grams = run_hashes(h, anchor)
     n = max(0, len(h) - window + 1)
     out = grams[:n].copy()
@@ -111,25 +132,32 @@ SUSPECT = "shard long, block long, keys binary"
 
 
 def _ask_anchors(window: int, anchor: int, bits: int):
-    def cells(block: int, found: list[np.ndarray]) -> pa.RecordBatch:
-        keys = np.sort(np.concatenate(found))
-        keys = keys[np.concatenate([[True, True], keys[2:] != keys[:-2]])[:len(keys)]]  # twice if in two rows or more
+    def cells(block: int, texts: list[bytes | None]) -> pa.RecordBatch:
+        words = Words(texts)
+        starts, of = words.starts(window)
+        keys = anchors(words.hashes, window, anchor)[starts]
+        new = np.ones(len(keys), bool)  # neighbours mostly share their anchor
+        new[1:] = (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])
+        keys, of = keys[new], of[new]
+        order = np.lexsort((of, keys))
+        keys, of = keys[order], of[order]
+        if len(keys):
+            keys = keys[np.concatenate([[True], (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])])]
+        if len(keys) > 2:  # twice if in two rows or more
+            keys = keys[np.concatenate([[True, True], keys[2:] != keys[:-2]])]
         return _batch([(s, block, keys[a:b].tobytes()) for s, a, b in _shards(keys, bits)], SUSPECT)
 
     def run(batches):
-        block, found = None, []
+        block, held = None, []
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            for of, text in zip(batch.column("block").to_pylist(), texts):
-                if of != block and found:
-                    yield cells(block, found)
-                    found = []
+            for of, text in zip(batch.column("block").to_pylist(), batch.column("text").cast(pa.binary())):
+                if of != block and held:
+                    yield cells(block, held)
+                    held = []
                 block = of
-                words = (text.as_py() or b"").split()
-                if len(words) >= window:
-                    found.append(np.unique(anchors(word_hashes(words), window, anchor)))
-        if found:
-            yield cells(block, found)
+                held.append(text.as_py())
+        if held:
+            yield cells(block, held)
 
     return run
 
@@ -146,11 +174,16 @@ def _recurring_anchors(t: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_batch([(b, k.tobytes()) for b, k in zip(t.column("block").to_pylist(), held) if len(k)], REPLY)])
 
 
-def _rows_of(t: pa.Table) -> tuple[pa.Table, np.ndarray, list[list[bytes]]]:
+def _rows_of(t: pa.Table) -> tuple[pa.Table, np.ndarray, Words]:
     """A block's rows in the order of the file, their ids and words."""
     t = t.sort_by([("file", "ascending"), ("row", "ascending")])
     ids = np.array([NO_ID if d is None else d for d in t.column("doc_id").to_pylist()], np.int64)
-    return t, ids, [(x.as_py() or b"").split() for x in t.column("text").cast(pa.binary())]
+    return t, ids, Words(t.column("text").cast(pa.binary()).to_pylist())
+
+
+def _phrases(h: np.ndarray, window: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits of hash of the phrases that start there: 64 as key, 32 as check."""
+    return run_hashes(h, window, starts), (run_hashes(h, window, starts, OTHER) >> np.uint64(32)).astype(np.uint32)
 
 
 PHRASE = "shard long, block long, keys binary, checks binary, ids binary"
@@ -161,19 +194,11 @@ def _ask_phrases(window: int, anchor: int, bits: int):
         if not t.num_rows or not replies.num_rows:
             return pa.Table.from_batches([_batch([], PHRASE)])
         recurring = np.unique(np.concatenate([_array(x, np.uint64) for x in replies.column("keys")]))
-        t, ids, texts = _rows_of(t)
-        keys, checks, owners = [], [], []
-        for doc, words in zip(ids, texts):
-            if len(words) < window:
-                continue
-            h = word_hashes(words)
-            starts = np.flatnonzero(among(anchors(h, window, anchor), recurring))
-            keys.append(run_hashes(h, window, starts))
-            checks.append((run_hashes(h, window, starts, OTHER) >> np.uint64(32)).astype(np.uint32))
-            owners.append(np.full(len(starts), doc, np.int64))
-        if not keys:
-            return pa.Table.from_batches([_batch([], PHRASE)])
-        key, check, owner = np.concatenate(keys), np.concatenate(checks), np.concatenate(owners)
+        t, ids, words = _rows_of(t)
+        starts, text = words.starts(window)
+        use = among(anchors(words.hashes, window, anchor)[starts], recurring)
+        key, check = _phrases(words.hashes, window, starts[use])
+        owner = ids[text[use]]
         order = np.lexsort((owner, check, key))
         key, check, owner = key[order], check[order], owner[order]
         new = np.ones(len(key), bool)
@@ -212,101 +237,116 @@ def _confirmed_phrases(t: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_batch(out, CONFIRMED)])
 
 
-def _codes(numbers: np.ndarray) -> str:
-    """One character a number; the surrogates are no characters."""
-    return (numbers + 0x800 * (numbers >= 0xD800)).astype("<u4").tobytes().decode("utf-32-le")
-
-
-class PhraseAutomata:
-    """Automata over confirmed phrases, at most ``phrases`` each; a phrase carries the smallest id that holds it."""
-
-    def __init__(self, tokens: np.ndarray, starts: np.ndarray, ids: np.ndarray, window: int, phrases: int):
-        self.window, self.shards = window, []
-        for a in range(0, len(starts), phrases):
-            words = tokens[starts[a:a + phrases, None] + np.arange(window)]
-            known, numbers = np.unique(words, return_inverse=True)
-            text = _codes(numbers.ravel() + 1)  # character 0 is any other word
-            machine = ahocorasick.Automaton(ahocorasick.STORE_ANY)
-            for k, first in enumerate(ids[a:a + phrases].tolist()):
-                machine.add_word(text[k * window:(k + 1) * window], first)
-            machine.make_automaton()
-            self.shards.append((known, machine))
+class PassageAutomata:
+    """Automata over distinct passages, about ``size`` words each; words are two characters of disjoint alphabets."""
+
+    def __init__(self, tokens: np.ndarray, passages: list[tuple[int, int]], ids: np.ndarray, window: int, size: int):
+        """``passages`` are (from, to) places of words; ``ids`` has the smallest id of the phrase that starts at each place."""
+        self.window, self.ids, self.shards = window, ids, []
+        seen, at = set(), 0
+        while at < len(passages):
+            held, room = [], size
+            while at < len(passages) and room > 0:
+                a, b = passages[at]
+                key = tokens[a:b].tobytes()
+                if key not in seen:
+                    seen.add(key)
+                    held.append((a, b))
+                    room -= b - a
+                at += 1
+            if held:
+                self._compile(tokens, held)
+
+    def _compile(self, tokens: np.ndarray, held: list[tuple[int, int]]) -> None:
+        known = np.unique(np.concatenate([tokens[a:b] for a, b in held]))
+        machine = ahocorasick.Automaton(ahocorasick.STORE_ANY)
+        base = int(len(known) ** 0.5) + 1  # a state's arcs are searched one by one: few letters, short searches
+        for a, b in held:
+            machine.add_word(self._text(tokens[a:b], known, base), (a, b))
+        machine.make_automaton()
+        self.shards.append((known, base, machine))
+
+    @staticmethod
+    def _text(tokens: np.ndarray, known: np.ndarray, base: int) -> str:
+        at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+        letters = np.zeros((len(tokens), 2), "<u4")  # letter 0 is in no passage
+        mine = known[at] == tokens
+        letters[mine, 0] = 0x10000 + at[mine] // base
+        letters[mine, 1] = 0x10000 + base + at[mine] % base
+        return letters.tobytes().decode("utf-32-le")
 
     def removed(self, tokens: np.ndarray, own: int) -> np.ndarray:
         """Which words of a document lie in a phrase that a smaller id holds."""
         cover = np.zeros(len(tokens) + 1, np.int64)
-        for known, machine in self.shards:
-            at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-            text = _codes(np.where(known[at] == tokens, at + 1, 0))
-            ends = np.array([end for end, first in machine.iter(text) if first < own], np.int64)
-            np.add.at(cover, ends - (self.window - 1), 1)
-            np.add.at(cover, ends + 1, -1)
+        for known, base, machine in self.shards:
+            before = upto = -1  # start of the last match, and the first phrase after it
+            for end, (a, b) in machine.iter(self._text(tokens, known, base)):
+                begin, stop = (end + 1) // 2 - (b - a), (end + 1) // 2 - self.window + 1
+                # a phrase has the same smallest id in every passage, so those of the last match are done
+                start = max(begin, upto) if begin >= before else begin
+                if start < stop:
+                    cut = start + np.flatnonzero(self.ids[a + start - begin:b - self.window + 1] < own)
+                    cover[cut] += 1
+                    cover[cut + self.window] -= 1
+                    before, upto = begin, stop
         return np.cumsum(cover[:-1]) > 0
 
 
 OUT = "doc_id long, n_words long, n_removed long, starts array<int>, stops array<int>, kept_sha256 string"
 
 
-def _remover(window: int, phrases: int, with_text: bool):
+def _compiled(words: Words, confirmed: pa.Table, window: int, size: int) -> PassageAutomata | None:
+    """Automata of the passages of a block, from its words and the confirmed phrases (key, check, smallest id)."""
+    key, check, smallest = (np.concatenate([f(x) for x in confirmed.column(c)]) for c, f in (
+        ("keys", lambda x: _array(x, np.uint64)), ("checks", lambda x: _array(x, np.uint32)), ("ids", _ids)))
+    order = np.lexsort((check, key))
+    key, check, smallest = key[order], check[order], smallest[order]
+    starts, text = words.starts(window)
+    use = among(run_hashes(words.hashes, window)[starts], key)
+    starts, text = starts[use], text[use]
+    k, c = _phrases(words.hashes, window, starts)
+    place = np.searchsorted(key, k)
+    while True:  # phrases of equal keys lie next to each other, ordered by check
+        near = np.minimum(place, len(key) - 1)
+        step = (key[near] == k) & (check[near] < c) & (place < len(key))
+        if not step.any():
+            break
+        place = place + step
+    exact = (key[near] == k) & (check[near] == c)
+    starts, text, near = starts[exact], text[exact], near[exact]
+    if not len(starts):
+        return None
+    ids = np.full(len(words.tokens), NO_ID, np.int64)
+    ids[starts] = smallest[near]
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(starts) != 1) | (np.diff(text) != 0)]))
+    last = np.append(new[1:], len(starts)) - 1
+    passages = list(zip(starts[new].tolist(), (starts[last] + window).tolist()))
+    return PassageAutomata(words.tokens, passages, ids, window, size)
+
+
+def _remover(window: int, size: int, with_text: bool):
     def run(t: pa.Table, confirmed: pa.Table) -> pa.Table:
-        t, ids, texts = _rows_of(t)
-        machine = tokens = None
-        if confirmed.num_rows and any(len(words) >= window for words in texts):
-            tokens, machine = compiled(texts, confirmed)
+        t, ids, words = _rows_of(t)
+        machine = _compiled(words, confirmed, window, size) if confirmed.num_rows else None
         cols, kept = [[], [], [], [], []], []
-        for i, words in enumerate(texts):
-            gone = machine.removed(tokens[i], int(ids[i])) if machine is not None else np.zeros(len(words), bool)
+        for own, of, a in zip(ids.tolist(), words.lists, words.first.tolist()):
+            gone = machine.removed(words.tokens[a:a + len(of)], own) if machine else np.zeros(len(of), bool)
             edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-            left = b" ".join(w for w, x in zip(words, gone.tolist()) if not x) if len(edges) else b" ".join(words)
-            for c, v in zip(cols, (len(words), int(gone.sum()), edges[::2].tolist(), edges[1::2].tolist(),
+            left = b" ".join(w for w, x in zip(of, gone.tolist()) if not x) if len(edges) else b" ".join(of)
+            for c, v in zip(cols, (len(of), int(gone.sum()), edges[::2].tolist(), edges[1::2].tolist(),
                                    hashlib.sha256(left).hexdigest())):
                 c.append(v)
             if with_text:
                 kept.append(left.decode())
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.string())
         arrays = [t.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))] + ([pa.array(kept, pa.string())] if with_text else [])
-        names = [c.split()[0] for c in OUT.split(", ")] + (["kept"] if with_text else [])
-        return pa.table(arrays, names)
-
-    def compiled(texts, confirmed):
-        key, check, first = (np.concatenate([f(x) for x in confirmed.column(c)]) for c, f in (
-            ("keys", lambda x: _array(x, np.uint64)), ("checks", lambda x: _array(x, np.uint32)), ("ids", _ids)))
-        order = np.lexsort((check, key))
-        key, check, first = key[order], check[order], first[order]
-        numbers: dict[bytes, int] = {}
-        tokens, hashes, checks, at, begin = [], [], [], [], 0
-        for words in texts:
-            tokens.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words)))
-            if len(words) >= window:
-                h = word_hashes(words)
-                found = run_hashes(h, window)
-                starts = np.flatnonzero(among(found, key))
-                hashes.append(found[starts])
-                checks.append((run_hashes(h, window, starts, OTHER) >> np.uint64(32)).astype(np.uint32))
-                at.append(starts + begin)
-            begin += len(words)
-        # one occurrence of each confirmed phrase of this block
-        k, c, at = np.concatenate(hashes), np.concatenate(checks), np.concatenate(at)
-        order = np.lexsort((c, k))
-        k, c, at = k[order], c[order], at[order]
-        new = np.ones(len(k), bool)
-        new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-        k, c, at = k[new], c[new], at[new]
-        place = np.searchsorted(key, k)
-        while True:  # phrases of equal keys lie next to each other, ordered by check
-            near = np.minimum(place, len(key) - 1)
-            step = (key[near] == k) & (check[near] < c) & (place < len(key))
-            if not step.any():
-                break
-            place = place + step
-        exact = (key[near] == k) & (check[near] == c)
-        return tokens, PhraseAutomata(np.concatenate(tokens), at[exact], first[near[exact]], window, phrases)
+        return pa.table(arrays, [c.split()[0] for c in OUT.split(", ")] + (["kept"] if with_text else []))
 
     return run
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_text: bool = False,
-                   block_rows: int = BLOCK_ROWS, phrases: int = PHRASES) -> DataFrame:
+                   block_rows: int = BLOCK_ROWS, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     """One row per row: doc_id, n_words, n_removed, the removed runs of words (starts, stops) and kept_sha256.
 
     ``with_text`` adds ``kept``, the words that stay, joined by one space.
@@ -324,7 +364,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         suspects = by_block.cogroup(recurring.groupBy("block")).applyInArrow(_ask_phrases(window, anchor, bits), PHRASE)
         confirmed = scratch.write(suspects.groupBy("shard").applyInArrow(_confirmed_phrases, CONFIRMED), "phrases")
         out = by_block.cogroup(confirmed.groupBy("block")).applyInArrow(
-            _remover(window, phrases, with_text), OUT + (", kept string" if with_text else ""))
+            _remover(window, passage_words, with_text), OUT + (", kept string" if with_text else ""))
         return scratch.finish(out)
     except BaseException:
         scratch.remove()

@@ -44,17 +44,17 @@ def text(seed, n, vocabulary=2000):
 
 
 def test_anchors_are_shared_by_equal_phrases():
-    shared = text(1, 13).encode().split()
+    shared = text(1, 13)
+    (lone,) = op.anchors(op.Words([shared.encode()]).hashes, 13, 7)
     for before, after in ((0, 0), (3, 9), (20, 1)):
-        a = text(2, before).encode().split() + shared + text(3, after).encode().split()
-        found = op.anchors(op.word_hashes(a), 13, 7)
-        assert found[before] == op.anchors(op.word_hashes(shared), 13, 7)[0]
-    dense = np.unique(op.anchors(op.word_hashes(text(4, 50_000, 10**6).encode().split()), 13, 7))
+        found = op.anchors(op.Words([f"{text(2, before)} {shared} {text(3, after)}".encode()]).hashes, 13, 7)
+        assert found[before] == lone
+    dense = np.unique(op.anchors(op.Words([text(4, 50_000, 10**6).encode()]).hashes, 13, 7))
     assert len(dense) < 0.3 * 50_000
 
 
-@pytest.mark.parametrize("phrases", [3, 50_000])
-def test_odd_cases(docs_of, phrases):
+@pytest.mark.parametrize("words", [30, 200_000])  # many automata a block, and one
+def test_odd_cases(docs_of, words):
     p = [text(i, 40) for i in range(6)]
     rows = [(7, f"{text(90, 30)} {p[0]} {text(91, 5)}"), (3, f"x {p[0]}\n\t {p[1]}"), (9, p[0]), (9, p[0]), (9, f"{p[0]} {p[0]}"),
             (None, p[1]), (None, p[1]), (None, p[5]), (None, p[5]), (12, ""), (13, None), (14, "a b c"), (15, " ".join(p[0].split()[:12])),
@@ -62,7 +62,12 @@ def test_odd_cases(docs_of, phrases):
             (21, p[2] + " x"), (22, f"{p[3]} {p[3]}"), (23, text(77, 60_000, 10**6)), (24, text(77, 60_000, 10**6) + " end"),
             (25, p[4]), (26, " ".join(p[4].split()[5:30]) + " " + " ".join(p[4].split()[10:35]))]
     docs = docs_of(rows, parts=4)
-    assert got(op.remove_repeats(docs, phrases=phrases)) == brute(rows)
+    assert got(op.remove_repeats(docs, passage_words=words)) == brute(rows)
+
+
+def test_one_word_over_and_over(docs_of):
+    rows = [(i, "same " * (5 + 7 * (i % 30))) for i in range(90)] + [(200 + i, "same " * 15 + f"x{i % 2} " + "same " * 14) for i in range(4)]
+    assert got(op.remove_repeats(docs_of(rows))) == brute(rows)
 
 
 def test_spans_and_text(docs_of):
