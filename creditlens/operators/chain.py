@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 
 from creditlens.sources.tables import Tables
 
+OWNED = "tem_titular"  # set in stored accounts whose member exists
 AGENCY_MODES = ("columns", "required", "none")
 
 
@@ -33,11 +34,24 @@ def members(t: Tables, agency: str = "columns") -> DataFrame:
 
 
 def account_owners(t: Tables, agency: str = "columns", accounts: DataFrame | None = None) -> DataFrame:
-    """Accounts joined to their member (and agency): one row per account."""
+    """Accounts joined to their member (and agency): one row per account.
+
+    Stored tables (``sources.stored``) hold the member's columns in the
+    account's row, so nothing is joined but the agency."""
     accounts = t.conta if accounts is None else accounts
+    if OWNED in accounts.columns:
+        return _attach_agency(accounts.where(OWNED).drop(OWNED), t, agency)
     return accounts.join(members(t, agency), "id_cooperado")
 
 
+def loan_key(df: DataFrame) -> list[str]:
+    """What identifies a loan in ``df``: its id, after the account it is stored with if the rows carry it.
+
+    Instalments of stored tables lie in the bucket of their account; grouping
+    and joining on (account, loan) then needs no exchange."""
+    return ["id_conta", "id_emprestimo"] if "id_conta" in df.columns else ["id_emprestimo"]
+
+
 def loan_chain(t: Tables, agency: str = "columns", loans: DataFrame | None = None,
                modality: bool = False, accounts: DataFrame | None = None) -> DataFrame:
     """Loans (or any frame keyed by ``id_conta``) joined to account, member, agency.
@@ -68,12 +82,15 @@ def with_evidence(df: DataFrame, evidence: DataFrame, key: str | list[str], nega
 def loans_with_owner(t: Tables, loans: DataFrame | None = None) -> DataFrame:
     """Loans whose account and member exist (the inner-join presence filter)."""
     loans = t.emprestimo if loans is None else loans
-    owned = t.conta.select("id_conta", "id_cooperado").join(
-        t.cooperado.select("id_cooperado"), "id_cooperado", "left_semi")
+    if OWNED in t.conta.columns:
+        owned = t.conta.where(OWNED)
+    else:
+        owned = t.conta.select("id_conta", "id_cooperado").join(
+            t.cooperado.select("id_cooperado"), "id_cooperado", "left_semi")
     return loans.join(owned.select("id_conta"), "id_conta", "left_semi")
 
 
 def per_loan(parcela: DataFrame, *aggs) -> DataFrame:
     """Instalments aggregated to one row per loan (map-side partial aggregation)."""
-    return parcela.groupBy("id_emprestimo").agg(*aggs)
+    return parcela.groupBy(*loan_key(parcela)).agg(*aggs)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditlens.operators.audit import audit_domain, audit_foreign_key, audit_primary_key
-from creditlens.operators.chain import loan_chain, per_loan, with_evidence
+from creditlens.operators.chain import loan_chain, loan_key, per_loan, with_evidence
 from creditlens.operators.repeated_keys import duplicates
 from creditlens.sources.schema import DOMAINS, FOREIGN_KEYS, PRIMARY_KEYS
 from creditlens.sources.tables import Tables
@@ -23,7 +23,7 @@ def term_violations(t: Tables, by: str = "max") -> DataFrame:
         per = per_loan(t.parcela, F.count(F.lit(1)).alias("_m"))
     else:
         raise ValueError("by must be 'max' or 'count'")
-    df = (t.emprestimo.select("id_emprestimo", "id_modalidade").join(per, "id_emprestimo")
+    df = (t.emprestimo.select("id_emprestimo", "id_conta", "id_modalidade").join(per, loan_key(per))
           .join(t.dim("modalidade"), "id_modalidade"))
     out = df.groupBy("nome_modalidade", "prazo_maximo_meses").agg(F.max("_m").alias("maximo_parcelas_praticado"))
     return out.where(F.col("maximo_parcelas_praticado") > F.col("prazo_maximo_meses"))
@@ -33,7 +33,7 @@ def contract_instalment_mismatch(t: Tables) -> DataFrame:
     """Q22 — loans whose instalments add up to less than the contracted value
     (a loan without instalments counts as 0)."""
     sums = per_loan(t.parcela, F.sum("valor_parcela").alias("_s"))
-    loans = t.emprestimo.join(sums, "id_emprestimo", "left")
+    loans = t.emprestimo.join(sums, loan_key(sums), "left")
     df = loan_chain(t, "required", loans)
     total = F.coalesce(F.col("_s"), F.lit(0).cast(sums.schema["_s"].dataType))
     return (df.select("id_emprestimo", "nome_completo", V, total.alias("total_parcelas"))
@@ -45,8 +45,8 @@ def duplicate_instalments(t: Tables, distinct: bool = False) -> DataFrame:
 
     As written a loan is listed once per duplicated number; ``distinct`` once.
     Instalments whose number is proven single are never shuffled."""
-    dup = duplicates(t.parcela, ["id_emprestimo", "numero_parcela"], "_n")
-    df = with_evidence(dup, t.emprestimo, "id_emprestimo").select("id_emprestimo")
+    dup = duplicates(t.parcela, [*loan_key(t.parcela), "numero_parcela"], "_n")
+    df = with_evidence(dup, t.emprestimo, loan_key(dup)).select("id_emprestimo")
     return df.distinct() if distinct else df
 
 

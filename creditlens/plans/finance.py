@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditlens.functions.columns import days_between, month_key, round2, year_range
-from creditlens.operators.chain import account_owners, loan_chain, loans_with_owner, per_loan
+from creditlens.functions.columns import days_between, month_key, round2
+from creditlens.operators.chain import account_owners, loan_chain, loan_key, loans_with_owner, per_loan
 from creditlens.operators.conditional import conditional_totals
 from creditlens.operators.period import period_change
 from creditlens.operators.segments import moving_mean
@@ -22,7 +22,7 @@ def mom_growth(t: Tables, year: int = 2023, fill_calendar: bool = False) -> Data
     As written the previous month is the previous month *with loans*;
     ``fill_calendar`` lists all twelve months (missing ones with volume 0)."""
     # per (account, month) partial sums first: the owner check shuffles one row per account-month
-    per_account = (t.emprestimo.where(year_range("data_contratacao", year))
+    per_account = (t.loans_of_year(year)
                    .groupBy("id_conta", month_key("data_contratacao").alias("mes"))
                    .agg(F.sum(V).alias("_v")))
     totals = loans_with_owner(t, per_account).groupBy("mes").agg(F.sum("_v").alias("total_atual"))
@@ -38,8 +38,8 @@ def mom_growth(t: Tables, year: int = 2023, fill_calendar: bool = False) -> Data
 def cashflow_by_modality(t: Tables) -> DataFrame:
     """Q09 — per modality: Σ paid instalments and Σ pending + late instalments."""
     buckets = {"soma_status_pagas": ["Paga"], "parcelas_atrasadas_pendentes": ["Pendente", "Atrasada"]}
-    loans_sums = conditional_totals(t.parcela, ["id_emprestimo"], "valor_parcela", INST_STATUS, buckets)
-    df = (t.emprestimo.select("id_emprestimo", "id_modalidade").join(loans_sums, "id_emprestimo")
+    loans_sums = conditional_totals(t.parcela, loan_key(t.parcela), "valor_parcela", INST_STATUS, buckets)
+    df = (t.emprestimo.select("id_emprestimo", "id_conta", "id_modalidade").join(loans_sums, loan_key(loans_sums))
           .join(t.dim("modalidade"), "id_modalidade"))
     return (df.groupBy("nome_modalidade").agg(*[F.sum(b).alias(b) for b in buckets])
             .orderBy(F.desc("soma_status_pagas")))
@@ -53,7 +53,7 @@ def balance_vs_debt(t: Tables, unpaid=("Pendente", "Atrasada"), as_asked: bool =
     ``as_asked`` compares the member's balance (each account once) instead."""
     debt = per_loan(t.parcela.where(F.col(INST_STATUS).isin(*unpaid)),
                     F.sum("valor_parcela").alias("_debt"), F.count(F.lit(1)).alias("_n"))
-    per_account = (t.emprestimo.select("id_emprestimo", "id_conta").join(debt, "id_emprestimo")
+    per_account = (t.emprestimo.select("id_emprestimo", "id_conta").join(debt, loan_key(debt))
                    .groupBy("id_conta").agg(F.sum("_debt").alias("_debt"), F.sum("_n").alias("_n")))
     df = loan_chain(t, "required", per_account)
     if as_asked:
@@ -74,7 +74,7 @@ def avg_payment_delay(t: Tables, paid: str = "Paga") -> DataFrame:
     """Q13 — mean days between due date and payment of paid instalments, per profile."""
     d = days_between("data_pagamento", "data_vencimento")
     per = per_loan(t.parcela.where(F.col(INST_STATUS) == paid), F.sum(d).alias("_s"), F.count(d).alias("_c"))
-    per_account = (t.emprestimo.select("id_emprestimo", "id_conta").join(per, "id_emprestimo")
+    per_account = (t.emprestimo.select("id_emprestimo", "id_conta").join(per, loan_key(per))
                    .groupBy("id_conta").agg(F.sum("_s").alias("_s"), F.sum("_c").alias("_c")))
     df = loan_chain(t, "required", per_account)
     out = df.groupBy("perfil_produtor").agg(F.sum("_s").alias("_s"), F.sum("_c").alias("_c"))
@@ -105,8 +105,8 @@ def instalment_pivot(t: Tables) -> DataFrame:
     """Q20 — per agency name: Σ paid, Σ pending, Σ late instalment values."""
     buckets = {"total_parcelas_pagas": ["Paga"], "total_parcelas_pendentes": ["Pendente"],
                "total_parcelas_atrasadas": ["Atrasada"]}
-    sums = conditional_totals(t.parcela, ["id_emprestimo"], "valor_parcela", INST_STATUS, buckets)
-    per_account = (t.emprestimo.select("id_emprestimo", "id_conta").join(sums, "id_emprestimo")
+    sums = conditional_totals(t.parcela, loan_key(t.parcela), "valor_parcela", INST_STATUS, buckets)
+    per_account = (t.emprestimo.select("id_emprestimo", "id_conta").join(sums, loan_key(sums))
                    .groupBy("id_conta").agg(*[F.sum(b).alias(b) for b in buckets]))
     df = loan_chain(t, "columns", per_account)
     return df.groupBy("nome_agencia").agg(*[F.sum(b).alias(b) for b in buckets])
@@ -116,7 +116,7 @@ def daily_running_total(t: Tables, year: int = 2024) -> DataFrame:
     """Q27 — daily volume in `year` with its cumulative sum since 1 January.
 
     The window orders at most 366 pre-aggregated rows."""
-    per_account = (t.emprestimo.where(year_range("data_contratacao", year))
+    per_account = (t.loans_of_year(year)
                    .groupBy("id_conta", "data_contratacao").agg(F.sum(V).alias("_v")))
     daily = loan_chain(t, "required", per_account).groupBy("data_contratacao").agg(F.sum("_v").alias("total"))
     w = Window.orderBy("data_contratacao").rowsBetween(Window.unboundedPreceding, Window.currentRow)

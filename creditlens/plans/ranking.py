@@ -8,8 +8,8 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditlens.functions.columns import days_between, month_key, pct, tile_from_rank, year_range
-from creditlens.operators.chain import loan_chain, members
+from creditlens.functions.columns import days_between, month_key, pct, tile_from_rank
+from creditlens.operators.chain import loan_chain, loan_key, members
 from creditlens.operators.global_order import global_rank
 from creditlens.operators.ranking import top_n_per_group
 from creditlens.operators.segments import positions
@@ -22,9 +22,7 @@ def top_loans_per_agency(t: Tables, start=dt.date(2024, 1, 1), end=dt.date(2025,
                          method: str = "dense_rank") -> DataFrame:
     """Q01 — loans contracted in [start, end) whose value is among the top-k
     (dense-ranked: ties share a place) of their agency."""
-    loans = t.emprestimo.where((F.col("data_contratacao") >= F.lit(start)) &
-                               (F.col("data_contratacao") < F.lit(end)))
-    df = loan_chain(t, "columns", loans)
+    df = loan_chain(t, "columns", t.loans_between(start, end))
     ranked = top_n_per_group(df, ["id_agencia"], [F.desc(V)], k, method, "posicao")
     return ranked.select("nome_agencia", "nome_completo", V, F.col("posicao").cast("bigint").alias("posicao"))
 
@@ -82,10 +80,10 @@ def next_due_instalment(t: Tables, loan_status: str = "Ativo", pending: str = "P
     due = F.coalesce(F.datediff("data_vencimento", F.lit("1970-01-01")), F.lit(-10_000_000)).cast("decimal(18,0)")
     order = due * F.lit(Decimal(10**19)) + F.coalesce("id_parcela", F.lit(0)).cast("decimal(20,0)")
     first = (t.parcela.where(F.col("status_parcela") == pending)
-             .groupBy("id_emprestimo")
+             .groupBy(*loan_key(t.parcela))
              .agg(F.min_by("data_vencimento", order).alias("data_vencimento"),
                   F.min_by("valor_parcela", order).alias("valor_parcela")))
-    loans = t.emprestimo.where(F.col("status_contrato") == loan_status).join(first, "id_emprestimo")
+    loans = t.emprestimo.where(F.col("status_contrato") == loan_status).join(first, loan_key(first))
     df = loan_chain(t, "required", loans)
     return df.select("id_emprestimo", "nome_completo",
                      "valor_parcela", "data_vencimento")
@@ -118,7 +116,7 @@ def golden_month(t: Tables, year: int = 2024, as_asked: bool = False) -> DataFra
     """Q23 — each agency's month of `year` with the largest volume (ties: earliest month).
 
     As written the ranking groups agencies by *name*; ``as_asked`` ranks per agency id."""
-    per_account = (t.emprestimo.where(year_range("data_contratacao", year))
+    per_account = (t.loans_of_year(year)
                    .groupBy("id_conta", month_key("data_contratacao").alias("mes")).agg(F.sum(V).alias("_v")))
     df = loan_chain(t, "columns", per_account)
     totals = df.groupBy("id_agencia", "nome_agencia", "mes").agg(F.sum("_v").alias("total"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditlens.functions.columns import as_double, days_between, pct, ratio, round2
-from creditlens.operators.chain import account_owners, loan_chain, members, per_loan, with_evidence
+from creditlens.operators.chain import account_owners, loan_chain, loan_key, members, per_loan, with_evidence
 from creditlens.operators.deviation import deviation_from_group_mean, means_from_partials
 from creditlens.sources.tables import Tables
 
@@ -65,7 +65,7 @@ def hidden_risk(t: Tables, loan_status: str = "Ativo", late: str = "Atrasada") -
     """Q06 — loans still in `loan_status` with at least one late instalment
     (distinct member name, agency name, value)."""
     evidence = t.parcela.where(F.col(INST_STATUS) == late)
-    loans = with_evidence(t.emprestimo.where(F.col(LOAN_STATUS) == loan_status), evidence, "id_emprestimo")
+    loans = with_evidence(t.emprestimo.where(F.col(LOAN_STATUS) == loan_status), evidence, loan_key(evidence))
     df = loan_chain(t, "columns", loans)
     return df.select("nome_completo", "nome_agencia", V).distinct()
 
@@ -85,7 +85,7 @@ def risk_score_summary(t: Tables, late: str = "Atrasada", include_no_history: bo
     As written only members with at least one instalment are classified;
     ``include_no_history`` also counts members without any as 'Risco Baixo'."""
     lates = per_loan(t.parcela, F.count_if(F.col(INST_STATUS) == late).alias("n_late"))
-    per_account = (t.emprestimo.select("id_emprestimo", "id_conta").join(lates, "id_emprestimo")
+    per_account = (t.emprestimo.select("id_emprestimo", "id_conta").join(lates, loan_key(lates))
                    .groupBy("id_conta").agg(F.sum("n_late").alias("n_late")))
     per_member = (loan_chain(t, "columns", per_account)
                   .groupBy("nome_agencia", "id_cooperado").agg(F.sum("n_late").alias("total_atrasos")))
@@ -115,7 +115,7 @@ def vip_defaulters(t: Tables, min_volume=100000, late: str = "Atrasada") -> Data
     their loans, whose member's volume on such accounts exceeds `min_volume`
     (grouped by member, city and balance)."""
     late_loans = t.parcela.where(F.col(INST_STATUS) == late)
-    late_accounts = with_evidence(t.emprestimo.select("id_emprestimo", "id_conta"), late_loans, "id_emprestimo")
+    late_accounts = with_evidence(t.emprestimo.select("id_emprestimo", "id_conta"), late_loans, loan_key(late_loans))
     accounts = with_evidence(t.conta.where(F.col("saldo_atual") < 0), late_accounts, "id_conta")
     volume = t.emprestimo.groupBy("id_conta").agg(F.sum(V).alias("_v"))
     df = loan_chain(t, "columns", volume, accounts=accounts)
@@ -127,7 +127,7 @@ def time_to_default(t: Tables, loan_status: str = "Inadimplente", late: str = "A
     """Q24 — days from contracting to the earliest late instalment's due date, defaulted loans."""
     first_late = per_loan(t.parcela.where(F.col(INST_STATUS) == late),
                           F.min("data_vencimento").alias("_first"))
-    loans = t.emprestimo.where(F.col(LOAN_STATUS) == loan_status).join(first_late, "id_emprestimo")
+    loans = t.emprestimo.where(F.col(LOAN_STATUS) == loan_status).join(first_late, loan_key(first_late))
     return loans.select("id_emprestimo", days_between("_first", "data_contratacao").alias("dias_ate_ruina"))
 
 
@@ -157,7 +157,7 @@ def collection_effort(t: Tables, late: str = "Atrasada") -> DataFrame:
     """Q28 — late instalments × 100 / all instalments, per agency (counts)."""
     counts = per_loan(t.parcela, F.count_if(F.col(INST_STATUS) == late).alias("_late"),
                       F.count("id_parcela").alias("_all"))
-    per_account = (t.emprestimo.select("id_emprestimo", "id_conta").join(counts, "id_emprestimo")
+    per_account = (t.emprestimo.select("id_emprestimo", "id_conta").join(counts, loan_key(counts))
                    .groupBy("id_conta").agg(F.sum("_late").alias("_late"), F.sum("_all").alias("_all")))
     df = loan_chain(t, "columns", per_account)
     out = df.groupBy("id_agencia", "nome_agencia").agg(F.sum("_late").alias("_late"), F.sum("_all").alias("_all"))
@@ -173,7 +173,7 @@ def speculative_risk(t: Tables, profile: str = "Pequeno", min_rate=10, min_n: in
     modal = t.dim("modalidade").where(F.col("taxa_juros_anual") > F.lit(min_rate))
     loans = (t.emprestimo.where(F.col(LOAN_STATUS) == status)
              .join(modal, "id_modalidade")
-             .join(n_inst.where(F.col("total_parcelas") > min_n), "id_emprestimo"))
+             .join(n_inst.where(F.col("total_parcelas") > min_n), loan_key(n_inst)))
     owners = account_owners(t, "none").where(F.col("perfil_produtor") == profile)
     df = loans.join(owners, "id_conta")
     return df.select("nome_completo", "nome_modalidade", "total_parcelas")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import time
 from dataclasses import dataclass, field
 
@@ -15,6 +16,7 @@ from creditlens.sources.schema import SCHEMAS, TABLE_NAMES
 # convert it at run time from the measured size).
 DIM_BROADCAST_MAX_ROWS = 200_000
 DIM_BROADCAST_MAX_BYTES = 64 << 20  # of their rows as JSON
+MONTH = "mes_contratacao"  # partition column of stored loans
 SIZE_VERDICT_SECONDS = 600  # a table may grow under the same path
 
 
@@ -36,6 +38,21 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)
 
+    def loans_between(self, start: dt.date, end: dt.date) -> DataFrame:
+        """Loans contracted in [start, end).
+
+        Stored loans lie in one folder per month; the range then also becomes
+        a range of months, so that only its folders are listed and read."""
+        day = F.col("data_contratacao")
+        loans = self.emprestimo.where((day >= F.lit(start)) & (day < F.lit(end)))
+        if MONTH not in loans.columns:
+            return loans
+        last = end - dt.timedelta(days=1)
+        return loans.where(F.col(MONTH).between(f"{start:%Y-%m}", f"{last:%Y-%m}"))
+
+    def loans_of_year(self, year: int) -> DataFrame:
+        return self.loans_between(dt.date(year, 1, 1), dt.date(year + 1, 1, 1))
+
     def is_small(self, name: str) -> bool:
         """True when the table provably holds at most ``broadcast_max_rows`` rows
         and ``DIM_BROADCAST_MAX_BYTES`` bytes.

@@ -1,0 +1,95 @@
+"""Stored tables: the star join needs no exchange, date ranges read their months only, results stay the same."""
+
+import contextlib
+import io
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from creditlens.plans import audit, crm, finance, ranking, risk
+from creditlens.plans.catalog import REPORTS, load
+from creditlens.sources.stored import drop_stored_tables, store_tables, stored_tables
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    store_tables(load(spark, SF), "teste", 4, str(tmp_path_factory.mktemp("stored")))
+    yield stored_tables(spark, "teste")
+    drop_stored_tables(spark, "teste")
+
+
+@pytest.fixture
+def large(spark):
+    """No join side is small enough to be broadcast unhinted."""
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = [spark.conf.get(k, None) for k in keys]
+    for k in keys:
+        spark.conf.set(k, "-1")
+    yield
+    for k, v in zip(keys, before):
+        spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def plan(df):
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        df.explain()
+    return text.getvalue()
+
+
+def exchanges(df):
+    return re.findall(r"Exchange (?:hash|range)partitioning\(([^)]*)\)", plan(df))
+
+
+def test_star_joins_have_no_exchange(spark, stored, large):
+    params = REPORTS["q01_top_loans_per_agency"][1]
+    found = exchanges(ranking.top_loans_per_agency(stored, **params))
+    assert len(found) == 1 and found[0].startswith("id_agencia")  # the ranking itself
+    found = exchanges(risk.hidden_risk(stored))
+    assert len(found) == 1 and found[0].startswith("nome_completo")  # the distinct rows of the answer
+    assert exchanges(audit.contract_instalment_mismatch(stored)) == []
+    assert exchanges(ranking.next_due_instalment(stored)) == []
+    assert len(exchanges(ranking.top_loans_per_agency(load(spark, SF), **params))) >= 3  # as it is without them
+
+
+@pytest.mark.parametrize("name", ["q01_top_loans_per_agency", "q05_mom_growth", "q23_golden_month", "q27_daily_running_total"])
+def test_date_ranges_read_their_months_only(spark, stored, name):
+    fn, params = REPORTS[name]
+    df = fn(stored, **params)
+    scan = next(l for l in plan(df).splitlines() if "FileScan" in l and "data_contratacao" in l)
+    assert "mes_contratacao" in scan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    year = params.get("year") or params["start"].year
+    files = stored.loans_of_year(year).select(F.input_file_name().alias("f")).distinct().collect()
+    assert files and all(f"mes_contratacao={year}-" in r.f for r in files)
+
+
+def test_every_report_gives_the_same_rows(spark, stored):
+    names = ["q01", "q02", "q03", "q05", "q06", "q08", "q09", "q10", "q11", "q12", "q13", "q15", "q17", "q19", "q21", "q22",
+             "q23", "q24", "q25", "q27", "q28", "q29", "q30", "q39_mean", "audit_fk_emprestimo", "audit_pk_parcela"]
+    plain = load(spark, SF)
+    for name, (fn, params) in REPORTS.items():
+        if name.startswith(tuple(names)):
+            a, b = fn(plain, **params), fn(stored, **params)
+            assert sorted(a.columns) == sorted(b.columns), name
+            cols = sorted(a.columns)
+            assert a.select(cols).exceptAll(b.select(cols)).isEmpty() and b.select(cols).exceptAll(a.select(cols)).isEmpty(), name
+
+
+def test_orphans_survive_storage(spark, tmp_path):
+    from tests.fixtures import ag, co, ct, em, pa, tables
+
+    t = tables(spark, agencia=[ag(1)], cooperado=[co(1)], conta=[ct(10, 1), ct(11, 99)], emprestimo=[em(1, 10, 5), em(2, 77, 5)],
+               parcela=[pa(1, 1, status="Atrasada"), pa(2, 500)])
+    store_tables(t, "orfaos", 2, str(tmp_path))
+    try:
+        s = stored_tables(spark, "orfaos")
+        assert s.parcela.count() == 2 and s.conta.count() == 2
+        assert [r.id_cooperado for r in audit.foreign_key_audit(s, "conta", "id_cooperado").collect()] == [99]
+        assert [r.id_emprestimo for r in audit.foreign_key_audit(s, "parcela", "id_emprestimo").collect()] == [500]
+        assert risk.hidden_risk(s).count() == 1 and crm.ghost_members(s).count() == 0
+        assert finance.mom_growth(s, 2024).first().total_atual == 5
+    finally:
+        drop_stored_tables(spark, "orfaos")
