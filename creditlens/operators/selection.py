@@ -13,8 +13,8 @@ aggregates and then orders only a narrow candidate window:
    falls inside the bracket (otherwise the bracket is dropped: exact fallback);
 4. the values inside the bracket are grouped (a value repeated by a third of
    the rows becomes one row) and ranked by cumulative count — by a window over
-   a checked, bounded number of rows, or by the range-partitioned global order
-   (S02) when the window is larger than that bound.
+   a checked, bounded number of rows, or by S02's slices when the window is
+   larger than that bound.
 
 Every pass is a scan with partial aggregation; only scalars reach the driver.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from creditlens.operators.global_order import global_rank
+from creditlens.operators.segments import positions
 
 SELECTION_ACCURACY = 10_000
 # candidate rows above this are ranked with the distributed global order
@@ -94,8 +94,7 @@ def _select_non_null(df: DataFrame, value: str, n: int, targets: list[tuple[int,
         w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         cum = grouped.withColumn("_cum", F.sum("_cnt").over(w))
     else:
-        cum = global_rank(grouped, [F.asc(value)], rank_col="_r", running_sum="_cnt",
-                          running_col="_cum").drop("_r")
+        cum = positions(grouped, [], [value], rank_col="_r", running_sum="_cnt", running_col="_cum").drop("_r")
     wanted = spark.createDataFrame([(k, pos - below) for k, pos in targets], "rank long, _pos long")
     hit = (F.col("_cum") - F.col("_cnt") < F.col("_pos")) & (F.col("_pos") <= F.col("_cum"))
     # the targets side holds a handful of rows: broadcast is bounded

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from creditlens.functions.columns import as_double, mean_of, round2
 from creditlens.operators.chain import loan_chain
 from creditlens.operators.dispersion import dispersion, exact_moments
+from creditlens.operators.mode import mode
 from creditlens.operators.moments import central, merged, power_sums
 from creditlens.operators.selection import values_at_ranks
 from creditlens.sources.tables import Tables
@@ -104,6 +105,5 @@ def distribution_summary(t: Tables, as_asked: bool = False, with_skewness: bool
         ranks = lambda n: [n // 2, n // 2 + 1, (n + 1) // 2]
     # positions form a set (SQL ``rank IN (...)``): each distinct position counts once
     mediana = values_at_ranks(t.emprestimo, V, ranks, around=0.5).agg(mean_of(V).alias("mediana"))
-    moda = (t.emprestimo.groupBy(V).agg(F.count(F.lit(1)).alias("_n"))
-            .orderBy(F.desc("_n"), F.asc(V)).limit(1).select(F.col(V).alias("moda")))
+    moda = mode(t.emprestimo, V, "moda")
     return media.crossJoin(mediana).crossJoin(moda)
