@@ -3,15 +3,16 @@
 The model is an n-gram model with Dirichlet smoothing,
 p(w | u) = (c(uw) + beta p(w | u')) / (c(u) + beta) where u' drops u's first
 token, over a Witten-Bell unigram model c(w) / (N + V) whose share V / (N + V)
-goes to unknown words.  ``score`` takes all unknown words for one word, which
-has that whole share, and so is the probability of the text with its unknown
-words masked.  ``text_score`` is that of the text itself: V + 1 unseen words
-have equal parts of the share, 1 / (V + 1) each.  No arc leads over an unknown
-word, so the two differ by log(V + 1) for each.  As an automaton: every context seen in training is a
-state; every seen n-gram is an arc from its context's state, weighted with its
-log-probability; a state's failure arc leads to the context without its first
-token and is weighted with log(beta / (c(u) + beta)).  A document is scored in
-one traversal from left to right that carries the state and adds up weights.
+goes to unseen words, V + 1 of which have equal parts of it.  ``score`` is the
+log10 probability of the text under it, its unseen words included.  As an
+automaton: every context seen in training is a state; every seen n-gram is an
+arc from its context's state, weighted with its log-probability; a state's
+failure arc leads to the context without its first token and is weighted with
+log(beta / (c(u) + beta)).  A document is read once from left to right; the
+traversal carries the state and adds up weights.  The documents of a block are
+read in lockstep, a step of all of them being one numpy operation; a long one
+is cut into lanes of ``LANE`` tokens, each of which first reads the order - 1
+tokens before it, which fix its state.
 
 The automaton of a whole corpus fits in no memory, so it is dealt out.
 Documents are hashed into blocks of bounded size.  Each block sends its
@@ -22,8 +23,9 @@ own documents can reach.
 
 Defined results: a null or empty text is the end token alone; a null id counts
 as the empty string for the split; with no training text every word is unknown
-and scores come from the unknown share alone; repeated rows are scored each;
-an empty table gives no rows; other columns are ignored.
+and scores come from the unknown share alone; repeated rows are scored each,
+and nothing is ordered, so there are no ties; a very long text makes its block
+as long as itself; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,39 +34,42 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditlens.llm.common import Scratch, fold_words, located, table
-from creditlens.llm.near_dedup import _HASHES, mixed
+from creditlens.llm.near_dedup import mixed
 
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)  # words have no such hashes but by chance 2^-64
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+LANE = 256
 
 
 class Block:
     """The n-grams of a block of texts: token numbers, distinct n-grams by order, and where each occurs."""
 
     def __init__(self, texts: list[bytes | None], order: int):
-        numbers: dict[bytes, int] = {}
-        parts, self.lengths = [], []
-        for text in texts:
-            words = fold_words(text)
-            for w in set(words).difference(numbers):
-                numbers[w] = len(numbers) + 2
-            row = np.empty(len(words) + 2, np.int64)
-            row[0], row[-1] = 0, 1
-            row[1:-1] = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-            parts.append(row)
-            self.lengths.append(len(words) + 1)
+        lists = [fold_words(t) for t in texts]
+        words = [w for x in lists for w in x]
+        numbers = dict.fromkeys(words)
+        for i, w in enumerate(numbers):
+            numbers[w] = i + 2
+        flat = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+        self.lengths = [len(x) + 1 for x in lists]
         sizes = np.array(self.lengths, np.int64) + 1  # with the start mark
-        self.tokens = np.concatenate(parts) if parts else np.empty(0, np.int64)
         self.doc = np.repeat(np.arange(len(texts)), sizes)
         first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.tokens = np.zeros(int(sizes.sum()), np.int64)  # 0 begins a text, 1 ends it
+        ends = np.cumsum(sizes) - 1
+        self.tokens[ends] = 1
+        inner = np.ones(len(self.tokens), bool)
+        inner[ends] = inner[ends - sizes + 1] = False
+        self.tokens[inner] = flat
         depth = np.arange(len(self.tokens)) - first  # tokens before this one, the start mark included
         self.is_token = depth > 0
         hashes = np.concatenate([np.array([START, END], np.uint64),
-                                 np.fromiter(map(_HASHES.__getitem__, numbers), np.uint64, len(numbers))])
+                                 np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))])
         own = hashes[self.tokens]
         self.n_words = len(numbers) + 2
         #: per order: sorted distinct keys, the number of each position's n-gram (-1: none), a position of each n-gram
@@ -162,7 +167,7 @@ class Automaton:
         c = [t.astype(float) for t in totals]
         word = block.tokens[block.where[0]]
         known = c[0] > 0
-        unknown = v / (n + v) if n + v else 1.0
+        unknown = v / (n + v) / (v + 1) if n + v else 1.0  # the share of one unseen word
         p = [np.where(known, c[0] / max(n + v, 1), unknown)]
         for k in range(1, order):
             context, suffix = block.at[k - 1][block.where[k] - 1], block.at[k - 1][block.where[k]]
@@ -181,48 +186,70 @@ class Automaton:
             weight[state[k][seen]] = np.log10(beta / (c[k][seen] + beta))
             if k:
                 fail[state[k][seen]] = state[k - 1][block.at[k - 1][block.where[k][seen]]]
-        self.fail, self.fail_weight = fail.tolist(), weight.tolist()
-        self.width = block.n_words
-        root_weight, root_to = np.zeros(self.width), np.zeros(self.width, np.int64)
-        root_weight[word] = np.log10(np.maximum(p[0], 1e-300))
+        self.fail, self.fail_weight = fail, weight
+        self.width, self.order = block.n_words, order
+        self.root_weight, self.root_to = np.zeros(self.width), np.zeros(self.width, np.int64)
+        self.root_weight[word] = np.log10(np.maximum(p[0], 1e-300))
         if order > 1:
-            root_to[word] = state[0]
-        self.root_weight, self.root_to = root_weight.tolist(), root_to.tolist()
-        self.start = self.root_to[0] if self.width > 0 and order > 1 else 0
-        self.arcs: dict[int, int] = {}
-        arc_weight, arc_to = [], []
+            self.root_to[word] = state[0]
+        self.start = int(self.root_to[0]) if self.width > 0 and order > 1 else 0
+        none = np.empty(0, np.int64)
+        arcs, arc_weight, arc_to = [none], [np.empty(0)], [none]
         for k in range(1, order):
             seen = np.flatnonzero(c[k] > 0)
             where = block.where[k][seen]
             source, token = state[k - 1][block.at[k - 1][where - 1]], block.tokens[where]
-            to = state[k][seen] if k < order - 1 else state[k - 1][block.at[k - 1][where]]
-            self.arcs.update(zip((source * self.width + token).tolist(), range(len(arc_to), len(arc_to) + len(seen))))
-            arc_weight += np.log10(p[k][seen]).tolist()
-            arc_to += to.tolist()
-        self.arc_weight, self.arc_to = arc_weight, arc_to
-
-    def score(self, tokens: list[int]) -> float:
-        """log10 probability of one text, its tokens read once from left to right."""
-        state, total = self.start, 0.0
-        arcs, width, root_weight, root_to = self.arcs, self.width, self.root_weight, self.root_to
-        while_fail, fail_weight, arc_weight, arc_to = self.fail, self.fail_weight, self.arc_weight, self.arc_to
-        for token in tokens:
-            while state:
-                arc = arcs.get(state * width + token)
-                if arc is not None:
-                    total += arc_weight[arc]
-                    state = arc_to[arc]
-                    break
-                total += fail_weight[state]
-                state = while_fail[state]
-            else:
-                total += root_weight[token]
-                state = root_to[token]
-        return total
-
-
-SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
-          "score double, text_score double")
+            arcs.append(source * self.width + token)
+            arc_weight.append(np.log10(p[k][seen]))
+            arc_to.append(state[k][seen] if k < order - 1 else state[k - 1][block.at[k - 1][where]])
+        arcs = np.concatenate(arcs)
+        by = np.argsort(arcs, kind="stable")
+        self.arcs, self.arc_weight, self.arc_to = arcs[by], np.concatenate(arc_weight)[by], np.concatenate(arc_to)[by]
+
+    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every lane reads one token: (new states, weights of the arcs and failure arcs taken)."""
+        weight, to = np.zeros(len(state)), np.zeros(len(state), np.int64)
+        at, lanes = state.copy(), np.flatnonzero(state)
+        while len(lanes):
+            key = at[lanes] * self.width + token[lanes]
+            arc = np.searchsorted(self.arcs, key)
+            found = self.arcs[np.minimum(arc, len(self.arcs) - 1)] == key if len(self.arcs) else np.zeros(len(key), bool)
+            there = lanes[found]
+            weight[there] += self.arc_weight[arc[found]]
+            to[there] = self.arc_to[arc[found]]
+            at[there] = -1
+            lanes = lanes[~found]
+            weight[lanes] += self.fail_weight[at[lanes]]
+            at[lanes] = self.fail[at[lanes]]
+            lanes = lanes[at[lanes] > 0]
+        root = np.flatnonzero(at == 0)
+        weight[root] += self.root_weight[token[root]]
+        to[root] = self.root_to[token[root]]
+        return to, weight
+
+    def scores(self, tokens: np.ndarray, lengths: list[int]) -> np.ndarray:
+        """log10 probability of each text; ``tokens`` has all texts, each behind its start mark."""
+        length = np.array(lengths, np.int64)
+        first = np.cumsum(length + 1) - length  # the token after the start mark
+        n = -(-length // LANE)
+        doc = np.repeat(np.arange(len(length)), n)
+        part = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+        begin, end = first[doc] + part * LANE, np.minimum(first[doc] + (part + 1) * LANE, (first + length)[doc])
+        read = np.maximum(begin - (self.order - 1), first[doc])  # where the lane starts to read
+        steps = end - read
+        by = np.argsort(-steps, kind="stable")
+        doc, begin, read, steps = doc[by], begin[by], read[by], steps[by]
+        state = np.where(read == first[doc], self.start, 0)
+        total = np.zeros(len(doc))
+        for j in range(int(steps[0]) if len(steps) else 0):
+            active = np.searchsorted(-steps, -j, side="left")
+            place = read[:active] + j
+            state[:active], weight = self.step(state[:active], tokens[place])
+            total[:active] += np.where(place >= begin[:active], weight, 0.0)
+        return np.bincount(doc, weights=total, minlength=len(length))
+
+
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def _scorer(order: int, n: int, v: int, beta: float):
@@ -239,16 +266,11 @@ def _scorer(order: int, n: int, v: int, beta: float):
         base = np.where(block.is_token, np.log10((count + 1.0) / (n + v + 1)), 0.0)
         docs = len(block.lengths)
         known = np.bincount(block.doc, weights=(count > 0) & block.is_token, minlength=docs).astype(np.int64)
-        scores, at = [], 0
-        for length in block.lengths:
-            scores.append(machine.score(block.tokens[at + 1:at + 1 + length].tolist()))
-            at += length + 1
-        unknown = np.array(block.lengths, np.int64) - known
         return pa.table({
             "doc_id": t.column("doc_id"), "held_out": t.column("held_out"), "n_tokens": pa.array(block.lengths, pa.int64()),
             "n_known": pa.array(known), "train_tokens": pa.array([n] * docs, pa.int64()),
-            "base_score": pa.array(np.bincount(block.doc, weights=base, minlength=docs)), "score": pa.array(scores, pa.float64()),
-            "text_score": pa.array(np.array(scores, float) - unknown * np.log10(v + 1.0), pa.float64())})
+            "base_score": pa.array(np.bincount(block.doc, weights=base, minlength=docs)),
+            "score": pa.array(machine.scores(block.tokens, block.lengths))})
 
     return score
 
@@ -258,25 +280,28 @@ def lm_score(docs: DataFrame, held_out: Column, order: int = 2, beta: float = 50
     """Score all texts with a model of the rows where ``held_out`` is false.
 
     One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens,
-    base_score (add-one unigram model), score (the automaton's log10 probability, all unknown words being one),
-    text_score (the same of the text itself, each unknown word having a part of
-    the unknown share).
+    base_score (add-one unigram model) and score, the automaton's log10
+    probability of the whole text.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm-scoring")
-    rows = located(docs, scratch, F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"),
-                   F.col("text").cast("string").alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / block_bytes))
-    bits = math.ceil(math.log2(blocks))
-    rows = rows.withColumn("block", F.expr(f"pmod(xxhash64(file, row), {blocks}L)"))
-    asked = rows.groupBy("block").applyInArrow(_requests(order, bits), REQUEST)
-    answers = scratch.write(asked.groupBy("kind", "shard").applyInArrow(_answer, ANSWER), "totals")
-    total = answers.where("block = -1").agg(F.sum("tokens"), F.sum("v")).first()
-    n, v = (int(x or 0) for x in total)
-    out = (rows.groupBy("block").cogroup(answers.where("block >= 0").drop("v", "tokens").groupBy("block"))
-           .applyInArrow(_scorer(order, n, v, beta), SCORES))
-    return scratch.finish(out)
+    try:
+        rows = located(docs, scratch, F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"),
+                       F.col("text").cast("string").alias("text"))
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        blocks = max(1, math.ceil(size / block_bytes))
+        bits = math.ceil(math.log2(blocks))
+        rows = rows.withColumn("block", F.expr(f"pmod(xxhash64(file, row), {blocks}L)"))
+        asked = rows.groupBy("block").applyInArrow(_requests(order, bits), REQUEST)
+        answers = scratch.write(asked.groupBy("kind", "shard").applyInArrow(_answer, ANSWER), "totals")
+        total = answers.where("block = -1").agg(F.sum("tokens"), F.sum("v")).first()
+        n, v = (int(x or 0) for x in total)
+        out = (rows.groupBy("block").cogroup(answers.where("block >= 0").drop("v", "tokens").groupBy("block"))
+               .applyInArrow(_scorer(order, n, v, beta), SCORES))
+        return scratch.finish(out)
+    except BaseException:
+        scratch.remove()
+        raise
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
