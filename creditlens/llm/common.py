@@ -48,6 +48,12 @@ class Scratch:
         df.write.option("compression", compression).parquet(self.dir(name))
         return self.spark.read.schema(df.schema).parquet(self.dir(name))
 
+    def holds(self, name: str) -> bool:
+        """Whether a table of that name was written."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.dir(name))
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+
     def finish(self, df: DataFrame) -> DataFrame:
         out = df.checkpoint(eager=True)
         self.remove()

@@ -16,7 +16,9 @@ only built-in functions run.
 
 Defined results: a null text stays null; texts without entities stay as they
 are; numbers that fail the check digit are no cards; repeated rows are each
-replaced alike; an empty table gives no rows; other columns are ignored.
+replaced alike; of entities that drew the same surrogate the smallest keeps
+it; a very long text is searched and rewritten whole, in its row; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -190,20 +192,27 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     """One row per input row: doc_id, text with surrogates, n_entities."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "pii")
-    rows = located(docs, scratch, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    searched = rows.where(F.col("text").rlike(MAYBE))
-    found = searched.select("file", "row", F.posexplode(F.regexp_extract_all("text", F.lit(ALL), F.lit(0))).alias("pos", "value"))
-    found = scratch.write(entities(found), "found")
-    distinct = scratch.write(found.where("kind IS NOT NULL").select("kind", "norm").distinct(), "distinct")
-    chosen = assign(distinct, key, scratch)
-    new = (found.join(chosen, ["kind", "norm"], "left").withColumn("new", rendered()).groupBy("file", "row")
-           .agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("new"), F.count("kind").alias("n")))
+    try:
+        rows = located(docs, scratch, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        searched = rows.where(F.col("text").rlike(MAYBE))
+        found = searched.select("file", "row", F.posexplode(F.regexp_extract_all("text", F.lit(ALL), F.lit(0))).alias("pos", "value"))
+        found = scratch.write(entities(found), "found")
+        distinct = scratch.write(found.where("kind IS NOT NULL").select("kind", "norm").distinct(), "distinct")
+        chosen = assign(distinct, key, scratch)
+        new = (found.join(chosen, ["kind", "norm"], "left").withColumn("new", rendered()).groupBy("file", "row")
+               .agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("new"), F.count("kind").alias("n")))
+        # only what stands in the texts is kept; the real values go with the scratch folder
+        new = scratch.finish(new.where("n > 0")) if not scratch.holds("copy") else new.where("n > 0")
+    except BaseException:
+        scratch.remove()
+        raise
     pieces = F.split("text", ALL, -1)
     text = F.array_join(F.zip_with(pieces, F.concat(F.col("new.new"), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     changed = searched.join(new, ["file", "row"], "left").select(
         "doc_id", F.when(F.col("n").isNull(), F.col("text")).otherwise(text).alias("text"), F.coalesce("n", F.lit(0)).alias("n_entities"))
     clean = rows.where(~F.coalesce(F.col("text").rlike(MAYBE), F.lit(False)))
-    return changed.unionByName(clean.select("doc_id", "text", F.lit(0).cast("long").alias("n_entities")))
+    out = changed.unionByName(clean.select("doc_id", "text", F.lit(0).cast("long").alias("n_entities")))
+    return scratch.finish(out) if scratch.holds("copy") else out
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
