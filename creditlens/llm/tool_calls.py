@@ -16,7 +16,11 @@ are "repeated"; of several results the first by turn counts and ``n_results``
 tells; a call without a result is "open"; results without a call are listed
 as "orphan" rows without a position; unknown dependencies are ignored; calls
 on a cycle are marked ``cyclic`` and come last at their time; arguments that
-are null count as {}; empty tables give no rows; other columns are ignored.
+are null count as {}; arguments that are no JSON, are nested deeper than the
+parser goes, or hold half a surrogate pair, NaN or an infinity are invalid and
+stand in the record as the string they came as; a schema with an unknown type
+makes its calls invalid; very long arguments and results are read and written
+whole; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +38,35 @@ TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool,
 
 
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def _no_constant(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
+def parsed(arguments: str | None) -> tuple[object, str | None]:
+    """(value, error) of JSON arguments; what cannot be written back as JSON in UTF-8 is an error, never an exception."""
+    if arguments is None:
+        return {}, None
+    try:
+        value = json.loads(arguments, parse_constant=_no_constant)
+        canonical(value).encode()
+        return value, None
+    except RecursionError:
+        return arguments, "$: nested too deeply"
+    except UnicodeEncodeError:
+        return arguments, "$: half a surrogate pair"
+    except ValueError:
+        return arguments, "$: not JSON"
+
+
+def _is(value, kind: str) -> bool:
+    if kind in ("integer", "number") and isinstance(value, bool):
+        return False
+    if kind == "integer" and isinstance(value, float):
+        return value.is_integer()  # 1.0 is an integer of JSON Schema
+    return isinstance(value, TYPES[kind])
 
 
 def problems(value, schema: dict, path: str = "$") -> list[str]:
@@ -42,7 +74,10 @@ def problems(value, schema: dict, path: str = "$") -> list[str]:
     kinds = schema.get("type")
     if kinds is not None:
         kinds = [kinds] if isinstance(kinds, str) else kinds
-        if not any(isinstance(value, TYPES[k]) and not (isinstance(value, bool) and k in ("integer", "number")) for k in kinds):
+        unknown = [k for k in kinds if k not in TYPES]
+        if unknown:
+            return [f"{path}: the schema names no type {' or '.join(map(str, unknown))}"]
+        if not any(_is(value, k) for k in kinds):
             return [f"{path}: not {' or '.join(kinds)}"]
     out = []
     if "enum" in schema and value not in schema["enum"]:
@@ -73,13 +108,16 @@ def problems(value, schema: dict, path: str = "$") -> list[str]:
 
 def record(call_id, name, arguments, result, schemas: dict) -> tuple[str | None, list[str]]:
     """Canonical JSON of one call and the errors of its arguments."""
-    errors = []
-    try:
-        value = json.loads(arguments) if arguments is not None else {}
-    except ValueError:
-        value, errors = arguments, ["$: not JSON"]
-    if not errors:
-        errors = problems(value, schemas[name]) if name in schemas else ["unknown tool"]
+    value, error = parsed(arguments)
+    if error:
+        errors = [error]
+    elif name not in schemas:
+        errors = ["unknown tool"]
+    else:
+        try:
+            errors = problems(value, schemas[name])
+        except RecursionError:  # a schema may ask for more calls a level than the parser
+            value, errors = arguments, ["$: nested too deeply"]
     return canonical({"id": call_id, "name": name, "arguments": value, "result": result}), errors
 
 

@@ -74,3 +74,29 @@ def test_whole_table_against_sql(spark, sf_dir):
     want = con.sql(op.ORACLE)
     rows = op.op7_tool_calls(spark, sf_dir).select(want.columns).collect()
     assert sorted(map(str, map(tuple, rows))) == sorted(map(str, want.fetchall()))
+
+
+HOSTILE = {"deep": ("[" * 100_000, "nested"), "deep object": ('{"a":' * 50_000 + "1" + "}" * 50_000, "nested"),
+           "half": ('{"x":"\\ud800"}', "surrogate"), "nan": ('{"x": NaN}', "not JSON"), "inf": ('{"x": -Infinity}', "not JSON"),
+           "overflow": ('{"x": 1e999}', "not JSON"), "digits": ('{"x": ' + "9" * 6000 + "}", "not JSON"), "torn": ('{"x"', "not JSON"),
+           "empty": ("", "not JSON"), "key": ('{"\\udc00": 1}', "surrogate")}
+
+
+def test_hostile_arguments_are_invalid_and_end_nothing(spark):
+    schemas = {"t": {"type": "object", "properties": {"n": {"type": "integer"}, "s": {"type": "string"}}}, "odd": {"type": "decimal"},
+               "tree": {"type": "array", "items": {"type": "array"}}}
+    rows = [(1, name, i, "t", text, None) for i, (name, (text, _)) in enumerate(HOSTILE.items())]
+    rows += [(1, "one", 90, "t", '{"n": 1.0}', None), (1, "half one", 91, "t", '{"n": 1.5}', None), (1, "true", 92, "t", '{"n": true}', None),
+             (1, "odd", 93, "odd", "{}", None), (1, "long", 94, "t", json.dumps({"s": "é" * 500_000}), None),
+             (1, "pair", 95, "t", '{"s":"\\ud83d\\ude00"}', None)]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, turn long, name string, arguments string, depends_on array<string>")
+    results = spark.createDataFrame([(1, "long", 95, "z" * 500_000)], "conv_id long, call_id string, turn long, content string")
+    got = {r.call_id: r for r in op.link_tool_calls(calls, results, schemas).collect()}
+    assert len(got) == len(rows)
+    for name, (text, error) in HOSTILE.items():
+        assert not got[name].valid and error in got[name].errors[0], name
+        assert json.loads(got[name].record)["arguments"] == text
+    assert {k: got[k].valid for k in ("one", "half one", "true", "odd", "long", "pair")} == {
+        "one": True, "half one": False, "true": False, "odd": False, "long": True, "pair": True}
+    assert "no type decimal" in got["odd"].errors[0] and json.loads(got["pair"].record)["arguments"]["s"] == "😀"
+    assert len(json.loads(got["long"].record)["result"]) == 500_000
