@@ -5,13 +5,15 @@ id, content locator) and run through Structured Streaming.  The stream keeps
 one state row per digest in the RocksDB state store, without a watermark, so
 nothing expires: the smallest document id, the locator of that row and the
 number of rows.  The finished state is read back with Spark's ``statestore``
-source.  Full bytes are then compared: texts are grouped by (digest, whole
-text), collapsed on the map side, and a digest that stands for two different
-texts is regrouped by the texts themselves.
+source.  Full bytes are compared on hits: only rows whose digest the state
+counts twice or more are grouped by (digest, whole text), collapsed on the map
+side; texts that occur once are never shuffled.  A digest that stands for two
+different texts is regrouped by the texts themselves.
 
 Defined results: a null text counts as empty; a null id sorts after every
-other id; of rows that repeat both id and text one stays; an empty table gives
-no rows; other columns of the input are ignored whatever their names.
+other id; of rows that repeat both id and text one stays; a very long text is
+normalised, hashed and, on a hit, compared whole; an empty table gives no
+rows; other columns of the input are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ STORE = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 LAST = 2**63 - 1  # a null id sorts last
+FEW_HITS = 200_000  # digests of 64 characters: broadcast up to here, shuffled beyond
 
 STAGED = "id long, digest string, loc long, file string, row long"
 
@@ -45,22 +48,16 @@ def run_state(spark: SparkSession, staged_dir: str, state_dir: str, files_per_tr
     May be called again after more files were staged: the state in
     ``state_dir`` goes on from where it was, also after a failed run.
     """
-    staged = (spark.readStream.schema(STAGED).option("maxFilesPerTrigger", files_per_trigger).parquet(staged_dir))
+    session = spark.newSession()  # the store's settings are the stream's own
+    for k, v in STORE.items():
+        session.conf.set(k, v)
+    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    staged = session.readStream.schema(STAGED).option("maxFilesPerTrigger", files_per_trigger).parquet(staged_dir)
     order = F.coalesce("id", F.lit(LAST))
     keyed = staged.groupBy("digest").agg(F.min("id").alias("keep_id"), F.min_by("loc", order).alias("keep_loc"),
                                          F.count(F.lit(1)).alias("n"))
-    before = {k: spark.conf.get(k, None) for k in STORE}
-    for k, v in STORE.items():
-        spark.conf.set(k, v)
-    try:
-        (keyed.writeStream.format("noop").outputMode("update").option("checkpointLocation", state_dir)
-         .trigger(availableNow=True).start().awaitTermination())
-    finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
+    (keyed.writeStream.format("noop").outputMode("update").option("checkpointLocation", state_dir)
+     .trigger(availableNow=True).start().awaitTermination())
     return (spark.read.format("statestore").load(state_dir)
             .select(F.col("key.digest").alias("digest"), F.col("value.min").alias("keep_id"),
                     F.col("value.valueWithExtremumOrdering").alias("keep_loc"), F.col("value.count").alias("n")))
@@ -76,31 +73,38 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact-dedup")
-    rows = located(docs, scratch, F.col(id_col).cast("long").alias("id"), normalised(text_col).alias("norm"))
-    rows = rows.withColumn("sha", F.sha2("norm", 256)).withColumn("digest", F.substring("sha", 1, key_hex))
-    staged = scratch.write(rows.select("id", "digest", F.monotonically_increasing_id().alias("loc"), "file", "row",
-                                       *(["sha"] if key_hex < 64 else [])), "staged")
-    state = run_state(spark, scratch.dir("staged"), scratch.dir("state"), files_per_trigger)
-
-    # full bytes: copies collapse before the shuffle, so a hot text crosses it once per task
-    texts = rows.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("n"))
-    mixed = scratch.write(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
-                          .select("digest"), "mixed")
-    sha = F.col("sha" if key_hex < 64 else "digest").alias("text_sha256")
-    out = staged.join(state, "digest").select(
-        F.col("id").alias("doc_id"), "keep_id", F.col("n").alias("group_size"),
-        (F.col("loc") == F.col("keep_loc")).alias("kept"), sha, "file", "row", "digest")
-    if not mixed.isEmpty():
-        odd = rows.join(mixed, "digest", "left_semi")
-        groups = odd.groupBy("digest", "norm").agg(
-            F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"),
-            F.min(F.struct(F.coalesce("id", F.lit(LAST)).alias("id"), "file", "row")).alias("first"))
-        split = odd.join(groups, ["digest", "norm"]).select(
-            F.col("id").alias("doc_id"), "keep_id", "group_size",
-            ((F.col("file") == F.col("first.file")) & (F.col("row") == F.col("first.row"))).alias("kept"),
-            F.col("sha").alias("text_sha256"), "file", "row", "digest")
-        out = out.join(mixed, "digest", "left_anti").unionByName(split)
-    return scratch.finish(out.drop("digest"))
+    try:
+        rows = located(docs, scratch, F.col(id_col).cast("long").alias("id"), normalised(text_col).alias("norm"))
+        rows = rows.withColumn("sha", F.sha2("norm", 256)).withColumn("digest", F.substring("sha", 1, key_hex))
+        staged = scratch.write(rows.select("id", "digest", F.monotonically_increasing_id().alias("loc"), "file", "row",
+                                           *(["sha"] if key_hex < 64 else [])), "staged")
+        state = run_state(spark, scratch.dir("staged"), scratch.dir("state"), files_per_trigger)
+
+        # full bytes on hits: copies collapse before the shuffle, so a hot text crosses it once per task
+        hits = scratch.write(state.where("n > 1").select("digest"), "hits")
+        few = hits.limit(FEW_HITS + 1).count() <= FEW_HITS
+        texts = (rows.join(F.broadcast(hits) if few else hits, "digest", "left_semi")
+                 .groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("n")))
+        mixed = scratch.write(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+                              .select("digest"), "mixed")
+        sha = F.col("sha" if key_hex < 64 else "digest").alias("text_sha256")
+        out = staged.join(state, "digest").select(
+            F.col("id").alias("doc_id"), "keep_id", F.col("n").alias("group_size"),
+            (F.col("loc") == F.col("keep_loc")).alias("kept"), sha, "file", "row", "digest")
+        if not mixed.isEmpty():
+            odd = rows.join(mixed, "digest", "left_semi")
+            groups = odd.groupBy("digest", "norm").agg(
+                F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"),
+                F.min(F.struct(F.coalesce("id", F.lit(LAST)).alias("id"), "file", "row")).alias("first"))
+            split = odd.join(groups, ["digest", "norm"]).select(
+                F.col("id").alias("doc_id"), "keep_id", "group_size",
+                ((F.col("file") == F.col("first.file")) & (F.col("row") == F.col("first.row"))).alias("kept"),
+                F.col("sha").alias("text_sha256"), "file", "row", "digest")
+            out = out.join(mixed, "digest", "left_anti").unionByName(split)
+        return scratch.finish(out.drop("digest"))
+    except BaseException:
+        scratch.remove()
+        raise
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,8 +22,10 @@ ROWS = [(1, "a  b"), (2, "a b"), (3, "a\t\nb"), (4, None), (5, ""), (6, " "), (7
         (2, "a b"), (None, "a b"), (None, "solo"), (10, "x" * 200_000), (11, "x" * 200_000)]
 
 
+@pytest.mark.parametrize("few", [200_000, 0])  # hits broadcast, and shuffled
 @pytest.mark.parametrize("key_hex", [64, 1])
-def test_small_cases_and_collisions(docs_of, key_hex):
+def test_small_cases_and_collisions(docs_of, monkeypatch, key_hex, few):
+    monkeypatch.setattr(op, "FEW_HITS", few)
     got = op.exact_dedup(docs_of(ROWS), key_hex=key_hex)
     rows = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got.collect()), key=str)
     assert rows == brute(ROWS)
@@ -48,6 +50,12 @@ def test_state_goes_on_over_later_files(spark, tmp_path):
     assert got == {"aa": (3, 3, 3), "bb": (6, 2, 1)}
 
 
+def test_the_stream_leaves_the_session_as_it_was(spark, docs_of):
+    before = {k: spark.conf.get(k, None) for k in op.STORE}
+    op.exact_dedup(docs_of([(1, "a")])).collect()
+    assert {k: spark.conf.get(k, None) for k in op.STORE} == before
+
+
 def test_whole_table_against_sql(spark, sf_dir):
     import duckdb
 
