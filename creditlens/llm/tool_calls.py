@@ -3,9 +3,10 @@
 Calls and results are hash-joined by (conversation, call id).  Calls are then
 put in topological order: a call that names others it depends on comes after
 them.  The time of a call is the latest turn among itself and all it depends
-on, so calls that only look back keep their turn; the rare calls that look
-forward are moved behind what they wait for, and a peeling of equal times
-orders them among themselves.  Positions come from one range sort of all
+on, so calls that only look back keep their turn; calls that look forward are moved
+behind what they wait for, and a peeling of equal times orders them among
+themselves.  A time names the call it comes from, so a round also takes over
+the time of that call: chains of n forward looks take about log n rounds.  Positions come from one range sort of all
 calls, so a conversation with a large share of the rows is never one task's
 group.  Arguments are checked against the tools' schemas, and every call is
 written as canonical JSON (sorted keys, no white space, plain Unicode).
@@ -121,26 +122,33 @@ def record(call_id, name, arguments, result, schemas: dict) -> tuple[str | None,
     return canonical({"id": call_id, "name": name, "arguments": value, "result": result}), errors
 
 
-def times(calls: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(conv_id, call_id, at, hop, cyclic): a topological order of the calls by (at, hop, turn, call_id).
-
-    ``edges`` (conv_id, call_id, dep): dep comes first.  Work beyond one pass
-    is done only for calls that look forward.
-    """
+def latest(calls: DataFrame, edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """(conv_id, call_id, pos, at): the latest (turn, call_id) among a call and all it depends on; and whether any moved."""
     pos = calls.select("conv_id", "call_id", F.struct("turn", "call_id").alias("pos"))
     now = scratch.write(pos.withColumn("at", F.col("pos")), "times-0")
     k = 0
     while True:
-        wait = (edges.join(now.select("conv_id", F.col("call_id").alias("dep"), F.col("at").alias("dep_at")), ["conv_id", "dep"])
+        known = now.select("conv_id", F.col("call_id").alias("dep"), F.col("at").alias("dep_at"))
+        moved = now.where("at.call_id <> call_id").select("conv_id", "call_id", F.col("at.call_id").alias("dep"))
+        wait = (edges.select("conv_id", "call_id", "dep").unionByName(moved).join(known, ["conv_id", "dep"])
                 .join(now.select("conv_id", "call_id", "at"), ["conv_id", "call_id"]).where("dep_at > at")
                 .groupBy("conv_id", "call_id").agg(F.max("dep_at").alias("later")))
         k += 1
         wait = scratch.write(wait, f"wait-{k}")
         if wait.isEmpty():
-            break
+            return now, k > 1
         now = scratch.write(now.join(wait, ["conv_id", "call_id"], "left").select(
             "conv_id", "call_id", "pos", F.coalesce("later", "at").alias("at")), f"times-{k}")
-    if k == 1:
+
+
+def times(calls: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(conv_id, call_id, at, hop, cyclic): a topological order of the calls by (at, hop, turn, call_id).
+
+    ``edges`` (conv_id, call_id, dep): dep comes first.  Work beyond one pass
+    is done only for calls that look forward.
+    """
+    now, moved = latest(calls, edges, scratch)
+    if not moved:
         return now.select("conv_id", "call_id", "at", F.lit(0).alias("hop"), F.lit(False).alias("cyclic"))
     # calls with equal times: peel those whose tight dependencies are all placed
     tight = scratch.write(
@@ -236,8 +244,9 @@ SCHEMAS = {
 
 
 def traffic(talk: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results of ``conversations``: each user turn calls a tool, the next turn, if the assistant's, is its
-    result, and a call depends on the result two turns before."""
+    """Calls and results of ``conversations``: each user turn calls a tool, and the next turn, if the assistant's, is its
+    result.  By the length of its text a call needs the call two turns before, the one two turns later, or none; so there
+    are looks back, chains of forward looks, and cycles where a forward look meets a look back."""
     def call(turn):
         return F.concat(F.lit("call_"), F.col("conv_id"), F.lit("_"), turn)
 
@@ -245,7 +254,8 @@ def traffic(talk: DataFrame) -> tuple[DataFrame, DataFrame]:
     calls = talk.where("role = 'user'").select(
         "conv_id", call(F.col("turn")).alias("call_id"), "turn",
         F.when(F.length("text") < 300, "search").otherwise("analyse").alias("name"), arguments.alias("arguments"),
-        F.array(call(F.col("turn") - 2)).alias("depends_on"))
+        F.when(F.length("text") % 3 == 0, F.array(call(F.col("turn") - 2)))
+         .when(F.length("text") % 3 == 1, F.array(call(F.col("turn") + 2))).alias("depends_on"))
     results = talk.where("role = 'assistant'").select("conv_id", call(F.col("turn") - 1).alias("call_id"), "turn",
                                                       F.col("text").alias("content"))
     return calls, results
@@ -253,15 +263,29 @@ def traffic(talk: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = link_tool_calls(*traffic(table(spark, sf_dir, "conversations")), SCHEMAS)
-    return out.select("conv_id", "call_id", "turn", "name", "status", "position", "n_results", "valid",
+    return out.select("conv_id", "call_id", "turn", "name", "status", "position", "cyclic", "n_results", "valid",
                       F.sha2("record", 256).alias("record_sha256"))
 
 
+#: A chain of forward looks ends at ``last``; all of it waits for that call.  It runs backwards from there, unless the
+#: last call looks back into the chain: then all of it is cyclic and keeps the order of turns.
 ORACLE = """
 WITH c AS (
   SELECT conv_id, turn, text, 'call_' || conv_id || '_' || turn AS call_id,
-         CASE WHEN length(text) < 300 THEN 'search' ELSE 'analyse' END AS name
+         CASE WHEN length(text) < 300 THEN 'search' ELSE 'analyse' END AS name, coalesce(length(text) % 3, 2) AS looks
   FROM conversations WHERE role = 'user'
+), near AS (
+  SELECT c.*, c.looks <> 1 OR after.turn IS NULL AS ends, c.looks = 0 AND coalesce(before.looks = 1, false) AS bites
+  FROM c LEFT JOIN c after ON after.conv_id = c.conv_id AND after.turn = c.turn + 2
+         LEFT JOIN c before ON before.conv_id = c.conv_id AND before.turn = c.turn - 2
+), chained AS (
+  SELECT *, min(CASE WHEN ends THEN turn END) OVER (
+    PARTITION BY conv_id, turn % 2 ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS last
+  FROM near
+), timed AS (
+  SELECT a.*, z.bites AS cyclic, row_number() OVER (
+    PARTITION BY a.conv_id ORDER BY a.last, CASE WHEN NOT z.bites THEN a.last - a.turn END NULLS LAST, a.turn) AS position
+  FROM chained a JOIN chained z ON z.conv_id = a.conv_id AND z.turn = a.last
 ), r AS (
   SELECT conv_id, 'call_' || conv_id || '_' || (turn - 1) AS call_id, min_by(text, turn) AS content, min(turn) AS turn,
          count(*) AS n_results
@@ -269,14 +293,12 @@ WITH c AS (
 )
 SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, coalesce(c.turn, r.turn) AS turn, c.name,
        CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'open' ELSE 'linked' END AS status,
-       CASE WHEN c.call_id IS NOT NULL THEN
-         row_number() OVER (PARTITION BY c.conv_id, c.call_id IS NULL ORDER BY c.turn) END AS position,
-       coalesce(n_results, 0) AS n_results,
+       position, coalesce(cyclic, false) AS cyclic, coalesce(n_results, 0) AS n_results,
        CASE c.name WHEN 'search' THEN c.turn + 1 <= 6 AND length(c.text) >= 20
                    WHEN 'analyse' THEN c.turn + 1 <= 5 AND length(c.text) <= 1000 END AS valid,
        CASE WHEN c.call_id IS NOT NULL THEN sha256(
          '{"arguments":{"limit":' || (c.turn + 1) || ',"query":' || CAST(to_json(c.text) AS VARCHAR) || '},"id":"' ||
          c.call_id || '","name":"' || c.name || '","result":' ||
          coalesce(CAST(to_json(r.content) AS VARCHAR), 'null') || '}') END AS record_sha256
-FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+FROM timed c FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
 """

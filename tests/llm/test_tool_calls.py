@@ -56,6 +56,21 @@ def test_order_is_topological(spark, seed):
     assert sorted(at[99, x] for x in "pqrs") == [1, 2, 3, 4]
 
 
+def test_a_long_chain_of_forward_looks_takes_few_rounds(spark, monkeypatch):
+    n, rounds = 60, []
+    write = op.Scratch.write
+    monkeypatch.setattr(op.Scratch, "write", lambda self, df, name, *a, **k: (rounds.append(name), write(self, df, name, *a, **k))[1])
+    calls = spark.createDataFrame([(1, f"c{i}", i) for i in range(n)], "conv_id long, call_id string, turn long")
+    edges = spark.createDataFrame([(1, f"c{i}", f"c{i + 1}") for i in range(n - 1)], "conv_id long, call_id string, dep string")
+    scratch = op.Scratch(spark, "test")
+    try:
+        now, _ = op.latest(calls, edges, scratch)
+        assert {r["at"].call_id for r in now.collect()} == {f"c{n - 1}"}
+    finally:
+        scratch.remove()
+    assert len([x for x in rounds if x.startswith("times")]) <= 9
+
+
 def test_problems():
     s = SCHEMAS["g"]
     assert op.problems({"s": "abc", "l": [1, 2.5, None], "e": 1}, s) == []
@@ -74,6 +89,9 @@ def test_whole_table_against_sql(spark, sf_dir):
     want = con.sql(op.ORACLE)
     rows = op.op7_tool_calls(spark, sf_dir).select(want.columns).collect()
     assert sorted(map(str, map(tuple, rows))) == sorted(map(str, want.fetchall()))
+    # the traffic holds calls that go behind later ones, and cycles
+    moved = [r for r in rows if r.position and not r.cyclic and r.turn // 2 + 1 < r.position]
+    assert moved and any(r.cyclic for r in rows) and not all(r.cyclic for r in rows if r.position)
 
 
 HOSTILE = {"deep": ("[" * 100_000, "nested"), "deep object": ('{"a":' * 50_000 + "1" + "}" * 50_000, "nested"),
