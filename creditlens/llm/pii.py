@@ -8,7 +8,15 @@ format, valid check digit, a name of the same gender and script; a secret
 whose format has no or too few others is drawn in letters of its script, of
 the same length and then longer.  Entities
 written differently but equal once normalised (a phone with or without
-separators) share their surrogate, everywhere in the corpus.  Surrogates are
+separators) share their surrogate, everywhere in the corpus.
+
+Names are kept part by part: the last word behind a title is a family name,
+the one before it a given name of the title's gender, and each part has one
+surrogate in the whole corpus.  Within a document the parts found behind
+titles are replaced wherever they stand as words, so 'Mr John Smith', 'Mr
+Smith', 'John Smith' and 'Smith' stay one person; a single word behind a title
+that is a given name elsewhere in the document is taken for it.  A part that
+no title introduces in its document is not found.  Surrogates are
 checked against each other and against the real entities: of entities that
 drew the same one a single entity keeps it, the others draw anew, until all
 are distinct.  The table of distinct entities is distributed throughout, and
@@ -55,6 +63,7 @@ SYLLABLES = {
     "cyrillic": (["ба", "де", "фи", "га", "хо", "жу", "ка", "ле", "ми", "но", "пе", "ра", "са", "ти", "во", "за"], {"m": "н", "f": "а"}),
     "greek": (["βα", "δε", "φι", "γα", "χο", "ζυ", "κα", "λε", "μι", "νο", "πε", "ρα", "σα", "τι", "βο", "ζα"], {"m": "ς", "f": "α"}),
 }
+NAME_PARTS = ("family", "given_m", "given_f")
 #: What secrets are drawn from.
 CYRILLIC, GREEK = "абвгдежзийклмнопрстуфхцчшщыэюя", "αβγδεζηθικλμνξοπρστυφχψω"
 ALNUM = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
@@ -79,19 +88,29 @@ def entities(found: DataFrame) -> DataFrame:
     v = F.col("value")
     kind = reduce(lambda rest, k: F.when(v.rlike(f"^(?:{PATTERNS[k]})$"), k).otherwise(rest), reversed(PATTERNS), F.lit(None))
     d = _digits(v)
-    title = F.regexp_extract(v, f"^(?:{_TITLE})", 0)
-    bare = F.regexp_replace(v, rf"^(?:{_TITLE})\.? ", "")
-    script = F.when(bare.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(bare.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
-    gender = F.when(title.isin(_TITLES["f"]), "f").otherwise("m")
     norm = (F.when(F.col("kind") == "assigned", F.regexp_replace(v, "^" + _SECRET, ""))
             .when(F.col("kind") == "email", F.lower(v)).when(F.col("kind").isin("ssn", "card"), d)
             .when(F.col("kind") == "phone", F.substring(d, F.greatest(F.lit(1), F.length(d) - 9), F.lit(10)))
-            .when(F.col("kind") == "name", F.concat_ws(":", gender, script, F.lower(bare))).otherwise(v))
+            .otherwise(v))
     out = found.withColumn("kind", kind)
     out = out.withColumn("kind", F.when((F.col("kind") == "card") & (_ends_at(d) % 10 != 0), None).otherwise(F.col("kind")))
     return out.withColumn("norm", F.when(F.col("kind").isNotNull(), norm))
 
 
+def name_parts(found: DataFrame) -> DataFrame:
+    """(file, row, word, kind, norm): the name parts of each document; kind is family, given_m or given_f."""
+    v = F.col("value")
+    words = F.split(F.regexp_replace(v, rf"^(?:{_TITLE})\.? ", ""), " ")
+    gender = F.when(F.regexp_extract(v, f"^(?:{_TITLE})", 0).isin(_TITLES["f"]), "given_f").otherwise("given_m")
+    named = found.where("kind = 'name'").select("file", "row", F.array(
+        F.struct(F.element_at(words, -1).alias("word"), F.lit("family").alias("kind")),
+        F.when(F.size(words) > 1, F.struct(words[0].alias("word"), gender.alias("kind")))).alias("parts"))
+    parts = named.select("file", "row", F.explode(F.filter("parts", lambda p: p.isNotNull())).alias("p"))
+    # a word is one part of its document: a given name if it ever is one
+    return (parts.groupBy("file", "row", F.col("p.word").alias("word")).agg(F.max("p.kind").alias("kind"))
+            .withColumn("norm", F.lower("word")))
+
+
 def surrogate(key: str, attempt: int) -> Column:
     """The surrogate of (kind, norm) at the given attempt."""
     norm, kind = F.col("norm"), F.col("kind")
@@ -138,38 +157,41 @@ def surrogate(key: str, attempt: int) -> Column:
     secret = anew
     if attempt < 4:  # a secret of marks alone has no other of its shape, and a shape may have few
         secret = (F.when(norm.rlike("^[0-9a-f]+$"), shaped(norm, True)).when(norm.rlike(r"[\p{L}\p{N}]"), shaped(norm)).otherwise(anew))
-    gender, script = F.element_at(F.split(norm, ":"), 1), F.element_at(F.split(norm, ":"), 2)
+    script = F.when(norm.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(norm.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
 
     def name_in(syllables: list[str], ends: dict[str, str]) -> Column:
-        def syllable(i: int) -> Column:
-            return F.element_at(F.array(*map(F.lit, syllables)), byte(F.lit(i)) % len(syllables) + 1)
+        def some(n: int) -> Column:
+            return F.concat(*(F.element_at(F.array(*map(F.lit, syllables)), byte(F.lit(i)) % len(syllables) + 1) for i in range(n)))
 
-        given = F.concat(syllable(0), syllable(1), F.when(gender == "f", ends["f"]).otherwise(ends["m"]))
-        family = F.concat(*(syllable(i) for i in range(2, 6 + attempt // 3)))
-        return F.when(norm.contains(" "), F.concat_ws(" ", given, family)).otherwise(family)
+        longer = attempt // 3
+        return F.when(kind == "family", some(4 + longer)).otherwise(
+            F.concat(some(2 + longer), F.when(kind == "given_f", ends["f"]).otherwise(ends["m"])))
 
-    name = F.concat_ws(":", gender, script, reduce(lambda rest, s: F.when(script == s, name_in(*SYLLABLES[s])).otherwise(rest),
-                                                    SYLLABLES, F.lit(None)))
+    name = reduce(lambda rest, s: F.when(script == s, name_in(*SYLLABLES[s])).otherwise(rest), SYLLABLES, F.lit(None))
     made = (F.when(kind == "phone", phone).when(kind == "card", card).when(kind == "ssn", drawn(F.lit(9))).when(kind == "ip", ip)
             .when(kind == "email", email).when(kind == "key", F.concat(F.lit("AKIA"), shaped(F.substring(norm, 5, 16))))
-            .when(kind == "name", name).otherwise(secret))
+            .when(kind.isin(*NAME_PARTS), name).otherwise(secret))
     return F.transform(F.array(stream), lambda s: s)[0], made
 
 
 def assign(distinct: DataFrame, key: str, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """(kind, norm, surrogate) for the distinct (kind, norm): no two alike, none a real entity."""
+    # all name parts share one space: a surrogate given name is no real family name either
+    space = F.when(F.col("kind").isin(*NAME_PARTS), "name").otherwise(F.col("kind"))
+    real = distinct.select(space.alias("space"), F.col("norm").alias("surrogate")).distinct()
     pending, taken = distinct, None
     for attempt in range(rounds):
         stream, made = surrogate(key, attempt)
-        drawn = pending.withColumn("stream", stream).withColumn("surrogate", made).drop("stream")
-        drawn = drawn.join(distinct.select("kind", F.col("norm").alias("surrogate")), ["kind", "surrogate"], "left_anti")
+        drawn = pending.withColumn("stream", stream).withColumn("surrogate", made).drop("stream").withColumn("space", space)
+        drawn = drawn.join(real, ["space", "surrogate"], "left_anti")
         if taken is not None:
-            drawn = drawn.join(taken.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
-        won = scratch.write(drawn.groupBy("kind", "surrogate").agg(F.min("norm").alias("norm")), f"won-{attempt}")
+            drawn = drawn.join(taken.select("space", "surrogate"), ["space", "surrogate"], "left_anti")
+        first = drawn.groupBy("space", "surrogate").agg(F.min(F.struct("kind", "norm")).alias("who"))
+        won = scratch.write(first.select("space", "surrogate", "who.kind", "who.norm"), f"won-{attempt}")
         taken = won if taken is None else taken.unionByName(won)
         pending = scratch.write(pending.join(won, ["kind", "norm"], "left_anti"), f"pending-{attempt}")
         if pending.isEmpty():
-            return taken
+            return taken.drop("space")
     raise ValueError("a format has too few surrogates for the entities written in it")
 
 
@@ -183,9 +205,18 @@ def rendered() -> Column:
 
     digits = F.array_join(F.transform(F.split(v, ""), digit), "")
     assigned = F.concat(F.substring(v, F.lit(1), F.length(v) - F.length("norm")), s)
-    name = F.concat(F.regexp_extract(v, rf"^(?:{_TITLE})\.? ", 0), F.initcap(F.element_at(F.split(s, ":"), 3)))
-    return (F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "assigned", assigned).when(kind == "name", name)
-            .otherwise(F.coalesce(s, v)))
+    return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "assigned", assigned).otherwise(F.coalesce(s, v))
+
+
+def renamed(text: Column, parts: Column) -> Column:
+    """``text`` with each of the document's name parts (word, new) replaced where it stands as a word.
+
+    No surrogate is a real part, so what one replacement puts in no other one finds."""
+    return F.aggregate(F.coalesce(parts, F.array().cast(PARTS)), text, lambda t, p: F.regexp_replace(
+        t, F.concat(F.lit(r"(?<![\p{L}\p{N}])"), p["word"], F.lit(r"(?![\p{L}\p{N}])")), p["new"]))
+
+
+PARTS = "array<struct<word:string,new:string>>"
 
 
 def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,17 +228,26 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
         searched = rows.where(F.col("text").rlike(MAYBE))
         found = searched.select("file", "row", F.posexplode(F.regexp_extract_all("text", F.lit(ALL), F.lit(0))).alias("pos", "value"))
         found = scratch.write(entities(found), "found")
-        distinct = scratch.write(found.where("kind IS NOT NULL").select("kind", "norm").distinct(), "distinct")
+        parts = scratch.write(name_parts(found), "parts")
+        distinct = scratch.write(found.where("kind IS NOT NULL AND kind <> 'name'").select("kind", "norm")
+                                 .unionByName(parts.select("kind", "norm")).distinct(), "distinct")
         chosen = assign(distinct, key, scratch)
+        # a document has few names; each comes once
+        people = (parts.join(chosen, ["kind", "norm"]).groupBy("file", "row").agg(F.array_sort(F.collect_list(F.struct(
+            F.col("word"), F.initcap("surrogate").alias("new")))).alias("parts")))
         new = (found.join(chosen, ["kind", "norm"], "left").withColumn("new", rendered()).groupBy("file", "row")
-               .agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("new"), F.count("kind").alias("n")))
+               .agg(F.array_sort(F.collect_list(F.struct("pos", (F.col("kind") == "name").alias("name"), "new"))).alias("new"),
+                    F.count("kind").alias("n")).join(people, ["file", "row"], "left"))
+        # a name is rewritten by its parts, as the text between the entities is
+        new = new.withColumn("new", F.transform("new", lambda x: F.when(x["name"], renamed(x["new"], F.col("parts"))).otherwise(x["new"])))
         # only what stands in the texts is kept; the real values go with the scratch folder
         new = scratch.finish(new.where("n > 0")) if not scratch.holds("copy") else new.where("n > 0")
     except BaseException:
         scratch.remove()
         raise
-    pieces = F.split("text", ALL, -1)
-    text = F.array_join(F.zip_with(pieces, F.concat(F.col("new.new"), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    pieces = F.when(F.col("parts").isNull(), F.split("text", ALL, -1)).otherwise(
+        F.transform(F.split("text", ALL, -1), lambda x: renamed(x, F.col("parts"))))
+    text = F.array_join(F.zip_with(pieces, F.concat(F.col("new"), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     changed = searched.join(new, ["file", "row"], "left").select(
         "doc_id", F.when(F.col("n").isNull(), F.col("text")).otherwise(text).alias("text"), F.coalesce("n", F.lit(0)).alias("n_entities"))
     clean = rows.where(~F.coalesce(F.col("text").rlike(MAYBE), F.lit(False)))
