@@ -10,8 +10,12 @@ takes every block q // m times and a seeded, evenly spaced choice of q % m
 blocks once more.  How many words of a document were taken follows from its
 place in the stream alone, so no block is ever listed.
 
+Rows are drawn by their id and text, so rows without an id, or of one id,
+spread over the shards like any others.
+
 Defined results: a null text has no words; a null source is a source of its
-own, ordered last; repeated rows are separate documents; ties follow
+own, ordered last; repeated rows are separate documents; a very long text may
+fill many blocks and is taken in part or whole like any run of words; ties follow
 code-point and shard order; an empty table, or one without words, takes
 nothing; other columns are ignored.
 """
@@ -88,8 +92,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     scratch = Scratch(spark, "mixing")
     sizes = scratch.write(located(
         docs, scratch, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"))
-        .withColumn("draw", F.xxhash64("doc_id", F.lit(seed))), "sizes")
+        F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"),
+        F.xxhash64(F.col("doc_id").cast("long"), text_or_empty(), F.lit(seed)).alias("draw")), "sizes")
     sources = scratch.write(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
     n_shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long")
     sources = sources.withColumn("shards", n_shards).withColumnRenamed("source", "of")

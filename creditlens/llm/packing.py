@@ -136,23 +136,6 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     return docs.mapInArrow(encode, schema)
 
 
-def served_order(queue: np.ndarray, lengths: np.ndarray, credit: np.ndarray, quantum: np.ndarray) -> np.ndarray:
-    """Deficit round-robin order of whole documents given queue by queue; pack() serves tokens instead.
-
-    queue: the queue of each document; credit and quantum by queue.  A
-    document goes in the first round in which credit + rounds * quantum covers
-    its queue up to its own end; within a round queues take turns.
-    """
-    total = np.cumsum(lengths)
-    starts = np.flatnonzero(np.concatenate([[True], queue[1:] != queue[:-1]])) if len(queue) else np.array([], int)
-    base = np.zeros(len(queue), np.int64)
-    for s, e in zip(starts, [*starts[1:], len(queue)]):
-        base[s:e] = total[s] - lengths[s]
-    need = total - base - credit[queue]
-    rounds = np.maximum(1, np.ceil(need / quantum[queue]))
-    return np.lexsort((np.arange(len(queue)), queue, rounds))
-
-
 def filled(totals: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(due, places): the times at which queues run out, and how long the stream is by then."""
     ends = totals / targets
@@ -220,7 +203,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 1,
     scratch = Scratch(spark, "packing")
     rows = located(docs, scratch, F.col("doc_id").cast("long").alias("doc_id"),
                    F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("draw", F.xxhash64("doc_id", "row")).drop("file")
+    rows = rows.withColumns({"draw": F.xxhash64("doc_id", "row"), "place": F.xxhash64("file")}).drop("file")
     tokens = scratch.write(tokenized(rows, tokenizer, end_id), "tokens")
     total = tokens.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-total // partition_tokens))
@@ -244,7 +227,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 1,
     def fill(d: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         had = np.zeros(len(totals), np.int64)
         had[c["queue"].map(number).to_numpy()] = c["had"].to_numpy()
-        d = d.assign(q=d["queue"].map(number)).sort_values(["q", "draw", "row", "doc_id"], ignore_index=True)
+        d = d.assign(q=d["queue"].map(number)).sort_values(["q", "draw", "row", "doc_id", "place"], ignore_index=True)
         n, out = d["n"].to_numpy(), []
         doc_ids, sources, ids = (d[x].tolist() for x in ("doc_id", "source", "ids"))
         for pieces in cuts(d["q"].to_numpy(), n, had, totals, weights, window):

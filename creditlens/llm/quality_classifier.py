@@ -9,15 +9,19 @@ its whole text, and goes through a two-layer network in numpy.  A temperature
 fitted on rows set aside makes the scores calibrated probabilities.
 
 Only the fit is bounded: at most ``fit_rows`` labelled documents of each label
-(the smallest hashes of their ids), and ``vocabulary`` words.  The model's size
+(the smallest hashes of their ids) and ``fit_bytes`` of their texts, and
+``vocabulary`` words.  The model's size
 depends on these two alone, so it travels with the tasks.  All documents are
 scored.
 
 Defined results: a null or empty text is scored too (its vector is zero);
 without any labelled row, or with one label only, every score is the share of
 label 1 (0.5 without rows); null or unknown labels are ignored and a document
-labelled twice counts with its smallest label; repeated rows are scored each;
-an empty table gives no rows; other columns are ignored.
+labelled twice counts with its smallest label; repeated rows are scored each,
+and of the texts of a repeated id the first in code-point order is learnt from;
+a very long text is scored whole, and learnt from only if it fits
+``fit_bytes``; equal hashes go by id; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditlens.llm.common import Scratch, located, table
+from creditlens.llm.common import Scratch, table
 
 DIMENSIONS, NONZERO, WINDOW, LAGS = 64, 8, 2, 3
 HIDDEN = 32
@@ -61,6 +65,9 @@ def parts(word: bytes) -> tuple[str, ...]:
     return tuple(out)
 
 
+FIT_BYTES = 64_000_000
+
+
 def index_vector(feature: str) -> np.ndarray:
     """The feature's fixed sparse vector of +1 and -1."""
     draw = np.random.default_rng(zlib.crc32(feature.encode()))
@@ -208,8 +215,9 @@ class Classifier:
         return self.network.probability(np.stack([self.vectors.document(t) for t in texts]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int, vocabulary: int) -> Classifier:
-    """Fit on at most ``fit_rows`` documents of each label (0 and 1), by the smallest hashes of their ids."""
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int, vocabulary: int, fit_bytes: int = FIT_BYTES) -> Classifier:
+    """Fit on at most ``fit_rows`` documents of each label (0 and 1), by the smallest hashes of their ids, and at most
+    ``fit_bytes`` of text, which is what the driver collects."""
     marked = (labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
               .agg(F.min("quality").alias("quality")))
     counts = {r.quality: r.n for r in marked.where("quality IN (0, 1)").groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -219,15 +227,27 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int, vocabulary: int) -> C
     for q in (0, 1):
         part = marked.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect())  # fit_rows bounds both
-    rows = sorted(rows, key=lambda r: r.doc_id)
-    return Classifier([(r.text or "").encode() for r in rows], [r.quality for r in rows], share, vocabulary)
-
-
-def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = 1500, vocabulary: int = 20_000) -> DataFrame:
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = texts.join(F.broadcast(chosen), "doc_id")  # fit_rows bounds the broadcast
+    scratch = Scratch(docs.sparkSession, "quality-sample")
+    try:  # of rows that repeat an id the first text in code-point order stands for it
+        sample = scratch.write(texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text")), "sample")
+        room, taken = fit_bytes, []
+        for r in sorted(sample.select("doc_id", F.octet_length("text").alias("n")).collect(),
+                        key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id)):
+            if r.n <= room:  # whole texts only; one that does not fit is left out
+                room -= r.n
+                taken.append(r.doc_id)
+        rows = sorted(sample.where(F.col("doc_id").isin(taken)).collect(), key=lambda r: r.doc_id)
+    finally:
+        scratch.remove()
+    return Classifier([r.text.encode() for r in rows], [r.quality for r in rows], share, vocabulary)
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = 1500, vocabulary: int = 20_000,
+                  fit_bytes: int = FIT_BYTES) -> DataFrame:
     """One row per input row: doc_id, score (probability of label 1).  Only ``labels`` are learnt from."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, fit_rows, vocabulary))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, fit_rows, vocabulary, fit_bytes))
 
     def score(batches):
         classifier = model.value

@@ -38,27 +38,6 @@ def test_special_strings_and_cache_bound(whole, monkeypatch):
         whole.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 3), st.integers(1, 50)), min_size=1, max_size=40),
-       st.lists(st.integers(-40, 40), min_size=4, max_size=4), st.lists(st.integers(1, 30), min_size=4, max_size=4))
-def test_order_is_deficit_round_robin(docs, credit, quantum):
-    docs = sorted(docs, key=lambda d: d[0])
-    queues = defaultdict(list)
-    for i, (q, n) in enumerate(docs):
-        queues[q].append((i, n))
-    deficit, want = dict(enumerate(credit)), []
-    while any(queues.values()):
-        for q in range(4):
-            deficit[q] += quantum[q]
-            while queues[q] and queues[q][0][1] <= deficit[q]:
-                i, n = queues[q].pop(0)
-                deficit[q] -= n
-                want.append(i)
-    got = op.served_order(np.array([d[0] for d in docs]), np.array([d[1] for d in docs]), np.array(credit, float),
-                          np.array(quantum, float))
-    assert got.tolist() == want
-
-
 def check(rows, docs, whole, window):
     ids = {d.doc_id: whole.encode(d.text or "", add_special_tokens=False).ids + [1] for d in docs}
     by_doc, by_seq = defaultdict(list), defaultdict(list)

@@ -51,6 +51,19 @@ def test_one_label_no_labels_and_odd_rows(spark, docs_of):
     assert op.score_quality(docs.where("doc_id < 0"), both).count() == 0
 
 
+def test_repeated_ids_and_long_texts_bound_what_is_learnt(spark, docs_of):
+    plain = [(i, "good words here " * (1 + i % 5) if i % 2 else "$$ ## %%" * (1 + i % 4)) for i in range(60)]
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(100, 1)], "doc_id long, quality int")
+    scores = []
+    for rows in (plain + [(7, "zzz"), (100, "$ " * 200_000)], [(100, "$ " * 200_000), (7, "zzz")] + plain[::-1]):
+        docs = docs_of(rows)
+        model = op.fit(docs, marks, 1500, 1000, fit_bytes=50_000)  # the long text does not fit
+        scores.append(model.scores([b"good words here", b"$$ ##"]).tolist())
+    assert scores[0] == scores[1] and scores[0][0] > 0.5 > scores[0][1]
+    nothing = op.fit(docs, marks, 1500, 1000, fit_bytes=0)
+    assert set(nothing.scores([b"good", b"$$"])) == {31 / 61}
+
+
 def test_temperature_calibrates():
     draw = np.random.default_rng(5)
     x = draw.normal(size=(4000, 6))
