@@ -203,7 +203,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 1,
     scratch = Scratch(spark, "packing")
     rows = located(docs, scratch, F.col("doc_id").cast("long").alias("doc_id"),
                    F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumns({"draw": F.xxhash64("doc_id", "row"), "place": F.xxhash64("file")}).drop("file")
+    rows = rows.withColumn("draw", F.xxhash64("doc_id", "row", "file")).drop("file")
     tokens = scratch.write(tokenized(rows, tokenizer, end_id), "tokens")
     total = tokens.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-total // partition_tokens))
@@ -227,7 +227,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 1,
     def fill(d: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         had = np.zeros(len(totals), np.int64)
         had[c["queue"].map(number).to_numpy()] = c["had"].to_numpy()
-        d = d.assign(q=d["queue"].map(number)).sort_values(["q", "draw", "row", "doc_id", "place"], ignore_index=True)
+        d = d.assign(q=d["queue"].map(number)).sort_values(["q", "draw", "row", "doc_id"], ignore_index=True)
         n, out = d["n"].to_numpy(), []
         doc_ids, sources, ids = (d[x].tolist() for x in ("doc_id", "source", "ids"))
         for pieces in cuts(d["q"].to_numpy(), n, had, totals, weights, window):
