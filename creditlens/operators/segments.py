@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from creditlens.session import materialize
 
 SAMPLE = 20  # sampled rows per slice
+SMALL = 200_000  # rows of a report that fit one task
 
 _BOUNDS, _SLICE, _FIRST, _N, _V, _TOT, _TSUM = (f"_sg_{x}" for x in ("bounds", "slice", "first", "n", "v", "tot", "tsum"))
 
@@ -39,17 +40,17 @@ def _sort(along: list[tuple[str, bool]]) -> list[Column]:
     return [F.asc_nulls_first(c) if up else F.desc_nulls_last(c) for c, up in along]
 
 
-def slice_bounds(rows: DataFrame, along: list[tuple[str, bool]], slices: int, seed: int = 7) -> DataFrame:
-    """One row: the sorted lower bounds of all slices but the first, as an array of structs."""
-    names = [c for c, _ in along]
-    n = rows.count()
-    keyed = rows.select(*names)
+def slice_bounds(rows: DataFrame, along: list[tuple[str, bool]], slices: int, n: int | None = None,
+                 seed: int = 7) -> tuple[DataFrame, int]:
+    """One row, the sorted lower bounds of all slices but the first as an array of structs, and how many they are."""
+    keyed = rows.select(*(c for c, _ in along))
+    n = keyed.count() if n is None else n
     if n > SAMPLE * slices:
         keyed = keyed.sample(fraction=SAMPLE * slices / n, seed=seed)
     sample = keyed.orderBy(*_sort(along)).collect()
     at = sorted({len(sample) * i // slices for i in range(1, slices)} - {0})
     schema = f"{_BOUNDS} array<{keyed.schema.simpleString()}>"
-    return rows.sparkSession.createDataFrame([([tuple(sample[i]) for i in at],)], schema)
+    return rows.sparkSession.createDataFrame([([tuple(sample[i]) for i in at],)], schema), len(at)
 
 
 def _not_before(along: list[tuple[str, bool]], bound: Column) -> Column:
@@ -62,9 +63,8 @@ def _not_before(along: list[tuple[str, bool]], bound: Column) -> Column:
     return result
 
 
-def with_slice(rows: DataFrame, bounds: DataFrame, along: list[tuple[str, bool]]) -> DataFrame:
-    """``rows`` with the number of bounds at or before them (binary search)."""
-    k = len(bounds.first()[0])
+def with_slice(rows: DataFrame, bounds: DataFrame, k: int, along: list[tuple[str, bool]]) -> DataFrame:
+    """``rows`` with the number of the ``k`` bounds at or before them (binary search)."""
     steps = F.array(*(F.lit(1 << i) for i in reversed(range(k.bit_length())))) if k else F.array().cast("array<int>")
     found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
         (at + step <= k) & _not_before(along, F.get(F.col(_BOUNDS), at + step - 1)), at + step).otherwise(at))
@@ -75,7 +75,7 @@ def with_slice(rows: DataFrame, bounds: DataFrame, along: list[tuple[str, bool]]
 
 def positions(df: DataFrame, keys: list[str], order: list[str], rank_col: str = "rn", total_col: str | None = None,
               running_sum: str | None = None, running_col: str = "running_sum", total_sum_col: str | None = None,
-              slices: int | None = None, store: bool = True) -> DataFrame:
+              slices: int | None = None, store: bool = True, small: int = 0) -> DataFrame:
     """``df`` with the 1-based position of each row in its group of ``keys`` (none: one group) under ``order``.
 
     ``order`` names columns, '-x' descending, and should end in a unique id:
@@ -84,13 +84,17 @@ def positions(df: DataFrame, keys: list[str], order: list[str], rank_col: str =
     ``running_col`` (SUM OVER in that order: NULL until the group's first
     value) and ``total_sum_col`` (its total in the group).  ``store`` writes
     ``df`` once to the checkpoint folder, as the passes below read it thrice;
-    switch it off for a plain scan.
+    switch it off for a plain scan.  Up to ``small`` rows, which are counted
+    first, every group is one window: it fits a task.
     """
     rows = materialize(df, "segments") if store else df
     along = [(k, True) for k in keys] + _named(order)
     if not slices:
         slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sliced = with_slice(rows, slice_bounds(rows, along, slices), along)
+    n = rows.count()
+    if n <= small:
+        return _windowed(rows, keys, _sort(_named(order)), rank_col, total_col, running_sum, running_col, total_sum_col)
+    sliced = with_slice(rows, *slice_bounds(rows, along, slices, n), along)
 
     aggs = [F.count(F.lit(1)).alias(_N)] + ([F.sum(running_sum).alias(_V)] if running_sum else [])
     stats = sliced.groupBy(*keys, _SLICE).agg(*aggs)
@@ -118,9 +122,23 @@ def positions(df: DataFrame, keys: list[str], order: list[str], rank_col: str =
     return ranked.select(*df.columns, *out)
 
 
+def _windowed(rows: DataFrame, keys: list[str], order: list[Column], rank_col: str, total_col: str | None,
+              running_sum: str | None, running_col: str, total_sum_col: str | None) -> DataFrame:
+    group = Window.partitionBy(*keys)
+    so_far = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = {rank_col: F.count(F.lit(1)).over(so_far)}
+    if total_col:
+        out[total_col] = F.count(F.lit(1)).over(group)
+    if running_sum:
+        out[running_col] = F.sum(running_sum).over(so_far)
+        if total_sum_col:
+            out[total_sum_col] = F.sum(running_sum).over(group)
+    return rows.withColumns(out)
+
+
 def moving_mean(df: DataFrame, keys: list[str], order: list[str], value: str, width: int, mean_col: str,
                 rank_col: str = "rn", bucket_rows: int = 1_000_000, slices: int | None = None,
-                store: bool = True) -> DataFrame:
+                store: bool = True, small: int = 0) -> DataFrame:
     """``df`` with position and mean of ``value`` over the row and the ``width`` - 1 rows before it in its group.
 
     Positions are cut into buckets of ``bucket_rows``; the last ``width`` - 1
@@ -130,7 +148,7 @@ def moving_mean(df: DataFrame, keys: list[str], order: list[str], value: str, wi
     if width < 1 or width - 1 > bucket_rows:
         raise ValueError("need width >= 1 and width - 1 <= bucket_rows (the halo must cover a frame)")
     at = F.col(rank_col) - 1
-    ranked = positions(df, keys, order, rank_col, slices=slices, store=store)
+    ranked = positions(df, keys, order, rank_col, slices=slices, store=store, small=small)
     own = ranked.withColumns({_SLICE: F.floor(at / bucket_rows).cast("bigint"), _FIRST: F.lit(True)})
     halo = (ranked.where(at % bucket_rows >= bucket_rows - (width - 1))
             .withColumns({_SLICE: F.floor(at / bucket_rows).cast("bigint") + 1, _FIRST: F.lit(False)}))

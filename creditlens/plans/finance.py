@@ -9,7 +9,7 @@ from creditlens.functions.columns import days_between, month_key, round2
 from creditlens.operators.chain import account_owners, loan_chain, loan_key, loans_with_owner, per_loan
 from creditlens.operators.conditional import conditional_totals
 from creditlens.operators.period import period_change
-from creditlens.operators.segments import moving_mean
+from creditlens.operators.segments import SMALL, moving_mean
 from creditlens.sources.tables import Tables
 
 V = "valor_contratado"
@@ -82,7 +82,8 @@ def avg_payment_delay(t: Tables, paid: str = "Paga") -> DataFrame:
     return out.select("perfil_produtor", round2(media).alias("media")).orderBy(F.desc("media"))
 
 
-def moving_average(t: Tables, id_modalidade: int | None = 4, width: int = 3, bucket_rows: int = 1_000_000) -> DataFrame:
+def moving_average(t: Tables, id_modalidade: int | None = 4, width: int = 3, bucket_rows: int = 1_000_000,
+                   small: int = SMALL) -> DataFrame:
     """Q18 — loans of one modality in (date, id) order with the mean of the
     current and `width`-1 preceding loans.
 
@@ -96,7 +97,7 @@ def moving_average(t: Tables, id_modalidade: int | None = 4, width: int = 3, buc
         loans = loans.where(F.col("id_modalidade") == id_modalidade)
     loans = loans.select("id_modalidade", "id_emprestimo", "data_contratacao", V)
     df = moving_mean(loans, ["id_modalidade"], ["data_contratacao", "id_emprestimo"], V, width, "media_movel",
-                     rank_col="posicao", bucket_rows=bucket_rows, store=False)
+                     rank_col="posicao", bucket_rows=bucket_rows, store=False, small=small)
     cols = ["data_contratacao", V, "media_movel"] + ([] if id_modalidade is not None else ["id_modalidade", "posicao"])
     return df.orderBy("id_modalidade", "posicao").select(*cols)
 

@@ -12,7 +12,7 @@ from creditlens.functions.columns import days_between, month_key, pct, tile_from
 from creditlens.operators.chain import loan_chain, loan_key, members
 from creditlens.operators.global_order import global_rank
 from creditlens.operators.ranking import top_n_per_group
-from creditlens.operators.segments import positions
+from creditlens.operators.segments import SMALL, positions
 from creditlens.sources.tables import Tables
 
 V = "valor_contratado"
@@ -28,7 +28,7 @@ def top_loans_per_agency(t: Tables, start=dt.date(2024, 1, 1), end=dt.date(2025,
 
 
 def running_total_by_agency(t: Tables, id_agencia: int | None = 1, status: str = "Ativo",
-                            with_share: bool = False) -> DataFrame:
+                            with_share: bool = False, small: int = SMALL) -> DataFrame:
     """Q07 — the agency's loans in `status`, by value descending, with the
     running total (and, with ``with_share``, the cumulative % of the total).
 
@@ -40,7 +40,7 @@ def running_total_by_agency(t: Tables, id_agencia: int | None = 1, status: str =
         chain = chain.where(F.col("id_agencia") == id_agencia)
     df = chain.select("id_agencia", "id_emprestimo", "nome_completo", "nome_agencia", V)
     ranked = positions(df, ["id_agencia"], [f"-{V}", "id_emprestimo"], rank_col="posicao",
-                       running_sum=V, running_col="running_total", total_sum_col="_total" if with_share else None)
+                       running_sum=V, running_col="running_total", total_sum_col="_total" if with_share else None, small=small)
     cols = ["id_emprestimo", "nome_completo", "nome_agencia", V, "running_total"]
     if with_share:
         ranked = ranked.withColumn("pct_acumulado", F.round(pct("running_total", "_total"), 2))

@@ -37,7 +37,7 @@ def test_equals_the_window_of_a_group(spark, slices):
 def test_a_hot_group_is_split_and_slices_keep_the_order(spark):
     df = rows(spark, 9000)
     along = [("g", True), ("v", False), ("id", True)]
-    sliced = with_slice(df, slice_bounds(df, along, 16), along)
+    sliced = with_slice(df, *slice_bounds(df, along, 16), along)
     sizes = [r["count"] for r in sliced.groupBy("_sg_slice").count().collect()]
     assert len(sizes) == 16 and max(sizes) < 3 * 9000 / 16
     assert sliced.where("g = 0").select("_sg_slice").distinct().count() >= 4
@@ -59,6 +59,25 @@ def test_one_exchange_of_the_rows(spark):
     assert "SinglePartition" not in plan
 
 
+def test_few_rows_take_one_window_a_group(spark):
+    df = rows(spark, 900)
+    kw = dict(total_col="n", running_sum="v", total_sum_col="ts", store=False)
+    a, b = (positions(df, ["g"], ["-v", "id"], small=small, **kw) for small in (900, 899))
+    assert a.columns == b.columns
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_reports_over_every_group_by_slices(spark):
+    from creditlens.plans import finance, ranking
+    from creditlens.plans.catalog import load
+
+    t = load(spark, "/root/testdata/sf0.001")
+    for report in (lambda small: ranking.running_total_by_agency(t, None, with_share=True, small=small),
+                   lambda small: finance.moving_average(t, None, small=small)):
+        a, b = report(0), report(10**6)
+        assert a.count() > 100 and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
 def test_ungrouped_empty_and_all_null(spark):
     df = rows(spark, 500)
     ours = positions(df, [], ["v", "id"], slices=8)
