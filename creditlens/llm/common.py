@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +29,24 @@ def fold_words(text: bytes | None) -> list[bytes]:
     return text.translate(FOLD).split() if text else []
 
 
+_open: set[Scratch] = set()
+
+
+def cleaned(operator):
+    """The operator, whose scratch folders are removed if it fails."""
+    @functools.wraps(operator)
+    def run(*args, **kwargs):
+        before = set(_open)
+        try:
+            return operator(*args, **kwargs)
+        except BaseException:
+            for scratch in _open - before:
+                scratch.remove()
+            raise
+
+    return run
+
+
 class Scratch:
     """A folder of this run under the session's shared checkpoint folder.
 
@@ -39,6 +58,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        _open.add(self)
 
     def dir(self, name: str) -> str:
         return f"{self.path}/{name}"
@@ -60,6 +80,7 @@ class Scratch:
         return out
 
     def remove(self) -> None:
+        _open.discard(self)
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -26,10 +26,10 @@ from __future__ import annotations
 import random
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditlens.llm.common import SPACE_CLASS, Scratch, join_rows, located, table
+from creditlens.llm.common import SPACE_CLASS, Scratch, cleaned, join_rows, located, table
 from creditlens.llm.graph import cross_tasks, distinct_buckets, linked, star_tasks
 
 SHINGLE, BANDS, ROWS = 8, 10, 4
@@ -64,6 +64,7 @@ def confirmed(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found.where(f"100 * k >= {percent} * (n - k)").select("a", "b").distinct()
 
 
+@cleaned
 def line_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     """One row per input row: doc_id, n_lines (with a word), dropped (numbers of the lines that go, from 0), file, row."""
     spark = docs.sparkSession
@@ -79,7 +80,17 @@ def line_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (lines.select(*keys, "line").groupBy("d1", "d2").agg(F.first("line").alias("line"), F.count(F.lit(1)).alias("n"))
      .write.option("path", scratch.dir("lines")).option("compression", "zstd").bucketBy(parts, "d1", "d2").saveAsTable(name))
-    distinct = spark.table(name)
+    try:
+        out = _kept_lines(spark.table(name), rows, lines, keys, percent, scratch).checkpoint(eager=True)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    scratch.remove()
+    return out
+
+
+def _kept_lines(distinct: DataFrame, rows: DataFrame, lines: DataFrame, keys: list[Column], percent: int,
+                scratch: Scratch) -> DataFrame:
+    """The rows with the numbers of their lines that go, from the distinct lines and where they stand."""
     # the units are a column of their own below the explode: encoded once a line, not once a shingle
     units = distinct.select("d1", "d2", F.encode("line", "UTF-16BE").alias("u"))
     hashed = (units.select("d1", "d2", "u", F.explode(_starts(F.col("u"))).alias("i"))
@@ -114,12 +125,8 @@ def line_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
             .agg(F.array_sort(F.collect_list("no")).alias("dropped")))
     counts = rows.select("doc_id", "file", "row", F.size(F.filter(
         F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long").alias("n_lines"))
-    out = counts.join(gone, ["file", "row"], "left").select(
+    return counts.join(gone, ["file", "row"], "left").select(
         "doc_id", "n_lines", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"), "file", "row")
-    out = out.checkpoint(eager=True)
-    spark.sql(f"DROP TABLE {name}")
-    scratch.remove()
-    return out
 
 
 def without_dropped(docs: DataFrame, percent: int = 80) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from creditlens.llm.common import Scratch, join_rows, located, table, text_or_empty
+from creditlens.llm.common import Scratch, cleaned, join_rows, located, table, text_or_empty
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -84,6 +84,7 @@ def _extra(k):
     return F.expr(f"(({k}) * r + u) div m")
 
 
+@cleaned
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, block: int = 256,
         shard_words: int = 1_000_000, seed: int = 17) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken; then full (whole repeats), start (place in

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditlens.llm.common import Scratch, fold_words, join_rows, located, table
+from creditlens.llm.common import Scratch, cleaned, fold_words, join_rows, located, table
 from creditlens.llm.graph import cross_tasks, distinct_buckets, linked, star_tasks
 
 SHINGLE, BANDS, ROWS = 5, 21, 6
@@ -201,6 +201,7 @@ def confirmed(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(_comparer(percent), "a long, b long").distinct()
 
 
+@cleaned
 def near_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept, file, row."""
     spark = docs.sparkSession

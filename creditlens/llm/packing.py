@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from creditlens.llm.common import Scratch, located, table
+from creditlens.llm.common import Scratch, cleaned, located, table
 
 WINDOW = 2048
 CACHED_WORDS = 700_000
@@ -193,6 +193,7 @@ def cuts(queue: np.ndarray, lengths: np.ndarray, had: np.ndarray, totals: np.nda
     return out
 
 
+@cleaned
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 1,
          partition_tokens: int = 2_000_000, targets: dict[str | None, float] | None = None) -> DataFrame:
     """One row per piece: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset.

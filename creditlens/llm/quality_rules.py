@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditlens.llm.common import Scratch, join_rows, located, table
+from creditlens.llm.common import Scratch, cleaned, join_rows, located, table
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\v\f\r"
@@ -117,6 +117,7 @@ def choose(cutoffs: list[float], good: list[int], bad: list[int], n_good: int, b
     return next(c for c, b in zip(cutoffs, bad) if b >= share * bad[certified - 1])
 
 
+@cleaned
 def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.02,
                   delta: float = 0.05) -> DataFrame:
     """One row per input row: doc_id, measures, base_failed, failed_rules, kept, file, row."""

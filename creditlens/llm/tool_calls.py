@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditlens.llm.common import Scratch, table
+from creditlens.llm.common import Scratch, cleaned, table
 from creditlens.operators.global_order import global_rank
 
 TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
@@ -174,6 +174,7 @@ def times(calls: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
 CALLS = ["conv_id", "call_id", "turn", "name", "arguments", "depends_on"]
 
 
+@cleaned
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
     """calls (conv_id, call_id, turn, name, arguments, depends_on) and results (conv_id, call_id, turn, content).
 
