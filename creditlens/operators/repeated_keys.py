@@ -22,13 +22,14 @@ from creditlens.session import materialize
 
 ROW_BYTES = 16  # a shuffled (key, count) row, compressed
 PAGE = 32_768  # fixed value of the built-in bitmap functions
+SMALL = 4_000_000  # rows whose keys are one shuffle partition of 64 MB
 FEW_PAGES = 1_000_000  # a page number is 8 bytes: broadcast below, shuffled beyond
 
 _AT, _PAGE = "_dup_at", "_dup_page"
 
 
-def key_number(df: DataFrame, keys: list[str]) -> tuple[Column, float] | None:
-    """(one non-negative number per distinct combination of whole-number ``keys``, bytes of its bitmaps a row), or None.
+def key_number(df: DataFrame, keys: list[str]) -> tuple[Column, float, int] | None:
+    """(one non-negative number per distinct combination of whole-number ``keys``, bytes of its bitmaps a row, rows), or None.
 
     The keys form a mixed-radix number over their ranges.  None if a key has
     another type, there is no row, or the number would not fit 62 bits.  One
@@ -50,7 +51,7 @@ def key_number(df: DataFrame, keys: list[str]) -> tuple[Column, float] | None:
         if room >= 1 << 62:
             return None
         number = number * F.lit(width) + (c - F.lit(lo))
-    return number, float(r.span) * rest / 8 / r.n
+    return number, float(r.span) * rest / 8 / r.n, r.n
 
 
 def suspect_pages(df: DataFrame, number: Column) -> DataFrame:
@@ -61,17 +62,18 @@ def suspect_pages(df: DataFrame, number: Column) -> DataFrame:
     return pages.where("n > bits").select(_PAGE)
 
 
-def suspects(df: DataFrame, keys: list[str], row_bytes: int = ROW_BYTES) -> DataFrame:
+def suspects(df: DataFrame, keys: list[str], row_bytes: int = ROW_BYTES, small: int = 0) -> DataFrame:
     """Rows of ``df`` that may share their ``keys`` with another row: none is missing, most others are gone.
 
-    Rows with a NULL key are always among them.
+    Rows with a NULL key are always among them.  Up to ``small`` rows all stay:
+    two more passes would cost more than their shuffle.
     """
     df = df.select(*keys)
     found = key_number(df, keys)
     if found is None:
         return df
-    number, cost = found
-    if cost > row_bytes:
+    number, cost, n = found
+    if cost > row_bytes or n <= small:
         return df
     pages = materialize(suspect_pages(df, number), "duplicate-pages")
     few = pages.limit(FEW_PAGES + 1).count() <= FEW_PAGES
@@ -79,7 +81,7 @@ def suspects(df: DataFrame, keys: list[str], row_bytes: int = ROW_BYTES) -> Data
     return kept.select(*keys).unionByName(df.where(" OR ".join(f"`{k}` IS NULL" for k in keys)))
 
 
-def duplicates(df: DataFrame, keys: list[str], count_col: str, row_bytes: int = ROW_BYTES) -> DataFrame:
+def duplicates(df: DataFrame, keys: list[str], count_col: str, row_bytes: int = ROW_BYTES, small: int = 0) -> DataFrame:
     """One row per combination of ``keys`` that occurs more than once (NULL is a value here), with its count."""
-    return (suspects(df, keys, row_bytes).groupBy(*keys).agg(F.count(F.lit(1)).alias(count_col))
+    return (suspects(df, keys, row_bytes, small).groupBy(*keys).agg(F.count(F.lit(1)).alias(count_col))
             .where(F.col(count_col) > 1))

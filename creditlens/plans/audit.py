@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from creditlens.operators.audit import audit_domain, audit_foreign_key, audit_primary_key
 from creditlens.operators.chain import loan_chain, loan_key, per_loan, with_evidence
-from creditlens.operators.repeated_keys import duplicates
+from creditlens.operators.repeated_keys import SMALL, duplicates
 from creditlens.sources.schema import DOMAINS, FOREIGN_KEYS, PRIMARY_KEYS
 from creditlens.sources.tables import Tables
 
@@ -45,7 +45,7 @@ def duplicate_instalments(t: Tables, distinct: bool = False) -> DataFrame:
 
     As written a loan is listed once per duplicated number; ``distinct`` once.
     Instalments whose number is proven single are never shuffled."""
-    dup = duplicates(t.parcela, [*loan_key(t.parcela), "numero_parcela"], "_n")
+    dup = duplicates(t.parcela, [*loan_key(t.parcela), "numero_parcela"], "_n", small=SMALL)
     df = with_evidence(dup, t.emprestimo, loan_key(dup)).select("id_emprestimo")
     return df.distinct() if distinct else df
 

@@ -11,7 +11,7 @@ def test_entry_imports_without_the_llm_subpackage():
     code = ("import sys; sys.modules['creditlens.llm'] = None\n"
             "import __spark_entry__ as e\n"
             "q = e.queries()\n"
-            "assert len(q) == 71 and set(q) == set(e.oracle_sql()), len(q)\n"
+            "assert len(q) == 73 and set(q) == set(e.oracle_sql()), len(q)\n"
             "assert 'corpus_pipeline' not in sys.modules")
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
 

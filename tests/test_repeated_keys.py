@@ -38,6 +38,7 @@ def test_only_pages_with_a_repeat_are_grouped(spark):
     assert kept.count() <= op.PAGE + 1  # one page of twelve
     assert ours(df, ["id"]) == [(70_000, 2)]
     assert op.suspects(spark.range(400_000), ["id"]).isEmpty()
+    assert op.suspects(spark.range(400_000), ["id"], small=400_000).count() == 400_000
 
 
 def test_scattered_wide_and_text_keys_are_grouped_at_once(spark):
