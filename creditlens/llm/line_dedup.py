@@ -17,8 +17,10 @@ Only built-in functions run.
 
 Defined results: a null or empty text has no lines; lines without a word are
 neither compared nor dropped; a line shorter than a shingle is one shingle; a
-null id sorts last; repeated rows are documents of their own; an empty table
-gives no rows; other columns are ignored.
+null id sorts last; repeated rows are documents of their own; of equal ids the
+line that stands first by file, row and line stays; a very long text is cut
+into its lines, and a very long line is shingled whole, in one row; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -16,8 +16,8 @@ Defined results: a null or empty text, or one without words, has an empty set
 and is linked with nothing; a text with fewer words than a shingle is one
 shingle; a component's id is the smallest that is not null; of its rows the
 one with the smallest id stays (a null id comes last, and of rows that repeat
-an id the first stays); an empty table gives no rows; other columns are
-ignored.
+an id the first stays); a very long text is shingled whole, its set in one
+row; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ each, are held by the driver and every task.
 
 Defined results: a null text is empty and has the end id alone; a null source
 is a queue of its own; repeated rows are packed each; ties follow the row's
-place in its file; an empty table gives no rows; other columns are ignored.
+place in its file; a very long text is tokenised whole and cut over as many
+windows as it needs; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

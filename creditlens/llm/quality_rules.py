@@ -15,7 +15,9 @@ rule rejects nothing in that stratum.
 Defined results: a null text has no words; a null stratum is a stratum of its
 own; labels that are null or of unknown documents are ignored, and a document
 labelled twice counts as bad if any label says so; without labels only the
-base rule rejects; an empty table gives no rows; other columns are ignored.
+base rule rejects; repeated rows are judged each; a value equal to a cutoff
+falls on the same side everywhere; a very long text is measured whole, in its
+row; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
