@@ -3,13 +3,19 @@
 Every stage works on the whole table its predecessor kept; ``docs`` is that
 table as a Parquet scan.  All stages but the last return documents with the
 columns of ``documents``; the last returns the pieces of packed sequences.
+
+Defined results are those of the operators: a null or empty text fails the
+base rule and goes; repeated rows are equal texts, of which one stays; a null
+id comes last; very long texts are read whole in every stage; an empty table
+passes through as one; columns besides those of ``documents`` travel along to
+the last stage.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditlens.llm.common import Scratch, table
+from creditlens.llm.common import Scratch, cleaned, table
 from creditlens.llm.exact_dedup import keep_first
 from creditlens.llm.mixing import mix_texts
 from creditlens.llm.near_dedup import keep_one
@@ -54,6 +60,7 @@ STAGES = [
 ORACLE_SQL = None
 
 
+@cleaned
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
