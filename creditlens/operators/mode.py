@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRACKED, CANDIDATES = 60_000, 200
+TRACKED, CANDIDATES = 20_000, 200
 SKETCHED = "boolean byte short int bigint float double date timestamp decimal string".split()
 
 
