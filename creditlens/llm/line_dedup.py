@@ -9,7 +9,7 @@ lines lie in a bucketed table, so that aggregation moves no row.  Equal bands
 are buckets.
 Star edges to each bucket's most central line, then blocks of lines that the
 confirmed stars left apart, are confirmed by the exact Jaccard similarity of
-whole shingle sets, and distributed union-find gives the components.  Of every
+whole shingle sets, which are built from the lines where they are compared, and distributed union-find gives the components.  Of every
 component the occurrence with the smallest (document id, line number) stays.
 Only built-in functions run.
 
@@ -49,20 +49,33 @@ def _hash(units, i):
     return F.xxhash64(F.substring(units, i * 2 + 1, F.lit(2 * SHINGLE)))
 
 
-def confirmed(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Similar pairs (a, b) of ``tasks`` (task, blk, c, id) on whole sets (id, set); a block is one row of bounded length."""
-    blocks = (tasks.join(sets, "id").groupBy("task", "blk")
-              .agg(F.collect_list(F.struct("id", "c", "set")).alias("members")))
-    ends = blocks.groupBy("task").agg(F.min("blk").alias("lo"), F.max("blk").alias("hi"))
-    sides = blocks.join(ends, "task")
-    left = sides.where("blk = lo").select("task", F.col("members").alias("xs"))
-    right = sides.where("blk = hi").select("task", F.col("members").alias("ys"))
+def keyed(signed: DataFrame) -> DataFrame:
+    """(id, key) dealt by the key once: to count a bucket and to take its members needs no further shuffle."""
+    return signed.select("id", F.explode("keys").alias("key")).where("key IS NOT NULL").repartition("key")
+
+
+#: The shingle set of a line ``{0}``; the outer lambda holds its units.
+SET = f"""transform(array(encode({{0}}, 'UTF-16BE')), u -> array_distinct(transform(
+          sequence(0, greatest(int(floor(length(u) / 2)) - {SHINGLE}, 0)), i -> xxhash64(substring(u, i * 2 + 1, {2 * SHINGLE})))))[0]"""
+
+
+def confirmed(tasks: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """Similar pairs (a, b) of ``tasks`` (task, blk, c, id) on whole sets of ``lines`` (id, line).
+
+    A task is one row of at most two blocks of bounded length.  Lines travel, not their sets, which are
+    eight bytes a character; a set is built where its task is.
+    """
+    met = (tasks.join(lines, "id").groupBy("task")
+           .agg(F.min("blk").alias("lo"), F.max("blk").alias("hi"),
+                F.collect_list(F.struct("blk", "id", "c", "line")).alias("members")))
     pairs = F.expr(f"""
-        flatten(transform(xs, x -> transform(
-          filter(ys, y -> x.c <> y.c AND 100 * least(size(x.set), size(y.set)) >= {percent} * greatest(size(x.set), size(y.set))),
-          y -> struct(least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, size(x.set) + size(y.set) AS n,
-                      size(array_intersect(x.set, y.set)) AS k))))""")
-    found = left.join(right, "task").select(F.explode(pairs).alias("p")).select("p.*")
+        flatten(transform(array(transform(members, m -> struct(m.blk AS blk, m.id AS id, m.c AS c, {SET.format("m.line")} AS set))), ms ->
+          flatten(transform(filter(ms, x -> x.blk = lo), x -> transform(
+            filter(ms, y -> y.blk = hi AND x.c <> y.c
+                   AND 100 * least(size(x.set), size(y.set)) >= {percent} * greatest(size(x.set), size(y.set))),
+            y -> struct(least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, size(x.set) + size(y.set) AS n,
+                        size(array_intersect(x.set, y.set)) AS k))))))""")
+    found = met.select(F.explode(pairs).alias("p")).select("p.*")
     return found.where(f"100 * k >= {percent} * (n - k)").select("a", "b").distinct()
 
 
@@ -103,13 +116,11 @@ def _kept_lines(distinct: DataFrame, rows: DataFrame, lines: DataFrame, keys: li
     bands = least.select("d1", "d2", F.xxhash64("band", *(f"m{k}" for k in range(ROWS))).alias("key"))
     signed = scratch.write(bands.groupBy("d1", "d2").agg(F.collect_list("key").alias("keys"))
                            .withColumn("id", F.monotonically_increasing_id()), "signed")
-    buckets = scratch.write(distinct_buckets(signed.select("id", F.explode("keys").alias("key"))), "buckets")
+    buckets = scratch.write(distinct_buckets(keyed(signed)), "buckets")
     wanted = signed.join(buckets.select("id").distinct(), "id", "left_semi").select("id", "d1", "d2")
-    set_of = F.transform(F.array(F.encode("line", "UTF-16BE")), lambda u: F.array_distinct(
-        F.transform(_starts(u), lambda i: _hash(u, i))))[0]  # the outer lambda holds the units
-    sets = scratch.write(distinct.join(wanted, ["d1", "d2"]).select("id", set_of.alias("set")), "sets")
-    found, _ = linked(buckets, lambda edges: confirmed(star_tasks(edges, BLOCK), sets, percent),
-                      lambda b, first: confirmed(cross_tasks(b, first, BLOCK), sets, percent), scratch)
+    texts = scratch.write(distinct.join(wanted, ["d1", "d2"]).select("id", "line"), "texts")
+    found, _ = linked(buckets, lambda edges: confirmed(star_tasks(edges, BLOCK), texts, percent),
+                      lambda b, first: confirmed(cross_tasks(b, first, BLOCK), texts, percent), scratch)
 
     # lines that occur twice or are linked with another; the rest stay as they are
     group = (signed.select("id", "d1", "d2").join(found, "id").select("d1", "d2", "component")

@@ -2,6 +2,7 @@ import random
 import re
 
 from creditlens.llm import line_dedup as op
+from creditlens.llm.graph import distinct_buckets
 
 
 def brute(rows, percent):
@@ -96,3 +97,26 @@ def test_texts_and_empty_tables(docs_of):
     assert out.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == [(1, "a  line here\n\nb"), (2, "other"), (3, ""), (3, None)]
     assert op.line_dedup(docs.where("doc_id = 9")).count() == 0
+
+
+def test_lines_travel_not_their_sets(spark):
+    """A task's lines cross one shuffle by task, as text: sets of eight bytes a character are never sent."""
+    text = "the quick brown fox jumps over the lazy dog"
+    tasks = spark.createDataFrame([(1, 0, 10, 10), (1, 1, 20, 20), (1, 1, 30, 30), (2, 0, 20, 20), (2, 0, 10, 10)],
+                                  "task long, blk int, c long, id long")
+    lines = spark.createDataFrame([(10, text), (20, text + "s"), (30, "nothing of that kind at all")], "id long, line string")
+    found = op.confirmed(tasks, lines, 80)
+    assert [tuple(r) for r in found.collect()] == [(10, 20)]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert sum(plan.count(x) for x in ("SortMergeJoin", "BroadcastHashJoin", "ShuffledHashJoin")) == 1
+    assert "xxhash64" not in plan.split("collect_list", 1)[1]  # no set is built below the grouping by task
+
+
+def test_band_keys_are_dealt_once(spark, tmp_path):
+    spark.createDataFrame([(1, [5, 6]), (2, [6, 7]), (3, [8, 9])], "id long, keys array<long>").write.parquet(f"{tmp_path}/s")
+    buckets = distinct_buckets(op.keyed(spark.read.parquet(f"{tmp_path}/s")))
+    assert sorted(tuple(r) for r in buckets.select("key", "id").collect()) == [(6, 1), (6, 2)]
+    buckets.collect()
+    final = buckets._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    dealt = [x for x in final.splitlines() if "REPARTITION_BY_COL" in x]
+    assert len(dealt) == 2 and "ReusedExchange" in dealt[1]
