@@ -16,24 +16,32 @@ from creditlens.llm.common import Scratch
 BLOCK = 256
 
 
-def distinct_buckets(buckets: DataFrame) -> DataFrame:
-    """(key, id) without buckets of one member, and with one bucket of those that hold the same members."""
+def distinct_buckets(buckets: DataFrame, hashed: bool = False) -> DataFrame:
+    """(key, id) without buckets of one member, and with one bucket of those that hold the same members.
+
+    ``hashed``: few keys stay, so that a partition's can be hashed and its rows need not be sorted.
+    """
     mark = F.xxhash64("id", F.lit(1))
     of = (buckets.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("id")).alias("x"),
                                      F.bit_xor(mark).alias("y")).where("k > 1"))
-    return buckets.join(of.groupBy("k", "x", "y").agg(F.min("key").alias("key")).select("key"), "key")
+    kept = of.groupBy("k", "x", "y").agg(F.min("key").alias("key")).select("key")
+    return buckets.join(kept.hint("shuffle_hash") if hashed else kept, "key")
 
 
-def star_edges(buckets: DataFrame) -> DataFrame:
-    """(a, b) from (key, id): each bucket's hub a with its other members, each pair once.
+def bucket_hubs(buckets: DataFrame) -> DataFrame:
+    """(key, a) from (key, id): each bucket's hub.
 
     The hub is the member that shares most buckets with others (ties: the
     smallest): of a family of copies, that is the original they all resemble.
     """
     width = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("k"))
     weight = buckets.join(width, "key").groupBy("id").agg(F.sum("k").alias("w"))
-    hubs = buckets.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("a"))
-    return buckets.join(hubs, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct()
+    return buckets.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("a"))
+
+
+def star_edges(buckets: DataFrame) -> DataFrame:
+    """(a, b) from (key, id): each bucket's hub a with its other members, each pair once."""
+    return buckets.join(bucket_hubs(buckets), "key").where("a <> id").select("a", F.col("id").alias("b")).distinct()
 
 
 def star_tasks(edges: DataFrame, block: int | None = None) -> DataFrame:
@@ -45,7 +53,7 @@ def star_tasks(edges: DataFrame, block: int | None = None) -> DataFrame:
 
 
 def cross_tasks(buckets: DataFrame, found: DataFrame, block: int | None = None) -> DataFrame:
-    """(task, blk, c, id) to compare bucket members that ``found`` (id, component) leaves apart.
+    """(task, blk, c, id, key) to compare members of bucket ``key`` that ``found`` (id, component) leaves apart.
 
     A bucket within one component costs nothing.  Otherwise the members
     outside its largest component (the strangers) form blocks, and so do the
@@ -66,7 +74,7 @@ def cross_tasks(buckets: DataFrame, found: DataFrame, block: int | None = None)
                      "ELSE sequence(0L, odd - 1) END")
     sent = placed.withColumn("other", F.explode(partner))
     return sent.select(F.xxhash64("key", F.least("blk", "other"), F.greatest("blk", "other")).alias("task"),
-                       F.col("blk").cast("int").alias("blk"), "c", "id")
+                       F.col("blk").cast("int").alias("blk"), "c", "id", "key")
 
 
 def components(edges: DataFrame, scratch: Scratch, label: str = "cc") -> DataFrame:

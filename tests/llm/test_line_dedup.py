@@ -120,3 +120,55 @@ def test_band_keys_are_dealt_once(spark, tmp_path):
     final = buckets._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     dealt = [x for x in final.splitlines() if "REPARTITION_BY_COL" in x]
     assert len(dealt) == 2 and "ReusedExchange" in dealt[1]
+
+
+def nodes(plan):
+    """All nodes of an executed plan, also of its stages."""
+    yield plan
+    inner = [plan.executedPlan()] if plan.nodeName() == "AdaptiveSparkPlan" else []
+    inner += [plan.plan()] if plan.nodeName().endswith("QueryStage") else []
+    for p in inner or [plan.children().apply(k) for k in range(plan.children().size())]:
+        yield from nodes(p)
+
+
+def test_only_similar_pairs_leave_a_task(spark):
+    """Lines of like length that are not similar are not listed as pairs, however many a task holds."""
+    rnd = random.Random(8)
+    base = words(rnd, 30)
+    texts = [base, base + "s"] + [base[:100] + words(rnd, 18)[:len(base) - 100].ljust(len(base) - 100, "z") for _ in range(38)]
+    lines = op.sketched(spark.createDataFrame(list(enumerate(texts)), "id long, line string")).cache()
+    tasks = spark.createDataFrame([(1, 0, k, k) for k in range(len(texts))], "task long, blk int, c long, id long")
+    found = op.confirmed(tasks, lines, 80)
+    assert [tuple(r) for r in found.collect()] == [(0, 1)]
+    made = [p.metrics().apply("numOutputRows").value() for p in nodes(found._jdf.queryExecution().executedPlan())
+            if p.nodeName() == "Generate"]
+    assert made == [1]
+
+
+def test_sketches_lose_no_pair_and_a_pair_meets_once(spark):
+    rnd = random.Random(9)
+    bases = [words(rnd, 25), "short", "of", "ab" * 3000, "long " * 400, words(rnd, 700)]
+    texts = {*bases}
+    for line in bases * 12:
+        for _ in range(rnd.randrange(1, 5)):
+            at = rnd.randrange(len(line))
+            line = line[:at] + rnd.choice("xyzé日😀") + line[at + 1:]
+        texts.add(line)
+    texts = sorted(texts)
+    plain = spark.createDataFrame(list(enumerate(texts)), "id long, line string")
+    tasks = spark.createDataFrame([(t, 0, k, k, t) for k in range(len(texts)) for t in (1, 2)],
+                                  "task long, blk int, c long, id long, key long")
+    whole = {tuple(r) for r in op.confirmed(tasks, plain, 80).collect()}
+    assert len(whole) > 50
+    both = op.sketched(plain).selectExpr("*", "array(2L, 1L) AS keys")
+    assert {tuple(r) for r in op.confirmed(tasks, both, 80).collect()} == whole
+    assert op.confirmed(tasks.where("key = 2"), both, 80).isEmpty()  # they met in bucket 1
+
+
+def test_hubs_and_white_space(spark):
+    buckets = spark.createDataFrame([(1, 5), (1, 6), (2, 5), (2, 6), (2, 7)], "key long, id long")
+    assert sorted(tuple(r) for r in op.without_hubs(buckets).collect()) == [(1, 6), (2, 6), (2, 7)]
+    raw = ["", " ", "\t\x0b", "a b", " a  b\r", "a\tb", "a\x0bb\x0c", " ", "a  b"]
+    df = spark.createDataFrame([(x,) for x in [*raw, None]], "raw string")
+    got = [r[0] for r in df.where(op.has_word(df.raw)).select(op.cleaned_line(df.raw)).collect()]
+    assert got == ["a b", "a b", "a b", "a b", " ", "a  b"]
