@@ -47,7 +47,7 @@ class _Hashes(dict):
         return value
 
 
-_HASHES = _Hashes()  # one per Python worker
+_HASHES = _Hashes()  # one per Python worker, emptied after each task: an idle worker keeps its memory
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -124,6 +124,7 @@ def _sketch(batches):
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(c) for c in ("doc_id", "file", "row")), pa.array(n, pa.int64()),
              pa.array(digests, pa.binary()), _lists(keys)], ["doc_id", "file", "row", "n", "digest", "keys"])
+    _HASHES.clear()
 
 
 def _sets(batches):
@@ -132,6 +133,7 @@ def _sets(batches):
             b = batch.slice(k, 64)
             sets = [shingle_hashes(t).view(np.int64) for t in b.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), _lists(sets)], ["id", "set"])
+    _HASHES.clear()
 
 
 def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, width: int = 8192) -> np.ndarray:

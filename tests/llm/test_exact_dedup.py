@@ -71,3 +71,16 @@ def test_keep_first_returns_whole_rows(docs_of):
     got = op.keep_first(docs)
     assert got.columns == docs.columns
     assert sorted(r.doc_id for r in got.collect()) == [1, 2]
+
+
+def test_stores_of_an_ended_stream_are_closed_soon(spark, docs_of):
+    """An executor holds as many stores as it has partitions; they keep native memory until they are closed."""
+    import time
+
+    op.exact_dedup(docs_of([(k, f"text {k % 7}") for k in range(50)])).collect()
+    memory = spark._jvm.org.apache.spark.sql.execution.streaming.state.RocksDBMemoryManager
+    until = time.time() + 25
+    while memory.getNumRocksDBInstances(True) and time.time() < until:
+        time.sleep(1)
+    assert memory.getNumRocksDBInstances(True) == 0
+    assert int(op.STORE["spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB"]) <= 128

@@ -110,3 +110,12 @@ def test_union_find_against_brute_force(spark):
     assert len(found) == len({r.id for r in found})
     assert graph.components(spark.createDataFrame([], "a long, b long"), scratch, "none").count() == 0
     scratch.remove()
+
+
+def test_no_words_are_held_after_a_task():
+    """Workers live on between tasks; what one remembers counts against its executor for as long."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "file": ["f"], "row": [0], "id": [1], "text": ["some words of a text here"]})
+    assert [len(list(f([batch]))) for f in (op._sketch, op._sets)] == [1, 1]
+    assert not op._HASHES
