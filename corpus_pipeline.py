@@ -63,7 +63,7 @@ ORACLE_SQL = None
 @cleaned
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
-    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline", batch=1000)
     for name, stage in STAGES[:-1]:
         docs = scratch.write(stage(spark, docs, sf_dir), name, compression="snappy")
     return scratch.finish(STAGES[-1][1](spark, docs, sf_dir))

@@ -35,7 +35,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditlens.llm.common import SPACE_CLASS, Scratch, cleaned, join_rows, located, table
+from creditlens.llm.common import RAW_FILES, SPACE_CLASS, Scratch, cleaned, join_rows, located, table
 from creditlens.llm.graph import bucket_hubs, cross_tasks, distinct_buckets, linked, star_tasks
 
 SHINGLE, BANDS, ROWS = 8, 10, 4
@@ -144,7 +144,7 @@ def line_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     name = f"lines_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (lines.select(*keys, "line").groupBy("d1", "d2").agg(F.first("line").alias("line"), F.count(F.lit(1)).alias("n"))
-     .write.option("path", scratch.dir("lines")).option("compression", "zstd").bucketBy(parts, "d1", "d2").saveAsTable(name))
+     .write.options(path=scratch.dir("lines"), compression="zstd", **RAW_FILES).bucketBy(parts, "d1", "d2").saveAsTable(name))
     try:
         out = _kept_lines(spark.table(name), rows, lines, keys, percent, scratch).checkpoint(eager=True)
     finally:

@@ -207,7 +207,7 @@ def confirmed(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept, file, row."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "near-dedup")
+    scratch = Scratch(spark, "near-dedup", batch=1000)
     rows = located(docs, scratch, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # every row is a node of its own; the number is fixed by writing it once
     sketch = rows.mapInArrow(_sketch, "doc_id long, file string, row long, n long, digest binary, keys array<long>")

@@ -124,7 +124,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alp
                   delta: float = 0.05) -> DataFrame:
     """One row per input row: doc_id, measures, base_failed, failed_rules, kept, file, row."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "quality-rules")
+    scratch = Scratch(spark, "quality-rules", batch=1000)
     rows = located(docs, scratch, F.col("doc_id").cast("long").alias("doc_id"), F.col(stratum).cast("string").alias("stratum"),
                    F.col("text").cast("string").alias("text"))
     schema = "doc_id long, stratum string, file string, row long, " + ", ".join(f"{m} long" for m in MEASURES)

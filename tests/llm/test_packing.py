@@ -38,6 +38,20 @@ def test_special_strings_and_cache_bound(whole, monkeypatch):
         whole.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
 
 
+def test_common_words_outlive_a_full_cache(monkeypatch):
+    monkeypatch.setattr(op, "CACHED_WORDS", 4)
+    monkeypatch.setattr(op, "CACHED_PIECES", 4, raising=False)
+    code, encoded = op.WordEncoder(PATH), []
+    whole_word = code.encode
+    code.encode = lambda word: encoded.append(word) or whole_word(word)
+    plain = op.WordEncoder(PATH)
+    for k in range(40):
+        text = b"the %s of" % bytes([97 + k % 26, 97 + k // 26])
+        assert code.ids([text], 1) == plain.ids([text], 1)
+    assert encoded.count(b"the") == encoded.count(b"of") == 1
+    assert max(map(len, (code.words, code.old_words, code.pieces, code.old_pieces))) <= 7
+
+
 def check(rows, docs, whole, window):
     ids = {d.doc_id: whole.encode(d.text or "", add_special_tokens=False).ids + [1] for d in docs}
     by_doc, by_seq = defaultdict(list), defaultdict(list)

@@ -2,10 +2,11 @@
 
 import os
 
+import pyarrow as pa
 import pytest
 
 from creditlens.llm import line_dedup, mixing, near_dedup, packing, quality_rules
-from creditlens.llm.common import Scratch
+from creditlens.llm.common import BATCH, Scratch
 
 
 @pytest.mark.parametrize("operator", [
@@ -31,3 +32,41 @@ def test_a_failure_is_cleaned_up(spark, docs_of, monkeypatch, operator, at):
     left = [f for f in set(os.listdir(base)) - before if f.startswith(names)]
     assert len(seen) < at or left == []
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("lines_")]
+
+
+def test_a_scratch_file_has_no_checksum_file(spark):
+    """Nor was a process started for either of the two."""
+    scratch = Scratch(spark, "raw")
+    assert scratch.write(spark.range(10), "t").count() == 10
+    names = os.listdir(scratch.dir("t").removeprefix("file:"))
+    assert any(x.endswith(".parquet") for x in names) and not [x for x in names if x.endswith(".crc")]
+    scratch.remove()
+
+
+def test_the_distinct_lines_have_no_checksum_files(spark, docs_of, monkeypatch):
+    docs, names, kept = docs_of([(1, "a line\nanother line"), (2, "a line")]), [], line_dedup._kept_lines
+
+    def seen(distinct, rows, lines, keys, percent, scratch):
+        names.extend(os.listdir(scratch.dir("lines").removeprefix("file:")))
+        return kept(distinct, rows, lines, keys, percent, scratch)
+
+    monkeypatch.setattr(line_dedup, "_kept_lines", seen)
+    assert sorted(r["dropped"] for r in line_dedup.line_dedup(docs).collect()) == [[], [0]]
+    assert any(x.endswith(".parquet") for x in names) and not [x for x in names if x.endswith(".crc")]
+
+
+def test_batches_to_python_are_bounded_and_the_sessions_bound_returns(spark):
+    def sizes_of(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    before = spark.conf.get(BATCH)
+    rows = spark.range(0, 100, 1, 1)
+    scratch = Scratch(spark, "batch", batch=7)
+    sizes = [r["n"] for r in scratch.write(rows.mapInArrow(sizes_of, "n long"), "t").collect()]
+    assert max(sizes) == 7 and sum(sizes) == 100 and spark.conf.get(BATCH) == before
+    with pytest.raises(Exception, match="lost"):
+        scratch.write(rows.selectExpr("raise_error('lost') AS x"), "failed")
+    assert spark.conf.get(BATCH) == before
+    assert max(r["n"] for r in scratch.finish(rows.mapInArrow(sizes_of, "n long")).collect()) == 7
+    assert spark.conf.get(BATCH) == before
