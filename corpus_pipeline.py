@@ -44,8 +44,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens."""
-    return pack(docs, vocabulary())
+    """Pieces of sequences of 2048 tokens; workers keep few words, as the memory they had in other stages stays taken."""
+    return pack(docs, vocabulary(), cached=(50_000, 200_000))
 
 
 STAGES = [
