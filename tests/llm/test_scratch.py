@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from creditlens.llm import line_dedup, mixing, near_dedup, packing, quality_rules
-from creditlens.llm.common import BATCH, Scratch
+from creditlens.llm.common import BATCH, RAW_FILES, Scratch
 
 
 @pytest.mark.parametrize("operator", [
@@ -70,3 +70,19 @@ def test_batches_to_python_are_bounded_and_the_sessions_bound_returns(spark):
     assert spark.conf.get(BATCH) == before
     assert max(r["n"] for r in scratch.finish(rows.mapInArrow(sizes_of, "n long")).collect()) == 7
     assert spark.conf.get(BATCH) == before
+
+
+def test_a_result_is_fixed_without_checksum_files_and_the_sessions_options_return(spark):
+    """Nor was a process started for a file: an executor shares its memory with it for a moment."""
+    base = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = {k: conf.get(k) for k in RAW_FILES}
+    seen = set(os.listdir(base))
+    out = Scratch(spark, "fixed").finish(spark.range(0, 100, 1, 3))
+    folder = max(set(os.listdir(base)) - seen)
+    names = os.listdir(f"{base}/{folder}")
+    assert sum(x.startswith("part-") for x in names) == 3 and not [x for x in names if x.endswith(".crc")]
+    assert out.count() == 100 and {k: conf.get(k) for k in RAW_FILES} == before
+    with pytest.raises(Exception, match="lost"):
+        Scratch(spark, "failed").finish(spark.range(3).selectExpr("raise_error('lost') AS x"))
+    assert {k: conf.get(k) for k in RAW_FILES} == before
