@@ -86,8 +86,8 @@ def sketched(lines: DataFrame) -> DataFrame:
 SET = f"""transform(array(encode({{0}}, 'UTF-16BE')), u -> array_distinct(transform(
           sequence(1, greatest(length(u) - {2 * SHINGLE - 1}, 1), 2), i -> xxhash64(substring(u, i, {2 * SHINGLE})))))[0]"""
 
-#: Bits in which the sketches of x and y differ.
-APART = " + ".join(f"bit_count(x.bits[{k}] ^ y.bits[{k}])" for k in range(WORDS))
+#: Bits in which the sketches of x and y differ: in their first words, which rule out most pairs, and in all.
+APART = [" + ".join(f"bit_count(x.bits[{k}] ^ y.bits[{k}])" for k in range(n)) for n in (3, WORDS)]
 
 
 def confirmed(tasks: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
@@ -102,7 +102,7 @@ def confirmed(tasks: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """
     # of sets with n and m shingles that are similar enough, at most (n + m) * (100 - percent) / (100 + percent) are not common
     more = [c for c in lines.columns if c in ("n", "bits")]
-    may = f"AND {100 + percent} * ({APART}) <= {100 - percent} * (x.n + y.n)" if more else ""
+    may = " ".join(f"AND {100 + percent} * ({bits}) <= {100 - percent} * (x.n + y.n)" for bits in APART) if more else ""
     key = []
     if "key" in tasks.columns and "keys" in lines.columns:
         key, more = [F.min("key").alias("key")], [*more, "keys"]

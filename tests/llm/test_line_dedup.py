@@ -165,6 +165,14 @@ def test_sketches_lose_no_pair_and_a_pair_meets_once(spark):
     assert op.confirmed(tasks.where("key = 2"), both, 80).isEmpty()  # they met in bucket 1
 
 
+def test_the_first_words_of_sketches_rule_a_pair_out(spark):
+    """The others are not looked at then: here they are not even there."""
+    texts = ["the quick brown fox jumps over the lazy dog", "a line of quite another kind stands here now"]
+    lines = op.sketched(spark.createDataFrame(list(enumerate(texts)), "id long, line string"))
+    tasks = spark.createDataFrame([(1, 0, 0, 0), (1, 0, 1, 1)], "task long, blk int, c long, id long")
+    assert op.confirmed(tasks, lines.selectExpr("id", "line", "n", "slice(bits, 1, 3) AS bits"), 80).isEmpty()
+
+
 def test_hubs_and_white_space(spark):
     buckets = spark.createDataFrame([(1, 5), (1, 6), (2, 5), (2, 6), (2, 7)], "key long, id long")
     assert sorted(tuple(r) for r in op.without_hubs(buckets).collect()) == [(1, 6), (2, 6), (2, 7)]
