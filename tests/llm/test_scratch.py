@@ -78,11 +78,11 @@ def test_a_result_is_fixed_without_checksum_files_and_the_sessions_options_retur
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     before = {k: conf.get(k) for k in RAW_FILES}
     seen = set(os.listdir(base))
-    out = Scratch(spark, "fixed").finish(spark.range(0, 100, 1, 3))
+    out = Scratch(spark, "fixed").finish(spark.range(0, 100, 1, 3), raw=True)
     folder = max(set(os.listdir(base)) - seen)
     names = os.listdir(f"{base}/{folder}")
     assert sum(x.startswith("part-") for x in names) == 3 and not [x for x in names if x.endswith(".crc")]
     assert out.count() == 100 and {k: conf.get(k) for k in RAW_FILES} == before
     with pytest.raises(Exception, match="lost"):
-        Scratch(spark, "failed").finish(spark.range(3).selectExpr("raise_error('lost') AS x"))
+        Scratch(spark, "failed").finish(spark.range(3).selectExpr("raise_error('lost') AS x"), raw=True)
     assert {k: conf.get(k) for k in RAW_FILES} == before
